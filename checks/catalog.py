@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from checks import q_series  # noqa: F401
+from checks import q_features, q_score, q_series  # noqa: F401
 from checks.registry import QUERIES
 
 __all__ = ["QUERIES"]

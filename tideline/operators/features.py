@@ -1,22 +1,24 @@
 """One wide feature row per scope and as-of date.
 
-The panel is turned into one row per scope and date with one column per series, and every
-window then partitions by scope. The work needs a single shuffle of the observations; pair
-operators become row-wise expressions instead of joins, and only the series that need an
-expensive frame pay for it. A partition holds one scope, whose size is bounded by the
-catalog times the days of history however many raw rows the scope had.
+The observations are shuffled once, by scope. Volatility and percentiles run on the long
+rows of the few series that need them; then the scope turns into one row per date with one
+column per series, where lookbacks, drawdowns and carrying are windows over few rows and
+pair operators are row-wise expressions instead of joins. A partition holds whole scopes,
+and a scope's size is bounded by the catalog times the days of history, however many raw
+rows it had before ``ingest.daily``.
+
+Expressions are SQL texts: there are hundreds of them, and a text is one call to the JVM.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline import params as P
-from tideline.functions import series as S
-from tideline.functions.frames import START, at_or_before, day_number, so_far, trailing_count
+from tideline.functions.series import ANNUAL, percentile_in
 from tideline.operators import resolve as R
-from tideline.operators.leverage import leverage_history, share_of_cap
+from tideline.operators.leverage import leverage_history
 
 SERIES = [
     "USDJPY", "AUDJPY", "NZDJPY", "MXNJPY", "EURJPY", "SPX", "TLT", "VIX", "VIX3M", "MOVE",
@@ -27,207 +29,219 @@ SERIES = [
 GUARDED = ["US2Y", "US10Y", "US30Y", "US10Y_YF", "MOVE", "HY_OAS"]
 OIL = ["WTI", "WTI_FRED"]
 TEN_YEAR = ["US10Y", "US10Y_YF"]
-RETURNS = ["SPX", "TLT"]
+EQUITY_BOND = ["SPX", "TLT"]
+RANKED = [*OIL, *TEN_YEAR, "MOVE"]
 
 LEVERAGE = {
-    "latest_month": "date",
-    "latest_debit_musd": "double",
-    "yoy_pct": "double",
-    "mom_pct": "double",
-    "pct_of_peak": "double",
-    "peak_month": "date",
-    "net_credit_musd": "double",
-    "is_placeholder": "boolean",
-    "usable": "boolean",
+    "latest_month": "date", "latest_debit_musd": "double", "yoy_pct": "double",
+    "mom_pct": "double", "pct_of_peak": "double", "peak_month": "date",
+    "net_credit_musd": "double", "is_placeholder": "boolean", "usable": "boolean",
 }
 
-BY_SCOPE = Window.partitionBy("scope").orderBy("n")
 
+def names(series: list[str]) -> str:
+    return ", ".join(f"'{s}'" for s in series)
 
-def own_rows(column: str):
-    """The scope's rows on which ``column`` has a value, as a calendar of their own."""
-    return Window.partitionBy("scope", F.col(column).isNotNull()).orderBy("n")
 
-
-def by_date(
+def panel_rows(
     obs: DataFrame, margin: DataFrame | None, calendar: DataFrame | None, lag_days: int
 ) -> DataFrame:
-    """One row per scope and day: series values, leverage figures, calendar flag."""
-    lev = [f"lev_{c}" for c in LEVERAGE]
-    no_lev = [F.lit(None).cast(t).alias(f"lev_{c}") for c, t in LEVERAGE.items()]
-
-    rows = obs.where(F.col("series").isin(SERIES)).select(
-        "scope", day_number("obs_date").alias("n"), "series", "value",
-        F.lit(calendar is None).alias("wanted"), *no_lev,
+    """Observations, leverage figures and wanted dates as rows of one long table, by scope."""
+    no_lev = [f"cast(null as {t}) as lev_{c}" for c, t in LEVERAGE.items()]
+    no_obs = ["cast(null as string) as series", "cast(null as double) as value"]
+    rows = obs.where(F.col("series").isin(SERIES)).selectExpr(
+        "scope", "unix_date(obs_date) as n", "series", "value",
+        f"{str(calendar is None).lower()} as wanted", *no_lev,
     )
-    no_obs = [F.lit(None).cast("string").alias("series"), F.lit(None).cast("double").alias("value")]
     if margin is not None:
+        figures = leverage_history(margin)
         rows = rows.unionByName(
-            leverage_history(margin).select(
-                "scope", (day_number("month") + lag_days).alias("n"), *no_obs,
-                F.lit(False).alias("wanted"), *[F.col(c).alias(f"lev_{c}") for c in LEVERAGE],
+            figures.selectExpr(
+                "scope", f"unix_date(month) + {lag_days} as n", *no_obs, "false as wanted",
+                *[f"{c} as lev_{c}" for c in LEVERAGE],
             )
         )
     if calendar is not None:
         rows = rows.unionByName(
-            calendar.select(
-                "scope", day_number("as_of").alias("n"), *no_obs,
-                F.lit(True).alias("wanted"), *no_lev,
+            calendar.selectExpr(
+                "scope", "unix_date(as_of) as n", *no_obs, "true as wanted", *no_lev
             )
         )
-    # Shuffling by scope serves the grouping and all windows after it.
+    # One shuffle serves every step after it. Rows cost far more time than bytes here, so
+    # the count is fixed: adaptive coalescing would go by bytes.
+    partitions = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(partitions, "scope")
+
+
+def with_volatility(rows: DataFrame) -> DataFrame:
+    """Returns, twenty-row deviations and trailing percentiles on each series' own calendar.
+
+    Rows of other series get a window partition of their own each, so they pay for no frame.
+    """
+    stepped = names([*RANKED, *EQUITY_BOND])
+    own = f"partition by scope, series, if(series in ({stepped}), null, n) order by n"
+    last20 = f"({own} rows between {P.VOL_ROWS - 1} preceding and current row)"
+    deviation = f"stddev_samp(step) over {last20} * {ANNUAL * 100.0}D"
+    guarded = f"(series not in ({names(OIL)}) or rn >= {P.VOL_MIN_OBS})"
+    window = f"({own} range between {P.PERCENTILE_DAYS} preceding and current row)"
+    ranked = (
+        rows.selectExpr(
+            "*", f"lag(value) over ({own}) as previous", f"row_number() over ({own}) as rn"
+        )
+        .selectExpr(
+            "*", "try_divide(value, previous) - 1.0D as ret",
+            f"if(series in ({names(TEN_YEAR)}), value - previous, "
+            "try_divide(value, previous) - 1.0D) as step",
+        )
+        .selectExpr(
+            "*",
+            f"if(series in ({names(OIL + TEN_YEAR)}) and count(step) over {last20} = "
+            f"{P.VOL_ROWS}, {deviation}, null) as deviation",
+        )
+        # Ranked without the last bits, so that windows over the same steps tie.
+        .selectExpr(
+            "*", "if(series = 'MOVE', value, round(deviation, 8)) as rank_key"
+        )
+        .selectExpr("*", f"collect_list(0.0D - rank_key) over {window} as ranks")
+    )
+    return ranked.withColumn(
+        "rank", percentile_in(F.col("ranks"), F.col("rank_key"))
+    ).selectExpr(
+        "scope", "n", "series", "value", "wanted", *[f"lev_{c}" for c in LEVERAGE], "ret",
+        f"if({guarded}, deviation, null) as vol", f"if({guarded}, rank, null) as pctile",
+    )
+
+
+def by_date(rows: DataFrame) -> DataFrame:
+    """One row per scope and day. The rows are partitioned by scope already, so grouping
+    needs no shuffle."""
+
+    def pick(series, column):
+        return F.expr(f"max(if(series = '{series}', {column}, null))")
+
     return (
-        rows.repartition("scope")
-        .groupBy("scope", "n")
+        rows.groupBy("scope", "n")
         .agg(
             F.max("wanted").alias("wanted"),
-            *[F.max(F.when(F.col("series") == s, F.col("value"))).alias(s) for s in SERIES],
-            *[F.max(c).alias(c) for c in lev],
+            *[pick(s, "value").alias(s) for s in SERIES],
+            *[pick(s, "vol").alias(f"{s}_vol") for s in OIL + TEN_YEAR],
+            *[pick(s, "pctile").alias(f"{s}_pctile") for s in RANKED],
+            *[pick(s, "ret").alias(f"{s}_ret") for s in EQUITY_BOND],
+            *[F.max(f"lev_{c}").alias(f"lev_{c}") for c in LEVERAGE],
+        )
+        .selectExpr(
+            "*", "try_divide(HYG, LQD) as RATIO",
+            "if(SPX_ret is not null and TLT_ret is not null, true, null) as joint",
+            *[
+                f"if({ten} is not null and US2Y is not null, "
+                f"named_struct('ten', {ten}, 'two', US2Y), null) as {name}"
+                for ten, name in (("US10Y", "SPREAD"), ("US10Y_YF", "SPREAD_YF"))
+            ],
         )
     )
 
 
-def with_lookbacks(days: DataFrame) -> DataFrame:
-    """Lookback bases, previous values, guards and drawdowns: one Window, one sort."""
-    w = BY_SCOPE
-    earlier = w.rowsBetween(START, -1)
-    cols: dict[str, Column] = {}
-    for name in GUARDED:
-        cols[f"count_{name}"] = trailing_count(F.col(name), w, P.HISTORY_DAYS)
-    for name in [*OIL, *TEN_YEAR, *RETURNS]:
-        cols[f"prev_{name}"] = F.last(name, ignorenulls=True).over(earlier)
-    for name in OIL:
-        cols[f"rn_{name}"] = F.count(name).over(w.rowsBetween(START, 0))
-    for name in ["USDJPY", *P.CARRY_CROSSES]:
-        for span in (1, 7, 30):
-            cols[f"{name}_pct{span}"] = S.pct_change(F.col(name), w, span)
-    for name, spans in {
-        "SPX": (7,), "GOLD": (7,), "COPPER": (7,), "WTI": (7, 30), "WTI_FRED": (7, 30),
-    }.items():
-        for span in spans:
-            cols[f"{name}_pct{span}"] = S.pct_change(F.col(name), w, span)
-    for name, spans in {
-        "US2Y": (7, 90), "US10Y": (7,), "US10Y_YF": (7,), "US30Y": (7,), "US30Y_YF": (7,),
-        "CURVE_10_2": (90,), "HY_OAS": (30,),
-    }.items():
-        for span in spans:
-            cols[f"{name}_chg{span}"] = S.abs_change(F.col(name), w, span)
-    for name in P.CARRY_CROSSES:
-        cols[f"{name}_dd60"] = S.drawdown(F.col(name), w, 60)
-    cols["SPX_dd365"] = S.drawdown(F.col("SPX"), w, 365)
-
-    joint = days.withColumn("RATIO", F.try_divide("HYG", "LQD"))
-    for ten, name in (("US10Y", "SPREAD"), ("US10Y_YF", "SPREAD_YF")):
-        both = F.col(ten).isNotNull() & F.col("US2Y").isNotNull()
-        joint = joint.withColumn(
-            name, F.when(both, F.struct(F.col(ten).alias("ten"), F.col("US2Y").alias("two")))
-        )
-        cols[f"base_{name}"] = at_or_before(F.col(name), w, 90)
-    cols["RATIO_dd180"] = S.drawdown(F.col("RATIO"), w, 180)
-    return joint.withColumns(cols)
+def with_pairs(days: DataFrame) -> DataFrame:
+    """Joint correlation and ratio percentile, each over the dates both series have."""
 
+    def own(column):
+        return f"partition by scope, if({column} is null, n, null) order by n"
 
-def with_volatility(rows: DataFrame) -> DataFrame:
-    """Twenty-row deviations and the joint correlation, each on its own calendar."""
-    steps = {f"ret_{s}": S.one_row_return(F.col(s), F.col(f"prev_{s}")) for s in [*OIL, *RETURNS]}
-    steps |= {f"diff_{s}": F.col(s) - F.col(f"prev_{s}") for s in TEN_YEAR}
-    rows = rows.withColumns(steps)
-    rows = rows.withColumn(
-        "joint", F.when(F.col("ret_SPX").isNotNull() & F.col("ret_TLT").isNotNull(), True)
-    )
-    for s in OIL:
-        rows = rows.withColumn(
-            f"vol_{s}",
-            F.when(F.col(s).isNotNull(), S.realised_vol(F.col(f"ret_{s}"), own_rows(s))),
-        )
-    for s in TEN_YEAR:
-        rows = rows.withColumn(
-            f"proxy_{s}",
-            F.when(F.col(s).isNotNull(), S.difference_vol(F.col(f"diff_{s}"), own_rows(s))),
-        )
+    last = f"({own('joint')} rows between {P.CORR_ROWS - 1} preceding and current row)"
+    window = f"({own('RATIO')} range between {P.PERCENTILE_DAYS} preceding and current row)"
+    rows = days.selectExpr(
+        "*",
+        f"if(joint and count(joint) over {last} >= {P.CORR_ROWS}, "
+        f"nanvl(corr(SPX_ret, TLT_ret) over {last}, null), null) as corr",
+    ).selectExpr("*", f"collect_list(0.0D - RATIO) over {window} as ranks")
     return rows.withColumn(
-        "corr",
-        F.when(
-            F.col("joint"),
-            S.rolling_corr(F.col("ret_SPX"), F.col("ret_TLT"), own_rows("joint")),
-        ),
+        "RATIO_pctile", percentile_in(F.col("ranks"), F.col("RATIO"))
+    ).drop("ranks")
+
+
+BY_DAY = "partition by scope order by n"
+
+
+def base(column: str, days: int) -> str:
+    """Last value at or before ``days`` days earlier, from a frame that only grows."""
+    return (
+        f"last({column}, true) over ({BY_DAY} range between unbounded preceding and "
+        f"{days} preceding)"
     )
 
 
-DEVIATIONS = ["vol_WTI", "vol_WTI_FRED", "proxy_US10Y", "proxy_US10Y_YF"]
-RANKED = [*DEVIATIONS, "MOVE", "RATIO"]
+def pct(column: str, days: int) -> str:
+    return f"(try_divide({column}, {base(column, days)}) - 1.0D) * 100.0D"
 
 
-def with_percentiles(rows: DataFrame) -> DataFrame:
-    """Trailing percentiles of the few series that are scored by one."""
-    keys = {f"key_{c}": S.rank_key(F.col(c)) if c in DEVIATIONS else F.col(c) for c in RANKED}
-    windows = {f"win_{c}": S.trailing_values(F.col(f"key_{c}"), BY_SCOPE) for c in RANKED}
-    ranked = (
-        rows.withColumns(keys)
-        .withColumns(windows)
-        .withColumns(
-            {f"pctile_{c}": S.percentile_in(F.col(f"win_{c}"), F.col(f"key_{c}")) for c in RANKED}
-        )
+def change(column: str, days: int) -> str:
+    return f"{column} - {base(column, days)}"
+
+
+def drawdown(column: str, days: int) -> str:
+    high = f"max({column}) over ({BY_DAY} range between {days} preceding and current row)"
+    return f"(try_divide({column}, {high}) - 1.0D) * 100.0D"
+
+
+def trailing_count(column: str, days: int) -> str:
+    """Observations within ``[n - days, n]`` as the difference of two growing frames."""
+    upto = f"count({column}) over ({BY_DAY} range between unbounded preceding and current row)"
+    before = (
+        f"count({column}) over ({BY_DAY} range between unbounded preceding and "
+        f"{days + 1} preceding)"
     )
-    return ranked.drop(*keys, *windows)
+    return f"{upto} - {before}"
 
 
-def observations() -> dict[str, tuple[Column, dict[str, Column]]]:
-    """What each series shows at an observation: (is there one, fields)."""
-    c = F.col
-    fields: dict[str, dict[str, Column]] = {s: {} for s in SERIES}
+def observations() -> dict[str, tuple[str, dict[str, str]]]:
+    """What each series shows at an observation: (is there one, field -> expression)."""
+    fields: dict[str, dict[str, str]] = {s: {"value": s} for s in SERIES}
     for s in ["USDJPY", *P.CARRY_CROSSES]:
-        fields[s] |= {"d1": c(f"{s}_pct1"), "w1": c(f"{s}_pct7"), "m1": c(f"{s}_pct30")}
+        fields[s] |= {"d1": pct(s, 1), "w1": pct(s, 7), "m1": pct(s, 30)}
     for s in P.CARRY_CROSSES:
-        fields[s] |= {"dd60": c(f"{s}_dd60")}
+        fields[s] |= {"dd60": drawdown(s, 60)}
     for s in ("SPX", "GOLD", "COPPER"):
-        fields[s] |= {"w1": c(f"{s}_pct7")}
-    fields["SPX"] |= {"dd365": c("SPX_dd365")}
+        fields[s] |= {"w1": pct(s, 7)}
+    fields["SPX"] |= {"dd365": drawdown("SPX", 365)}
     for s in OIL:
-        enough = c(f"rn_{s}") >= P.VOL_MIN_OBS
-        fields[s] |= {
-            "w1": c(f"{s}_pct7"),
-            "m1": c(f"{s}_pct30"),
-            "vol": F.when(enough, c(f"vol_{s}")),
-            "pctile": F.when(enough, c(f"pctile_vol_{s}")),
-        }
+        fields[s] |= {"w1": pct(s, 7), "m1": pct(s, 30)}
     for s in ("US2Y", *TEN_YEAR, "US30Y", "US30Y_YF"):
-        fields[s] |= {"c7": c(f"{s}_chg7")}
-    for s in TEN_YEAR:
-        fields[s] |= {"proxy": c(f"proxy_{s}"), "proxy_pctile": c(f"pctile_proxy_{s}")}
-    for s, span in (("US2Y", 90), ("CURVE_10_2", 90), ("HY_OAS", 30)):
-        fields[s] |= {f"c{span}": c(f"{s}_chg{span}")}
-    fields["MOVE"] |= {"pctile": c("pctile_MOVE")}
-
-    out = {s: (c(s).isNotNull(), {"value": c(s), **f}) for s, f in fields.items()}
+        fields[s] |= {"c7": change(s, 7)}
+    for s, days in (("US2Y", 90), ("CURVE_10_2", 90), ("HY_OAS", 30)):
+        fields[s] |= {f"c{days}": change(s, days)}
+    for s in OIL + TEN_YEAR:
+        fields[s] |= {"vol": f"{s}_vol"}
+    for s in RANKED:
+        fields[s] |= {"pctile": f"{s}_pctile"}
+
+    out = {s: (f"{s} is not null", f) for s, f in fields.items()}
     out["RATIO"] = (
-        c("RATIO").isNotNull(),
-        {"value": c("RATIO"), "dd180": c("RATIO_dd180"), "pctile": c("pctile_RATIO")},
+        "RATIO is not null",
+        {"value": "RATIO", "dd180": drawdown("RATIO", 180), "pctile": "RATIO_pctile"},
     )
     for s in ("SPREAD", "SPREAD_YF"):
         out[s] = (
-            c(s).isNotNull(),
-            {
-                "ten": c(f"{s}.ten"), "two": c(f"{s}.two"),
-                "base_ten": c(f"base_{s}.ten"), "base_two": c(f"base_{s}.two"),
-            },
+            f"{s} is not null", {"ten": f"{s}.ten", "two": f"{s}.two", "base": base(s, 90)}
         )
-    out["CORR"] = (c("joint"), {"value": c("corr")})
-    out["LEV"] = (
-        c("lev_is_placeholder").isNotNull(), {k: c(f"lev_{k}") for k in LEVERAGE}
-    )
+    out["CORR"] = ("joint", {"value": "corr"})
+    out["LEV"] = ("lev_is_placeholder is not null", {k: f"lev_{k}" for k in LEVERAGE})
     return out
 
 
-def carried(rows: DataFrame) -> DataFrame:
-    """Carry every series' last observation, whole, to each row. The struct keeps a null
-    field of the last observation null instead of reviving an older one."""
-    at = {}
+def carried(days: DataFrame) -> DataFrame:
+    """Compute every field on its observation's row, then carry each series' last
+    observation, whole, to each date. The struct keeps a null field of the last observation
+    null instead of reviving an older one."""
+    shown = {}
     for name, (there, fields) in observations().items():
-        packed = F.struct(F.col("n"), *[v.alias(k) for k, v in fields.items()])
-        at[f"at_{name}"] = so_far(F.when(there, packed), BY_SCOPE)
-    counts = [f"count_{s}" for s in GUARDED]
-    return rows.select("scope", "n", "wanted", *counts, *[v.alias(k) for k, v in at.items()])
+        parts = ", ".join(f"'{k}', {v}" for k, v in fields.items())
+        shown[name] = f"if({there}, named_struct('n', n, {parts}), null) as ob_{name}"
+    counts = [f"{trailing_count(s, P.HISTORY_DAYS)} as count_{s}" for s in GUARDED]
+    so_far = f"over ({BY_DAY} rows between unbounded preceding and current row)"
+    return days.selectExpr("scope", "n", "wanted", *counts, *shown.values()).selectExpr(
+        "scope", "n", "wanted", *[f"count_{s}" for s in GUARDED],
+        *[f"last(ob_{name}, true) {so_far} as at_{name}" for name in shown],
+    )
 
 
 MANUAL_KEYS = ["JP2Y", "JP10Y", "BOJ_RATE", "FED_FUNDS"]
@@ -236,16 +250,14 @@ MANUAL_KEYS = ["JP2Y", "JP10Y", "BOJ_RATE", "FED_FUNDS"]
 def with_manual(rows: DataFrame, manual: DataFrame | None) -> DataFrame:
     """Add the scope's manual inputs. The input table has one short group per scope; the
     join keeps the rows' partitioning and Spark broadcasts only below its size limit."""
-    names = [f"manual_{k}" for k in MANUAL_KEYS]
-    sources = ["manual_JP2Y_source", "manual_JP10Y_source"]
     if manual is None:
-        return rows.withColumns(
-            {n: F.lit(None).cast("double") for n in names}
-            | {n: F.lit(None).cast("string") for n in sources}
+        return rows.selectExpr(
+            "*", *[f"cast(null as double) as manual_{k}" for k in MANUAL_KEYS],
+            *[f"cast(null as string) as manual_{k}_source" for k in ("JP2Y", "JP10Y")],
         )
 
-    def pick(key, col):
-        return F.max(F.when(F.col("key") == key, F.col(col)))
+    def pick(key, column):
+        return F.expr(f"max(if(key = '{key}', {column}, null))")
 
     per_scope = manual.groupBy("scope").agg(
         *[pick(k, "value").alias(f"manual_{k}") for k in MANUAL_KEYS],
@@ -262,19 +274,17 @@ def asof_state(
     publication_lag_days: int = 0,
 ) -> DataFrame:
     """Per scope and date: every series' last observation and guard counts."""
-    rows = by_date(obs, margin, calendar, publication_lag_days)
-    rows = carried(with_percentiles(with_volatility(with_lookbacks(rows))))
-    return with_manual(rows.where("wanted"), manual)
+    rows = with_volatility(panel_rows(obs, margin, calendar, publication_lag_days))
+    state = carried(with_pairs(by_date(rows)))
+    return with_manual(state.where("wanted"), manual)
 
 
 def resolved(state: DataFrame, seeded: bool = True) -> DataFrame:
     """Pick sources and assemble the feature row. Row-wise only."""
-    seen, c = R.seen, F.col
-    level: dict[str, Column] = {
-        "usdjpy": seen("USDJPY"),
-        "usdjpy_1d": seen("USDJPY", "d1"),
-        "usdjpy_1w": seen("USDJPY", "w1"),
-        "usdjpy_1m": seen("USDJPY", "m1"),
+    seen = R.seen
+    level = {
+        "usdjpy": seen("USDJPY"), "usdjpy_1d": seen("USDJPY", "d1"),
+        "usdjpy_1w": seen("USDJPY", "w1"), "usdjpy_1m": seen("USDJPY", "m1"),
     }
     for s in P.CARRY_CROSSES:
         low = s.lower()
@@ -282,12 +292,11 @@ def resolved(state: DataFrame, seeded: bool = True) -> DataFrame:
             low: seen(s), f"{low}_1d": seen(s, "d1"), f"{low}_1w": seen(s, "w1"),
             f"{low}_1m": seen(s, "m1"), f"{low}_dd60": seen(s, "dd60"),
         }
-    level["carry_cross_drawdown"] = F.least(*[seen(s, "dd60") for s in P.CARRY_CROSSES])
+    level["carry_cross_drawdown"] = f"least({', '.join(seen(s, 'dd60') for s in P.CARRY_CROSSES)})"
     for tenor in ("2Y", "10Y", "30Y"):
         low = tenor.lower()
         level |= {
-            f"us{low}": R.us_yield(tenor),
-            f"us{low}_1w": R.us_yield(tenor, "c7"),
+            f"us{low}": R.us_yield(tenor), f"us{low}_1w": R.us_yield(tenor, "c7"),
             f"us{low}_series": R.yield_source(tenor),
         }
     for tenor in ("2Y", "10Y"):
@@ -295,6 +304,9 @@ def resolved(state: DataFrame, seeded: bool = True) -> DataFrame:
             f"jp{tenor.lower()}": R.jp_yield(tenor, seeded),
             f"jp{tenor.lower()}_source": R.jp_yield_source(tenor, seeded),
         }
+    quotes = " or ".join(R.present(s) for s in SERIES if s in P.QUOTE_SYMBOLS)
+    official = " or ".join(R.present(s) for s in SERIES if s in P.OFFICIAL_SERIES)
+    newest = ", ".join(seen(s, "n") for s in ("USDJPY", "US10Y", "VIX"))
     level |= {
         "us2y_3m": R.us_yield("2Y", "c90"),
         "curve_10_2": R.curve_level(),
@@ -307,66 +319,58 @@ def resolved(state: DataFrame, seeded: bool = True) -> DataFrame:
         "vix_series": R.quote_else_official_source("VIX", "VIX_FRED"),
         "vix3m": seen("VIX3M"),
         "credit_kind": R.credit_kind(),
-        "wti": R.quote_else_official("WTI", "WTI_FRED"),
-        "wti_1w": R.quote_else_official("WTI", "WTI_FRED", "w1"),
-        "wti_1m": R.quote_else_official("WTI", "WTI_FRED", "m1"),
-        "wti_vol": R.quote_else_official("WTI", "WTI_FRED", "vol"),
-        "wti_vol_pctile": R.quote_else_official("WTI", "WTI_FRED", "pctile"),
+        **{
+            f"wti{suffix}": R.quote_else_official("WTI", "WTI_FRED", field)
+            for suffix, field in (
+                ("", "value"), ("_1w", "w1"), ("_1m", "m1"), ("_vol", "vol"),
+                ("_vol_pctile", "pctile"),
+            )
+        },
         "wti_series": R.quote_else_official_source("WTI", "WTI_FRED"),
-        "gold": seen("GOLD"),
-        "gold_1w": seen("GOLD", "w1"),
-        "copper": seen("COPPER"),
-        "copper_1w": seen("COPPER", "w1"),
-        "spx": seen("SPX"),
-        "spx_1w": seen("SPX", "w1"),
-        "spx_drawdown": seen("SPX", "dd365"),
-        "stock_bond_corr": F.when(
-            R.present("SPX") & R.present("TLT"), c("at_CORR.value")
+        "gold": seen("GOLD"), "gold_1w": seen("GOLD", "w1"),
+        "copper": seen("COPPER"), "copper_1w": seen("COPPER", "w1"),
+        "spx": seen("SPX"), "spx_1w": seen("SPX", "w1"), "spx_drawdown": seen("SPX", "dd365"),
+        "stock_bond_corr": (
+            f"if({R.present('SPX')} and {R.present('TLT')}, at_CORR.value, null)"
         ),
-        "newest": F.date_from_unix_date(
-            F.greatest(*[seen(s, "n") for s in ("USDJPY", "US10Y", "VIX")])
-        ),
-        "quotes_seen": F.array_contains(
-            F.array(*[R.present(n) for n in SERIES if n in P.QUOTE_SYMBOLS]), True
+        "newest": f"date_from_unix_date(greatest({newest}))",
+        "quotes_seen": quotes,
+        "official_seen": official,
+        **{f"margin_{c}": f"at_LEV.{c}" for c in LEVERAGE},
+        "margin_is_placeholder": "coalesce(at_LEV.is_placeholder, true)",
+        "margin_usable": "coalesce(at_LEV.usable, false)",
+    }
+    chosen = state.selectExpr(
+        "scope", "date_from_unix_date(n) as as_of", *[f"{v} as {k}" for k, v in level.items()],
+        "at_HY_OAS", "at_RATIO", "at_MOVE", "at_US10Y", "at_US10Y_YF",
+    )
+    cap = f"spx * {P.INDEX_CAP_BN_PER_POINT}D * 1000.0D"
+    combined = {
+        "diff_2y": "us2y - jp2y",
+        "diff_10y": "us10y - jp10y",
+        # The Japanese leg shifts the whole history, so only the US leg changes.
+        "diff_2y_change_3m": "if(jp2y is not null, us2y_3m, null)",
+        "policy_gap": "fed_funds - boj_rate",
+        "rate_vol_level": R.rate_vol_level(),
+        "rate_vol_pctile": R.rate_vol_pctile(),
+        "rate_vol_source": R.rate_vol_source(),
+        "vix_ratio": "nullif(vix, 0.0D) / nullif(vix3m, 0.0D)",
+        "credit_source": R.credit_source(),
+        "hy_oas": "if(credit_kind = 'oas', at_HY_OAS.value, null)",
+        "hy_oas_change_1m": "if(credit_kind = 'oas', at_HY_OAS.c30, null)",
+        "hyg_lqd_drawdown": "if(credit_kind = 'ratio', at_RATIO.dd180, null)",
+        "credit_level": (
+            "case credit_kind when 'oas' then at_HY_OAS.value when 'ratio' then at_RATIO.value end"
         ),
-        "official_seen": F.array_contains(
-            F.array(*[R.present(n) for n in SERIES if n in P.OFFICIAL_SERIES]), True
+        "credit_pctile": "if(credit_kind = 'ratio', at_RATIO.pctile, null)",
+        "margin_pct_of_spx_mktcap": (
+            f"if({cap} > 0.0D, margin_latest_debit_musd / ({cap}) * 100.0D, null)"
         ),
     }
-    for name in LEVERAGE:
-        level[f"margin_{name}"] = c(f"at_LEV.{name}")
-    level["margin_is_placeholder"] = F.coalesce(c("at_LEV.is_placeholder"), F.lit(True))
-    level["margin_usable"] = F.coalesce(c("at_LEV.usable"), F.lit(False))
-
-    kept = ["at_HY_OAS", "at_RATIO", "at_MOVE", "at_US10Y", "at_US10Y_YF"]
-    first = state.select(
-        "scope",
-        F.date_from_unix_date("n").alias("as_of"),
-        *[v.alias(k) for k, v in level.items()],
-        *kept,
+    kept = [k for k in level if k not in ("us2y_3m", "rate_vol_kind")]
+    return chosen.selectExpr(
+        "scope", "as_of", *kept, *[f"{v} as {k}" for k, v in combined.items()]
     )
-    kind, credit = c("rate_vol_kind"), c("credit_kind")
-    oas, ratio = credit == "oas", credit == "ratio"
-    return first.withColumns(
-        {
-            "diff_2y": c("us2y") - c("jp2y"),
-            "diff_10y": c("us10y") - c("jp10y"),
-            # The Japanese leg shifts the whole history, so only the US leg changes.
-            "diff_2y_change_3m": F.when(c("jp2y").isNotNull(), c("us2y_3m")),
-            "policy_gap": c("fed_funds") - c("boj_rate"),
-            "rate_vol_level": R.rate_vol(kind, "value"),
-            "rate_vol_pctile": R.rate_vol(kind, "pctile"),
-            "rate_vol_source": R.rate_vol_source(kind),
-            "vix_ratio": R.nonzero(c("vix")) / R.nonzero(c("vix3m")),
-            "credit_source": R.credit_source(credit),
-            "hy_oas": F.when(oas, c("at_HY_OAS.value")),
-            "hy_oas_change_1m": F.when(oas, c("at_HY_OAS.c30")),
-            "hyg_lqd_drawdown": F.when(ratio, c("at_RATIO.dd180")),
-            "credit_level": F.when(oas, c("at_HY_OAS.value")).when(ratio, c("at_RATIO.value")),
-            "credit_pctile": F.when(ratio, c("at_RATIO.pctile")),
-            "margin_pct_of_spx_mktcap": share_of_cap(c("margin_latest_debit_musd"), c("spx")),
-        }
-    ).drop("us2y_3m", "rate_vol_kind", *kept)
 
 
 def feature_history(
@@ -382,9 +386,7 @@ def feature_history(
     ``calendar`` (scope, as_of) lists the dates wanted; without it, every date on which the
     scope has an observation.
     """
-    return resolved(
-        asof_state(obs, margin, manual, calendar, publication_lag_days), seeded
-    )
+    return resolved(asof_state(obs, margin, manual, calendar, publication_lag_days), seeded)
 
 
 def feature_snapshot(

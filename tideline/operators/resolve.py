@@ -1,154 +1,135 @@
 """Source preference: which candidate series answers for a logical one, as of each date.
 
-Works on the row-per-date form built by ``operators.features``: for every series the row
-holds its last observation as of the date (a struct with the observation's day ``n``) and,
-where a guard needs it, the number of observations in the trailing load window. A candidate
-whose last observation is older than the load window counts as absent.
+Expressions over the row-per-date form of ``operators.features``: ``at_<series>`` is the
+struct of a series' last observation as of the date (``n`` is its day), ``count_<series>``
+the number of observations in the trailing load window. A candidate whose last observation
+is older than the load window counts as absent.
+
+They are SQL texts because a feature row has over a hundred of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from tideline import params as P
-from tideline.functions.text import round_exact
-from tideline.operators.ingest import rescaled
 
 
-def seen(series: str, field: str = "value") -> Column:
-    """A field of the carried observation, null when the series counts as absent."""
-    return F.when(present(series), F.col(f"at_{series}.{field}"))
+def present(series: str) -> str:
+    return f"coalesce(at_{series}.n >= n - {P.HISTORY_DAYS}, false)"
 
 
-def present(series: str) -> Column:
-    last = F.col(f"at_{series}.n")
-    return F.coalesce(last >= F.col("n") - P.HISTORY_DAYS, F.lit(False))
+def seen(series: str, field: str = "value") -> str:
+    """A field of the carried observation, null when the series counts as absent."""
+    return f"if({present(series)}, at_{series}.{field}, null)"
 
 
-def obs_count(series: str) -> Column:
-    return F.col(f"count_{series}")
+def quote_else_official(quote: str, official: str, field: str = "value") -> str:
+    return f"if({present(quote)}, at_{quote}.{field}, {seen(official, field)})"
 
 
-def quote_else_official(quote: str, official: str, field: str = "value") -> Column:
-    return F.when(present(quote), seen(quote, field)).when(
-        present(official), seen(official, field)
-    )
+def quote_else_official_source(quote: str, official: str) -> str:
+    return f"case when {present(quote)} then '{quote}' when {present(official)} then '{official}' end"
 
 
-def quote_else_official_source(quote: str, official: str) -> Column:
-    return F.when(present(quote), quote).when(present(official), official)
+def official_yield(tenor: str) -> str:
+    return f"count_US{tenor} > {P.YIELD_MIN_OBS}"
 
 
-def yield_is_official(tenor: str) -> Column:
-    return obs_count(f"US{tenor}") > P.YIELD_MIN_OBS
+def yield_source(tenor: str) -> str:
+    """Name of the series that answers for a US yield; the 2-year has no fallback."""
+    fallback = "null" if tenor == "2Y" else f"if({present(f'US{tenor}_YF')}, 'US{tenor}_YF', null)"
+    return f"if({official_yield(tenor)}, 'US{tenor}', {fallback})"
 
 
-def yield_source(tenor: str) -> Column:
-    """Name of the series that answers for a US yield; the 2-year has no fallback."""
-    official = F.when(yield_is_official(tenor), f"US{tenor}")
-    if tenor == "2Y":
-        return official
-    return official.when(present(f"US{tenor}_YF"), f"US{tenor}_YF")
+def rescaled(value: str, latest: str) -> str:
+    """Undo a yield quoted tenfold: judged by the series' latest value only."""
+    return f"if({latest} > {P.YIELD_RESCALE_ABOVE}D, {value} / 10.0D, {value})"
 
 
-def us_yield(tenor: str, field: str = "value") -> Column:
-    official = F.when(yield_is_official(tenor), F.col(f"at_US{tenor}.{field}"))
-    if tenor == "2Y":
-        return official
-    quote = f"US{tenor}_YF"
-    return official.when(present(quote), rescaled(seen(quote, field), seen(quote)))
+def us_yield(tenor: str, field: str = "value") -> str:
+    fallback = "null"
+    if tenor != "2Y":
+        quote = f"US{tenor}_YF"
+        scaled = rescaled(f"at_{quote}.{field}", f"at_{quote}.value")
+        fallback = f"if({present(quote)}, {scaled}, null)"
+    return f"if({official_yield(tenor)}, at_US{tenor}.{field}, {fallback})"
 
 
-def rate_vol_kind() -> Column:
-    """'move', 'proxy' (of the chosen 10-year yield), 'proxy_yf' or null."""
+def rate_vol_kind() -> str:
+    """'move', 'proxy' (of the official 10-year), 'proxy_yf' (of the quoted one) or null."""
     has = P.PROXY_MIN_OBS
     return (
-        F.when(obs_count("MOVE") > P.MOVE_MIN_OBS, "move")
-        .when(
-            yield_is_official("10Y"),
-            F.when(obs_count("US10Y") >= has, "proxy"),
-        )
-        .when(obs_count("US10Y_YF") >= has, "proxy_yf")
+        f"case when count_MOVE > {P.MOVE_MIN_OBS} then 'move' "
+        f"when {official_yield('10Y')} then if(count_US10Y >= {has}, 'proxy', null) "
+        f"when count_US10Y_YF >= {has} then 'proxy_yf' end"
     )
 
 
-def rate_vol(kind: Column, field: str) -> Column:
-    """Level or percentile; scaling a whole series leaves its percentile alone."""
-    proxy = {"value": "proxy", "pctile": "proxy_pctile"}[field]
-    quoted = F.col(f"at_US10Y_YF.{proxy}")
-    if field == "value":
-        quoted = rescaled(quoted, F.col("at_US10Y_YF.value"))
+def rate_vol_level() -> str:
+    quoted = rescaled("at_US10Y_YF.vol", "at_US10Y_YF.value")
     return (
-        F.when(kind == "move", F.col(f"at_MOVE.{field}"))
-        .when(kind == "proxy", F.col(f"at_US10Y.{proxy}"))
-        .when(kind == "proxy_yf", quoted)
+        "case rate_vol_kind when 'move' then at_MOVE.value when 'proxy' then at_US10Y.vol "
+        f"when 'proxy_yf' then {quoted} end"
     )
 
 
-def rate_vol_source(kind: Column) -> Column:
+def rate_vol_pctile() -> str:
+    """Scaling a whole series leaves its percentile alone."""
     return (
-        F.when(kind == "move", P.SOURCE_MOVE)
-        .when(kind.isNotNull(), P.SOURCE_VOL_PROXY)
-        .otherwise(P.SOURCE_NONE)
+        "case rate_vol_kind when 'move' then at_MOVE.pctile when 'proxy' then at_US10Y.pctile "
+        "when 'proxy_yf' then at_US10Y_YF.pctile end"
     )
 
 
-def credit_kind() -> Column:
+def rate_vol_source() -> str:
     return (
-        F.when(obs_count("HY_OAS") > P.OAS_MIN_OBS, "oas")
-        .when(present("HYG") & present("LQD") & present("RATIO"), "ratio")
-        .otherwise("none")
+        f"case when rate_vol_kind = 'move' then '{P.SOURCE_MOVE}' "
+        f"when rate_vol_kind is not null then '{P.SOURCE_VOL_PROXY}' else '{P.SOURCE_NONE}' end"
     )
 
 
-def credit_source(kind: Column) -> Column:
+def credit_kind() -> str:
+    pair = " and ".join(present(s) for s in ("HYG", "LQD", "RATIO"))
     return (
-        F.when(kind == "oas", P.SOURCE_OAS)
-        .when(kind == "ratio", P.SOURCE_RATIO)
-        .otherwise(P.SOURCE_NONE)
+        f"case when count_HY_OAS > {P.OAS_MIN_OBS} then 'oas' when {pair} then 'ratio' "
+        "else 'none' end"
     )
 
 
-def nonzero(c: Column) -> Column:
-    return F.when(c != 0.0, c)
-
-
-def curve_source() -> Column:
-    both = yield_source("10Y").isNotNull() & yield_is_official("2Y")
-    return F.when(present("CURVE_10_2"), "published").when(both, "spread")
-
-
-def curve_level() -> Column:
-    return _curve(lambda s, scale: scale(f"{s}.ten") - F.col(f"{s}.two"))
+def credit_source() -> str:
+    return (
+        f"case credit_kind when 'oas' then '{P.SOURCE_OAS}' when 'ratio' then "
+        f"'{P.SOURCE_RATIO}' else '{P.SOURCE_NONE}' end"
+    )
 
 
-def curve_change() -> Column:
-    def change(s, scale):
-        now = scale(f"{s}.ten") - F.col(f"{s}.two")
-        return now - (scale(f"{s}.base_ten") - F.col(f"{s}.base_two"))
+def curve(published: str, spread: str, quoted: str) -> str:
+    """Published spread, else the chosen 10-year minus the 2-year on their joint dates."""
+    return (
+        f"case when {present('CURVE_10_2')} then {published} "
+        f"when {official_yield('2Y')} and {official_yield('10Y')} then {spread} "
+        f"when {official_yield('2Y')} and {present('US10Y_YF')} then {quoted} end"
+    )
 
-    return _curve(change, published="c90")
 
+def curve_level() -> str:
+    quoted = rescaled("at_SPREAD_YF.ten", "at_US10Y_YF.value")
+    return curve(
+        "at_CURVE_10_2.value", "at_SPREAD.ten - at_SPREAD.two", f"{quoted} - at_SPREAD_YF.two"
+    )
 
-def _curve(spread, published: str = "value") -> Column:
-    """Published spread, else the chosen 10-year minus the 2-year on their joint dates."""
 
-    def plain(c):
-        return F.col(c)
+def curve_change() -> str:
+    now = rescaled("at_SPREAD_YF.ten", "at_US10Y_YF.value")
+    then = rescaled("at_SPREAD_YF.base.ten", "at_US10Y_YF.value")
+    return curve(
+        "at_CURVE_10_2.c90",
+        "(at_SPREAD.ten - at_SPREAD.two) - (at_SPREAD.base.ten - at_SPREAD.base.two)",
+        f"({now} - at_SPREAD_YF.two) - ({then} - at_SPREAD_YF.base.two)",
+    )
 
-    def quoted(c):
-        return rescaled(F.col(c), F.col("at_US10Y_YF.value"))
 
-    two_ok = yield_is_official("2Y")
-    return (
-        F.when(present("CURVE_10_2"), F.col(f"at_CURVE_10_2.{published}"))
-        .when(two_ok & yield_is_official("10Y"), spread("at_SPREAD", plain))
-        .when(
-            two_ok & ~yield_is_official("10Y") & present("US10Y_YF"),
-            spread("at_SPREAD_YF", quoted),
-        )
-    )
+def curve_source() -> str:
+    return curve("'published'", "'spread'", "'spread'")
 
 
 # Monthly series behind each seeded input, and the constant behind it.
@@ -159,54 +140,56 @@ SEEDS = {
 }
 
 
-def seed_value(key: str) -> Column:
+def seed_value(key: str) -> str:
     series, constant = SEEDS[key]
-    return F.when(present(series), round_exact(seen(series), 3)).otherwise(constant)
+    return f"if({present(series)}, round(at_{series}.value, 3), {constant}D)"
 
 
-def seed_source(key: str) -> Column:
+def seed_source(key: str) -> str:
     series, _ = SEEDS[key]
-    when_seen = F.date_format(F.date_from_unix_date(F.col(f"at_{series}.n")), "MMM yyyy")
-    return F.when(
-        present(series), F.concat(F.lit(P.SEED_LABELS[key] + ", "), when_seen)
-    ).otherwise(P.SEED_FALLBACK_LABEL)
+    month = f"date_format(date_from_unix_date(at_{series}.n), 'MMM yyyy')"
+    return (
+        f"if({present(series)}, concat('{P.SEED_LABELS[key]}, ', {month}), "
+        f"'{P.SEED_FALLBACK_LABEL}')"
+    )
 
 
-def seed_is_live(key: str) -> Column:
+def seed_is_live(key: str) -> str:
     return present(SEEDS[key][0])
 
 
-def jp_yield(tenor: str, seeded: bool) -> Column:
+def jp_yield(tenor: str, seeded: bool) -> str:
     """The manual value wins. With ``seeded`` an absent one is filled the way an input form
     is pre-filled; otherwise the 10-year falls back to the monthly series."""
-    manual = F.col(f"manual_JP{tenor}")
+    manual = f"manual_JP{tenor}"
     if seeded:
-        return F.coalesce(manual, seed_value(f"JP{tenor}"))
+        return f"coalesce({manual}, {seed_value(f'JP{tenor}')})"
     if tenor == "10Y":
-        return F.coalesce(manual, seen("JP10Y_MONTHLY"))
+        return f"coalesce({manual}, {seen('JP10Y_MONTHLY')})"
     return manual
 
 
-def jp_yield_source(tenor: str, seeded: bool) -> Column:
-    typed = F.coalesce(F.col(f"manual_JP{tenor}_source"), F.lit("manual entry"))
-    chosen = F.when(F.col(f"manual_JP{tenor}").isNotNull(), typed)
+def jp_yield_source(tenor: str, seeded: bool) -> str:
     if seeded:
-        return chosen.otherwise(seed_source(f"JP{tenor}"))
-    if tenor == "10Y":
-        day = F.date_from_unix_date(F.col("at_JP10Y_MONTHLY.n")).cast("string")
-        chosen = chosen.when(
-            present("JP10Y_MONTHLY"), F.concat(F.lit("FRED monthly, "), day)
+        other = seed_source(f"JP{tenor}")
+    elif tenor == "10Y":
+        day = "cast(date_from_unix_date(at_JP10Y_MONTHLY.n) as string)"
+        other = (
+            f"if({present('JP10Y_MONTHLY')}, concat('FRED monthly, ', {day}), "
+            f"'{P.SOURCE_NONE}')"
         )
-    return chosen.otherwise(P.SOURCE_NONE)
+    else:
+        other = f"'{P.SOURCE_NONE}'"
+    typed = f"coalesce(manual_JP{tenor}_source, 'manual entry')"
+    return f"if(manual_JP{tenor} is not null, {typed}, {other})"
 
 
-def boj_rate(seeded: bool) -> Column:
-    manual = F.col("manual_BOJ_RATE")
-    return F.coalesce(manual, seed_value("BOJ_RATE")) if seeded else manual
+def boj_rate(seeded: bool) -> str:
+    return f"coalesce(manual_BOJ_RATE, {seed_value('BOJ_RATE')})" if seeded else "manual_BOJ_RATE"
 
 
-def fed_funds(seeded: bool) -> Column:
-    manual = F.col("manual_FED_FUNDS")
+def fed_funds(seeded: bool) -> str:
+    manual = "manual_FED_FUNDS"
     if seeded:
-        manual = F.coalesce(manual, F.lit(P.MANUAL_POLICY_RATES["FED_FUNDS"]))
-    return F.when(present("FED_FUNDS"), seen("FED_FUNDS")).otherwise(manual)
+        manual = f"coalesce({manual}, {P.MANUAL_POLICY_RATES['FED_FUNDS']}D)"
+    return f"if({present('FED_FUNDS')}, at_FED_FUNDS.value, {manual})"

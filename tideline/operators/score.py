@@ -19,43 +19,65 @@ COMPONENTS = list(P.COMPONENTS)
 Scenarios = Mapping[str, Mapping[str, float]]
 
 
-def signal_values() -> dict[str, Column]:
-    c = F.col
-    usable = c("margin_usable")
+def signal_values() -> dict[str, str]:
     return {
-        "usdjpy_1m_pct": c("usdjpy_1m"),
-        "usdjpy_1w_pct": c("usdjpy_1w"),
-        "carry_cross_drawdown_pct": c("carry_cross_drawdown"),
-        "diff_2y_change_3m": c("diff_2y_change_3m"),
-        "diff_2y_level": c("diff_2y"),
-        "rate_vol_pctile": c("rate_vol_pctile"),
-        "curve_steepening_3m": c("curve_change_3m"),
-        "vix_level": c("vix"),
-        "vix_term_structure": c("vix_ratio"),
-        "hy_oas_change_1m": c("hy_oas_change_1m"),
-        "hy_oas_level": c("hy_oas"),
-        "hyg_lqd_drawdown_pct": c("hyg_lqd_drawdown"),
+        "usdjpy_1m_pct": "usdjpy_1m",
+        "usdjpy_1w_pct": "usdjpy_1w",
+        "carry_cross_drawdown_pct": "carry_cross_drawdown",
+        "diff_2y_change_3m": "diff_2y_change_3m",
+        "diff_2y_level": "diff_2y",
+        "rate_vol_pctile": "rate_vol_pctile",
+        "curve_steepening_3m": "curve_change_3m",
+        "vix_level": "vix",
+        "vix_term_structure": "vix_ratio",
+        "hy_oas_change_1m": "hy_oas_change_1m",
+        "hy_oas_level": "hy_oas",
+        "hyg_lqd_drawdown_pct": "hyg_lqd_drawdown",
         # A placeholder table scores nothing rather than calm.
-        "margin_debt_yoy": F.when(usable, c("margin_yoy_pct")),
-        "margin_debt_vs_peak": F.when(usable, c("margin_pct_of_peak")),
+        "margin_debt_yoy": "if(margin_usable, margin_yoy_pct, null)",
+        "margin_debt_vs_peak": "if(margin_usable, margin_pct_of_peak, null)",
         # A jump and a collapse are both shocks.
-        "oil_abs_move_1m": F.abs(c("wti_1m")),
-        "oil_vol_pctile": c("wti_vol_pctile"),
+        "oil_abs_move_1m": "abs(wti_1m)",
+        "oil_vol_pctile": "wti_vol_pctile",
     }
 
 
-def rule_conditions() -> dict[str, Column]:
-    c, p = F.col, P.RULE_PARAMS
+def rule_conditions() -> dict[str, str]:
+    p = P.RULE_PARAMS
     fired = {
-        "carry_unwind": (c("usdjpy_1w") < p["carry_unwind_usdjpy_1w"])
-        & (c("diff_2y") > p["carry_unwind_min_diff"]),
-        "vol_backwardation": c("vix_ratio") > p["vol_backwardation_ratio"],
-        "credit_crack": c("hy_oas_change_1m") > p["credit_crack_oas_1m"],
-        "leverage_at_peak_and_vol_rising": c("margin_usable")
-        & (c("margin_pct_of_peak") >= p["leverage_peak_proximity"])
-        & (c("vix") > p["leverage_vix_trigger"]),
+        "carry_unwind": (
+            f"usdjpy_1w < {p['carry_unwind_usdjpy_1w']}D "
+            f"and diff_2y > {p['carry_unwind_min_diff']}D"
+        ),
+        "vol_backwardation": f"vix_ratio > {p['vol_backwardation_ratio']}D",
+        "credit_crack": f"hy_oas_change_1m > {p['credit_crack_oas_1m']}D",
+        "leverage_at_peak_and_vol_rising": (
+            f"margin_usable and margin_pct_of_peak >= {p['leverage_peak_proximity']}D "
+            f"and vix > {p['leverage_vix_trigger']}D"
+        ),
     }
-    return {rule: F.coalesce(cond, F.lit(False)) for rule, cond in fired.items()}
+    return {rule: f"coalesce({cond}, false)" for rule, cond in fired.items()}
+
+
+def ramp(value: str, calm: float, stress: float) -> str:
+    """SQL twin of ``functions.scoring.ramp``; a null value stays null."""
+    if stress == calm:
+        return f"cast({value} >= {calm}D as double)"
+    share = f"({value} - {calm}D) / {stress - calm}D"
+    return f"if({value} is null, null, greatest(0.0D, least(1.0D, {share})))"
+
+
+def counts(score: str, weight: str) -> str:
+    return f"({score} is not null and {weight} > 0.0D)"
+
+
+def weighted_sum(pairs: list[tuple[str, str]]) -> str:
+    """Terms in a fixed order, so a result never depends on partitioning."""
+    return " + ".join(f"if({counts(s, w)}, {s} * {w}, 0.0D)" for s, w in pairs)
+
+
+def available_weight(pairs: list[tuple[str, str]]) -> str:
+    return " + ".join(f"if({counts(s, w)}, {w}, 0.0D)" for s, w in pairs)
 
 
 def with_scores(
@@ -63,19 +85,19 @@ def with_scores(
 ) -> DataFrame:
     """Add ``val_*`` and ``sig_*`` per signal, ``comp_*`` per component, ``rule_*`` per rule."""
     values = signal_values()
-    rows = features.withColumns({f"val_{s}": v for s, v in values.items()})
-    rows = rows.withColumns(
-        {f"sig_{s}": C.ramp(F.col(f"val_{s}"), *thresholds[s]) for s in values}
-        | {f"rule_{r}": cond for r, cond in rule_conditions().items()}
-    )
     components = {}
     for name in COMPONENTS:
-        members = [s for s, spec in P.SIGNALS.items() if spec[0] == name]
-        components[f"comp_{name}"] = C.weighted_mean(
-            [F.col(f"sig_{s}") for s in members],
-            [F.lit(P.SIGNALS[s][1]) for s in members],
+        pairs = [(f"sig_{s}", f"{spec[1]}D") for s, spec in P.SIGNALS.items() if spec[0] == name]
+        components[name] = f"try_divide({weighted_sum(pairs)}, {available_weight(pairs)})"
+    return (
+        features.selectExpr("*", *[f"{v} as val_{s}" for s, v in values.items()])
+        .selectExpr(
+            "*",
+            *[f"{ramp(f'val_{s}', *thresholds[s])} as sig_{s}" for s in values],
+            *[f"{cond} as rule_{r}" for r, cond in rule_conditions().items()],
         )
-    return rows.withColumns(components)
+        .selectExpr("*", *[f"{v} as comp_{k}" for k, v in components.items()])
+    )
 
 
 def with_weights(rows: DataFrame, scenarios: Scenarios | None = None) -> DataFrame:
@@ -83,79 +105,62 @@ def with_weights(rows: DataFrame, scenarios: Scenarios | None = None) -> DataFra
     multiplies rows in place: nothing is joined or shuffled."""
     named = scenarios or {"base": {}}
 
-    def weights(overrides):
+    def setting(name, overrides):
         unknown = set(overrides) - set(COMPONENTS)
         if unknown:
             raise ValueError(f"unknown components: {sorted(unknown)}")
-        return {k: float(overrides.get(k, P.COMPONENTS[k][1])) for k in COMPONENTS}
-
-    if len(named) == 1:
-        ((name, overrides),) = named.items()
-        return rows.withColumns(
-            {"scenario": F.lit(name)}
-            | {f"w_{k}": F.lit(w) for k, w in weights(overrides).items()}
-        )
-    settings = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("scenario"),
-                *[F.lit(w).alias(f"w_{k}") for k, w in weights(overrides).items()],
-            )
-            for name, overrides in named.items()
-        ]
+        weights = {k: float(overrides.get(k, P.COMPONENTS[k][1])) for k in COMPONENTS}
+        quoted = name.replace("\\", "\\\\").replace("'", "\\'")
+        return [f"'{quoted}'", *[f"{w}D" for w in weights.values()]]
+
+    columns = ["scenario", *[f"w_{k}" for k in COMPONENTS]]
+    settings = [setting(name, overrides) for name, overrides in named.items()]
+    if len(settings) == 1:
+        return rows.selectExpr("*", *[f"{v} as {c}" for v, c in zip(settings[0], columns)])
+    structs = ", ".join(
+        "named_struct(" + ", ".join(f"'{c}', {v}" for c, v in zip(columns, values)) + ")"
+        for values in settings
     )
-    return rows.select("*", F.inline(settings))
+    return rows.selectExpr("*", f"inline(array({structs}))")
 
 
 def with_composite(rows: DataFrame) -> DataFrame:
     """Weighted mean of the available components, lifted to the highest fired floor."""
-    scores = [F.col(f"comp_{k}") for k in COMPONENTS]
-    weights = [F.col(f"w_{k}") for k in COMPONENTS]
-    rows = rows.withColumns(
-        {
-            "avail_weight": C.available_weight(scores, weights),
-            "total_weight": C.total([F.when(w > 0.0, w).otherwise(0.0) for w in weights]),
-            "mean_score": C.weighted_mean(scores, weights),
-        }
-    )
-    any_data = F.col("avail_weight") > 0.0
-    floor = F.greatest(
-        *[F.when(F.col(f"rule_{r}"), f).otherwise(0.0) for r, f in P.RULE_FLOORS.items()]
+    pairs = [(f"comp_{k}", f"w_{k}") for k in COMPONENTS]
+    floors = ", ".join(f"if(rule_{r}, {f}D, 0.0D)" for r, f in P.RULE_FLOORS.items())
+    fired = " + ".join(f"cast(rule_{r} as bigint)" for r in P.RULE_FLOORS)
+    # Labels of components without a score, in component order; weight plays no part.
+    missing = ", ".join(
+        f"if(comp_{k} is null, '{label}', null)" for k, (label, _) in P.COMPONENTS.items()
     )
-    rows = rows.withColumns(
-        {
-            "base_raw": F.when(any_data, F.col("mean_score") * 100.0).otherwise(0.0),
-            "floor": F.when(any_data, floor).otherwise(0.0),
-            "coverage_raw": F.when(
-                any_data, F.try_divide("avail_weight", "total_weight") * 100.0
-            ).otherwise(0.0),
-            "rules_fired": F.when(
-                any_data,
-                C.total([F.col(f"rule_{r}").cast("bigint") for r in P.RULE_FLOORS]),
-            ).otherwise(0),
-        }
+    scored = rows.selectExpr(
+        "*",
+        f"{weighted_sum(pairs)} as weighted_score",
+        f"{available_weight(pairs)} as avail_weight",
+        f"{' + '.join(f'greatest(w_{k}, 0.0D)' for k in COMPONENTS)} as total_weight",
+        f"concat_ws(', ', {missing}) as missing",
+    ).selectExpr(
+        "* except (weighted_score)",
+        "coalesce(try_divide(weighted_score, avail_weight) * 100.0D, 0.0D) as base_raw",
+        f"if(avail_weight > 0.0D, greatest({floors}), 0.0D) as floor",
+        "coalesce(try_divide(avail_weight, total_weight) * 100.0D, 0.0D) as coverage_raw",
+        f"if(avail_weight > 0.0D, {fired}, 0L) as rules_fired",
+    ).selectExpr(
+        "*", "greatest(base_raw, floor) as composite_raw"
     )
-    rows = rows.withColumn("composite_raw", F.greatest("base_raw", "floor"))
     # The regime follows the unrounded composite; rounding is for display.
-    return rows.withColumns(
+    return scored.withColumns(
         {
-            "regime": F.when(any_data, C.regime_of(F.col("composite_raw"))).otherwise("na"),
+            "regime": F.when(
+                F.col("avail_weight") > 0.0, C.regime_of(F.col("composite_raw"))
+            ).otherwise("na"),
             "composite": round_exact(F.col("composite_raw"), 1),
             "base_composite": round_exact(F.col("base_raw"), 1),
             "coverage_pct": round_exact(F.col("coverage_raw"), 0),
-            "missing": missing_text(),
         }
     )
 
 
-def missing_text() -> Column:
-    """Labels of components without a score, in component order; weight plays no part."""
-    labels = [
-        F.when(F.col(f"comp_{k}").isNull(), label) for k, (label, _) in P.COMPONENTS.items()
-    ]
-    return F.concat_ws(", ", *labels)
-
-
 def assess(
     features: DataFrame,
     scenarios: Scenarios | None = None,
