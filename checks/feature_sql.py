@@ -96,8 +96,7 @@ STATE = f"""cal AS MATERIALIZED (SELECT DISTINCT scope, n AS d FROM panel),
     lastobs AS MATERIALIZED (
       SELECT scope, d, series, o.n AS n, o.value AS value,
         {', '.join(f'o.{f} AS {f}' for f in FIELDS)}
-      FROM {latest_at('(SELECT * FROM cal CROSS JOIN names)', 'own', 'scope, series')}
-      WHERE o IS NOT NULL),
+      FROM {latest_at('(SELECT * FROM cal CROSS JOIN names)', 'own', 'scope, series')}),
     guarded AS (SELECT * FROM cal CROSS JOIN
       (SELECT unnest(['US2Y', 'US10Y', 'US30Y', 'US10Y_YF', 'MOVE', 'HY_OAS']) AS series)),
     counted AS (SELECT scope, series, n, rn, n + 1126 AS gone FROM own),

@@ -127,14 +127,15 @@ def freshness(obs: DataFrame) -> DataFrame:
     return ends.withColumn("newest", F.greatest(*names))
 
 
-def feed_status_of(quotes: Column, official: Column, missing: Column) -> Column:
-    """Which feeds answered, and which components are out."""
-    return (
-        F.when((quotes == 0) & (official == 0), "no_data")
-        .when(quotes == 0, "quotes_empty")
-        .when(missing != "", F.concat(F.lit("missing: "), missing))
+def feed_status(assessed: DataFrame) -> DataFrame:
+    """Which feeds answered and which components are out, per scored row."""
+    status = (
+        F.when(~F.col("quotes_seen") & ~F.col("official_seen"), "no_data")
+        .when(~F.col("quotes_seen"), "quotes_empty")
+        .when(F.col("missing") != "", F.concat(F.lit("missing: "), F.col("missing")))
         .otherwise("ok")
     )
+    return assessed.select("scope", "as_of", "scenario", status.alias("feed_status"))
 
 
 def feed_counts(obs: DataFrame) -> DataFrame:
