@@ -73,18 +73,51 @@ def panel_rows(
     return rows.repartition(partitions, "scope")
 
 
-def with_volatility(rows: DataFrame) -> DataFrame:
+def ranked(rows: DataFrame, key: str, keys: str, out: str, latest_only: bool) -> DataFrame:
+    """Percentile of ``key`` in its trailing window, within partitions ``keys``.
+
+    For a whole history every row collects its window. A snapshot reads only the last row of
+    each partition, so there two counts over the partition do, in one pass.
+    """
+    days = P.PERCENTILE_DAYS
+    if not latest_only:
+        window = f"(partition by {keys} order by n range between {days} preceding and current row)"
+        return (
+            rows.selectExpr("*", f"collect_list(0.0D - {key}) over {window} as _window")
+            .withColumn(out, percentile_in(F.col("_window"), F.col(key)))
+            .drop("_window")
+        )
+    whole = f"(partition by {keys})"
+    inside = f"{key} is not null and n >= _last_n - {days}"
+    return (
+        rows.selectExpr(
+            "*", f"max(n) over {whole} as _last_n", f"max_by({key}, n) over {whole} as _last_key"
+        )
+        .selectExpr(
+            "*",
+            f"count_if({inside}) over {whole} as _size",
+            f"count_if({inside} and {key} <= _last_key) over {whole} as _below",
+        )
+        .selectExpr(
+            "* except (_last_n, _last_key, _size, _below)",
+            f"if(n = _last_n and {key} is not null and _size >= {P.PERCENTILE_MIN_OBS}, "
+            f"_below / cast(_size as double) * 100.0D, null) as {out}",
+        )
+    )
+
+
+def with_volatility(rows: DataFrame, latest_only: bool = False) -> DataFrame:
     """Returns, twenty-row deviations and trailing percentiles on each series' own calendar.
 
     Rows of other series get a window partition of their own each, so they pay for no frame.
     """
     stepped = names([*RANKED, *EQUITY_BOND])
-    own = f"partition by scope, series, if(series in ({stepped}), null, n) order by n"
+    keys = f"scope, series, if(series in ({stepped}), null, n)"
+    own = f"partition by {keys} order by n"
     last20 = f"({own} rows between {P.VOL_ROWS - 1} preceding and current row)"
     deviation = f"stddev_samp(step) over {last20} * {ANNUAL * 100.0}D"
     guarded = f"(series not in ({names(OIL)}) or rn >= {P.VOL_MIN_OBS})"
-    window = f"({own} range between {P.PERCENTILE_DAYS} preceding and current row)"
-    ranked = (
+    keyed = (
         rows.selectExpr(
             "*", f"lag(value) over ({own}) as previous", f"row_number() over ({own}) as rn"
         )
@@ -102,11 +135,8 @@ def with_volatility(rows: DataFrame) -> DataFrame:
         .selectExpr(
             "*", "if(series = 'MOVE', value, round(deviation, 8)) as rank_key"
         )
-        .selectExpr("*", f"collect_list(0.0D - rank_key) over {window} as ranks")
     )
-    return ranked.withColumn(
-        "rank", percentile_in(F.col("ranks"), F.col("rank_key"))
-    ).selectExpr(
+    return ranked(keyed, "rank_key", keys, "rank", latest_only).selectExpr(
         "scope", "n", "series", "value", "wanted", *[f"lev_{c}" for c in LEVERAGE], "ret",
         f"if({guarded}, deviation, null) as vol", f"if({guarded}, rank, null) as pctile",
     )
@@ -141,22 +171,22 @@ def by_date(rows: DataFrame) -> DataFrame:
     )
 
 
-def with_pairs(days: DataFrame) -> DataFrame:
+def with_pairs(days: DataFrame, latest_only: bool = False) -> DataFrame:
     """Joint correlation and ratio percentile, each over the dates both series have."""
 
     def own(column):
-        return f"partition by scope, if({column} is null, n, null) order by n"
+        return f"scope, if({column} is null, n, null)"
 
-    last = f"({own('joint')} rows between {P.CORR_ROWS - 1} preceding and current row)"
-    window = f"({own('RATIO')} range between {P.PERCENTILE_DAYS} preceding and current row)"
+    last = (
+        f"(partition by {own('joint')} order by n rows between {P.CORR_ROWS - 1} preceding "
+        "and current row)"
+    )
     rows = days.selectExpr(
         "*",
         f"if(joint and count(joint) over {last} >= {P.CORR_ROWS}, "
         f"nanvl(corr(SPX_ret, TLT_ret) over {last}, null), null) as corr",
-    ).selectExpr("*", f"collect_list(0.0D - RATIO) over {window} as ranks")
-    return rows.withColumn(
-        "RATIO_pctile", percentile_in(F.col("ranks"), F.col("RATIO"))
-    ).drop("ranks")
+    )
+    return ranked(rows, "RATIO", own("RATIO"), "RATIO_pctile", latest_only)
 
 
 BY_DAY = "partition by scope order by n"
@@ -272,10 +302,15 @@ def asof_state(
     manual: DataFrame | None = None,
     calendar: DataFrame | None = None,
     publication_lag_days: int = 0,
+    latest_only: bool = False,
 ) -> DataFrame:
-    """Per scope and date: every series' last observation and guard counts."""
-    rows = with_volatility(panel_rows(obs, margin, calendar, publication_lag_days))
-    state = carried(with_pairs(by_date(rows)))
+    """Per scope and date: every series' last observation and guard counts.
+
+    ``latest_only``: the dates wanted are at or after every observation.
+    """
+    rows = panel_rows(obs, margin, calendar, publication_lag_days)
+    days = by_date(with_volatility(rows, latest_only))
+    state = carried(with_pairs(days, latest_only))
     return with_manual(state.where("wanted"), manual)
 
 
@@ -404,4 +439,5 @@ def feature_snapshot(
     if margin is not None:
         known = margin.where(F.date_add("month", publication_lag_days) <= day)
     calendar = cut.select("scope").distinct().withColumn("as_of", day)
-    return feature_history(cut, known, manual, calendar, seeded, publication_lag_days)
+    state = asof_state(cut, known, manual, calendar, publication_lag_days, latest_only=True)
+    return resolved(state, seeded)
