@@ -78,8 +78,6 @@ def main():
         .config("spark.sql.adaptive.enabled", "true")
         # Rows of these panels are few and costly: keep every core busy.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
-        # Generated methods above this size are never compiled by the JVM.
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -47,24 +47,25 @@ def panel_rows(
     obs: DataFrame, margin: DataFrame | None, calendar: DataFrame | None, lag_days: int
 ) -> DataFrame:
     """Observations, leverage figures and wanted dates as rows of one long table, by scope."""
-    no_lev = [f"cast(null as {t}) as lev_{c}" for c, t in LEVERAGE.items()]
+    fields = ", ".join(f"{c}: {t}" for c, t in LEVERAGE.items())
+    no_lev = f"cast(null as struct<{fields}>) as lev"
     no_obs = ["cast(null as string) as series", "cast(null as double) as value"]
     rows = obs.where(F.col("series").isin(SERIES)).selectExpr(
         "scope", "unix_date(obs_date) as n", "series", "value",
-        f"{str(calendar is None).lower()} as wanted", *no_lev,
+        f"{str(calendar is None).lower()} as wanted", no_lev,
     )
     if margin is not None:
         figures = leverage_history(margin)
         rows = rows.unionByName(
             figures.selectExpr(
                 "scope", f"unix_date(month) + {lag_days} as n", *no_obs, "false as wanted",
-                *[f"{c} as lev_{c}" for c in LEVERAGE],
+                f"struct({', '.join(LEVERAGE)}) as lev",
             )
         )
     if calendar is not None:
         rows = rows.unionByName(
             calendar.selectExpr(
-                "scope", "unix_date(as_of) as n", *no_obs, "true as wanted", *no_lev
+                "scope", "unix_date(as_of) as n", *no_obs, "true as wanted", no_lev
             )
         )
     # One shuffle serves every step after it. Rows cost far more time than bytes here, so
@@ -137,7 +138,7 @@ def with_volatility(rows: DataFrame, latest_only: bool = False) -> DataFrame:
         )
     )
     return ranked(keyed, "rank_key", keys, "rank", latest_only).selectExpr(
-        "scope", "n", "series", "value", "wanted", *[f"lev_{c}" for c in LEVERAGE], "ret",
+        "scope", "n", "series", "value", "wanted", "lev", "ret",
         f"if({guarded}, deviation, null) as vol", f"if({guarded}, rank, null) as pctile",
     )
 
@@ -157,7 +158,7 @@ def by_date(rows: DataFrame) -> DataFrame:
             *[pick(s, "vol").alias(f"{s}_vol") for s in OIL + TEN_YEAR],
             *[pick(s, "pctile").alias(f"{s}_pctile") for s in RANKED],
             *[pick(s, "ret").alias(f"{s}_ret") for s in EQUITY_BOND],
-            *[F.max(f"lev_{c}").alias(f"lev_{c}") for c in LEVERAGE],
+            *[F.max(f"lev.{c}").alias(f"lev_{c}") for c in LEVERAGE],
         )
         .selectExpr(
             "*", "try_divide(HYG, LQD) as RATIO",

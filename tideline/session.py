@@ -12,9 +12,6 @@ def session(master: str | None = None, shuffle_partitions: int | None = None) ->
         SparkSession.builder.appName("tideline")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # A feature row has over a hundred expressions. The JVM never compiles a generated
-        # method above this size; Spark then splits the projection into small ones.
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.showConsoleProgress", "false")
     )
