@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tideline.llm import quality_rules
+from tideline.llm import quality_rules, secrets
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source is an owner, its languages are its repositories."""
+    repo = F.concat_ws("/", "source", "lang")
+    return secrets.find_secrets(documents(spark, sf_dir), repo, F.col("source"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measured_screen(documents(spark, sf_dir))
 
 
 QUERIES = {
+    "op3_secret_scan": (op3_secret_scan, None),
     "op6_quality_rules": (op6_quality_rules, None),
 }
