@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import packing, quality_rules, secrets, toxicity
+from tideline.llm import hmm, packing, quality_rules, secrets, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_hidden_markov_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    return hmm.score_documents(documents(spark, sf_dir), held_out)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source is an owner, its languages are its repositories."""
     repo = F.concat_ws("/", "source", "lang")
@@ -38,6 +43,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_hidden_markov_score": (op2_hidden_markov_score, None),
     "op3_secret_scan": (op3_secret_scan, None),
     "op4_packing": (op4_packing, None),
     "op6_quality_rules": (op6_quality_rules, None),
