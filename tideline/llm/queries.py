@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import hmm, packing, quality_rules, secrets, toxicity
+from tideline.llm import hmm, minhash, packing, quality_rules, secrets, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op2_hidden_markov_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
     return hmm.score_documents(documents(spark, sf_dir), held_out)
@@ -43,6 +47,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash_near_dedup": (op1_minhash_near_dedup, None),
     "op2_hidden_markov_score": (op2_hidden_markov_score, None),
     "op3_secret_scan": (op3_secret_scan, None),
     "op4_packing": (op4_packing, None),
