@@ -166,6 +166,14 @@ def _set_aside(members: DataFrame, buckets: DataFrame, sets: DataFrame, similari
     return inside.join(able, "node", "left_semi")
 
 
+def _few_pairs(members: DataFrame) -> bool:
+    """Whether all pairs within unresolved buckets are no more than their members: then they are
+    verified at once, which gives what further rounds would."""
+    count = members.groupBy("band").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
+    row = count.agg(F.sum(F.expr("c * (c - 1) div 2")), F.sum("c")).first()
+    return row[0] is None or row[0] <= 2 * row[1]
+
+
 def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members with the components that ``links`` (of old components) join."""
     joined = components(links)
@@ -198,8 +206,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     edges: list[DataFrame] = []
     for turn in range(rounds + 1):
+        last = turn == rounds or _few_pairs(members)
         buckets = _unresolved(members, turn)
-        if turn == rounds:
+        if last:
             other = members.select("band", F.col("node").alias("u"), F.col("comp").alias("cu"))
             mine = members.select("band", F.col("node").alias("v"), F.col("comp").alias("cv"))
             pairs = other.join(mine, "band").where("cu < cv")
@@ -211,12 +220,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = keep(verify(pairs.select("u", "v"), sets, similarity), "minhash-links")
         edges.append(found)
         members = _relabel(members, found.join(pairs, ["u", "v"]).select(F.col("cu").alias("u"), F.col("cv").alias("v")))
-        if turn and turn < rounds:
+        if turn and not last:
             members = keep(members, "minhash-members")
             members = _set_aside(members, _unresolved(members, turn), sets, similarity)
-        members = keep(members, "minhash-members")
-        if turn == rounds:
+        if last:
             break
+        members = keep(members, "minhash-members")
 
     if edges:
         linked = edges[0]
