@@ -37,18 +37,20 @@ from tideline.llm.scratch import keep
 from tideline.llm.text import chunks
 
 SEQUENCE, WINDOW_SEQUENCES, END_ID = 2048, 32, 1
+BROADCAST_BLOCKS = 100_000
 
 
 def encoded(docs: DataFrame, vocabulary, id_col: str, text_col: str, source_col: str, end_id: int) -> DataFrame:
-    """id, queue, n, ids (little-endian unsigned 32 bits), part, before."""
+    """id, queue, n, ids (little-endian, unsigned, 16 bits where all ids fit), part, before."""
     kind = dict(docs.dtypes)[id_col]
+    form = np.dtype(stored_form(vocabulary.value, end_id))
 
     def apply(batches):
         part, before = TaskContext.get().partitionId(), {}
         for batch in batches:
             for lo, hi, chunk in chunks(batch.column(2), tokens.CHUNK):
                 ids, border = tokens.encode(chunk, vocabulary.value)
-                out = np.full(len(ids) + chunk.rows, end_id, "<u4")
+                out = np.full(len(ids) + chunk.rows, end_id, form)
                 at = np.arange(len(ids)) + np.repeat(np.arange(chunk.rows), np.diff(border))
                 out[at] = ids
                 border = border + np.arange(chunk.rows + 1)
@@ -56,7 +58,7 @@ def encoded(docs: DataFrame, vocabulary, id_col: str, text_col: str, source_col:
                 for q, k in zip(queue, n.tolist()):
                     start.append(before.get(q, 0))
                     before[q] = start[-1] + k
-                width = 4 * border
+                width = form.itemsize * border
                 binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), chunk.rows, [None, pa.py_buffer(width.astype(np.int64)), pa.py_buffer(out)])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(queue, pa.string()), pa.array(n), binary.cast(pa.binary()), pa.array(np.full(chunk.rows, part)), pa.array(start, pa.int64())],
@@ -67,6 +69,10 @@ def encoded(docs: DataFrame, vocabulary, id_col: str, text_col: str, source_col:
     return rows.mapInArrow(apply, f"id {kind}, queue string, n long, ids binary, part long, before long")
 
 
+def stored_form(vocabulary: str, end_id: int) -> str:
+    return "<u2" if max(tokens.largest_id(vocabulary), end_id) < 1 << 16 else "<u4"
+
+
 @dataclass
 class Phase:
     """Windows ``first`` to ``first + count`` that share targets; ``taken``: tokens before, by queue."""
@@ -164,7 +170,7 @@ def sequence_borders(total: int, sequence: int) -> np.ndarray:
     return np.array([*out, total], np.int64)
 
 
-def _place(batches, schedule: Schedule, sequence: int, with_ids: bool):
+def _place(batches, schedule: Schedule, sequence: int, with_ids: bool, form: str):
     index = {q: j for j, q in enumerate(schedule.queues)}
     whole = int(schedule.total.sum())
     tail = sequence_borders(whole, sequence)
@@ -183,7 +189,7 @@ def _place(batches, schedule: Schedule, sequence: int, with_ids: bool):
         queue, n, begin = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist()
         for i in range(rows):
             j, x, end = index[queue[i]], begin[i], begin[i] + n[i]
-            ids = memoryview(batch.column(3)[i].as_buffer())
+            ids = np.frombuffer(batch.column(3)[i].as_buffer(), form).astype("<u4")
             w = schedule.window_of(j, x)
             while x < end:
                 now, after = taken(w), taken(w + 1)
@@ -198,7 +204,7 @@ def _place(batches, schedule: Schedule, sequence: int, with_ids: bool):
                         k, first, last = full + t, int(tail[t]), int(tail[t + 1])
                     size = min(stop - x, last - place)
                     s = x - begin[i]
-                    cut = ids[4 * s : 4 * (s + size)]
+                    cut = ids[s : s + size]
                     at.append(i)
                     start.append(s)
                     length.append(size)
@@ -207,7 +213,7 @@ def _place(batches, schedule: Schedule, sequence: int, with_ids: bool):
                     seq.append(k)
                     offset.append(place - first)
                     if with_ids:
-                        piece_ids.append(np.frombuffer(cut, "<u4").astype(np.int64))
+                        piece_ids.append(cut.astype(np.int64))
                     x, place = x + size, place + size
                 w += 1
         columns = [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in (start, length, crc, tokens_, seq, offset))]
@@ -238,7 +244,11 @@ def pack(
     schedule = Schedule.plan(totals, named, sequence * window_sequences)
     earlier = F.sum("block").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     starts = blocks.select("queue", "part", F.coalesce(earlier, F.lit(0)).alias("earlier"))
+    # One row for each partition and source; beyond that bound the join shuffles.
+    if blocks.count() <= BROADCAST_BLOCKS:
+        starts = F.broadcast(starts)
     placed = rows.join(starts, ["queue", "part"]).select("id", "queue", "n", "ids", (F.col("earlier") + F.col("before")).alias("begin"))
     kind = dict(docs.dtypes)[id_col]
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids
-    return placed.mapInArrow(lambda b: _place(b, schedule, sequence, with_ids), schema).withColumnRenamed("id", id_col)
+    form = stored_form(vocabulary.value, end_id)
+    return placed.mapInArrow(lambda b: _place(b, schedule, sequence, with_ids, form), schema).withColumnRenamed("id", id_col)

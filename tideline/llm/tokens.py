@@ -129,3 +129,7 @@ def encode(chunk: Chunk, vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
     border = np.concatenate(([0], np.cumsum(size)))
     take = np.repeat(begin - border[:-1], size) + np.arange(border[-1])
     return state.ids[take], border[np.searchsorted(start, off)]
+
+
+def largest_id(vocabulary: str) -> int:
+    return len(_state(vocabulary).width) - 1
