@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import hmm, minhash, packing, quality_rules, secrets, toxicity
+from tideline.llm import hmm, line_dedup, minhash, packing, quality_rules, secrets, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path(), with_ids=False)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.decisions(documents(spark, sf_dir))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measured_screen(documents(spark, sf_dir))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op2_hidden_markov_score": (op2_hidden_markov_score, None),
     "op3_secret_scan": (op3_secret_scan, None),
     "op4_packing": (op4_packing, None),
+    "op5_line_dedup": (op5_line_dedup, None),
     "op6_quality_rules": (op6_quality_rules, None),
     "op7_toxicity": (op7_toxicity, None),
 }
