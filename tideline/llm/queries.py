@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import hmm, line_dedup, minhash, packing, quality_rules, secrets, toxicity
+from tideline.llm import chat, decontamination, hmm, line_dedup, minhash, packing, quality_rules, secrets, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,36 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), labels)
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.verdicts(documents(spark, sf_dir), benchmark)
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+#: Prefixes compared as text, turn by turn, where the query compares hashes.
+OP10_SQL = """
+with turns as (
+  select *, row_number() over (partition by conv_id order by turn, role, text) as n
+  from (select distinct conv_id, turn, role, text from conversations where conv_id is not null)
+), prefixes as (
+  select conv_id, n, count(*) over (partition by conv_id) as total,
+    string_agg(length(coalesce(role, '')) || coalesce('+' || role, '-') || length(coalesce(text, '')) || coalesce('+' || text, '-'), '')
+      over (partition by conv_id order by n) as prefix
+  from turns
+), whole as (
+  select prefix, total, min(conv_id) as conv_id from prefixes where n = total group by prefix, total
+), staying as (
+  select conv_id, total from whole w
+  where not exists (select 1 from prefixes p where p.n < p.total and p.n = w.total and p.prefix = w.prefix)
+)
+select s.conv_id, s.total as n_turns,
+  string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10), '' order by n) as rendered
+from staying s join turns t on t.conv_id = s.conv_id group by s.conv_id, s.total
+"""
+
 QUERIES = {
     "op1_minhash_near_dedup": (op1_minhash_near_dedup, None),
     "op2_hidden_markov_score": (op2_hidden_markov_score, None),
@@ -58,4 +88,6 @@ QUERIES = {
     "op5_line_dedup": (op5_line_dedup, None),
     "op6_quality_rules": (op6_quality_rules, None),
     "op7_toxicity": (op7_toxicity, None),
+    "op9_benchmark_decontamination": (op9_benchmark_decontamination, None),
+    "op10_chat_formatting": (op10_chat_formatting, OP10_SQL),
 }
