@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, decontamination, hmm, line_dedup, minhash, packing, quality_rules, secrets, toxicity
+from tideline.llm import chat, decontamination, hmm, line_dedup, minhash, packing, quality_rules, secrets, toxicity, weak_labels
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), labels)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.classify(documents(spark, sf_dir))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.verdicts(documents(spark, sf_dir), benchmark)
@@ -88,6 +92,7 @@ QUERIES = {
     "op5_line_dedup": (op5_line_dedup, None),
     "op6_quality_rules": (op6_quality_rules, None),
     "op7_toxicity": (op7_toxicity, None),
+    "op8_quality_classifier": (op8_quality_classifier, None),
     "op9_benchmark_decontamination": (op9_benchmark_decontamination, None),
     "op10_chat_formatting": (op10_chat_formatting, OP10_SQL),
 }
