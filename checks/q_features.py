@@ -15,9 +15,20 @@ from tideline.operators import resolve as R
 from tideline.operators.features import asof_state, feature_history
 
 
+def untidy(obs):
+    """Rows that must not count, beside the panel: another provider's series of the same names,
+    and days without a number."""
+    other = obs.withColumns({"provider": F.lit("desk"), "value": F.lit(999.0)})
+    hole = F.expr("if(day(obs_date) % 2 = 0, double('NaN'), cast(null as double))")
+    holes = obs.where("day(obs_date) % 5 = 0").withColumns({"obs_date": F.date_add("obs_date", 1), "value": hole})
+    # Only days without an observation of that series, as daily rows are.
+    holes = holes.join(obs.select("scope", "provider", "series", "obs_date"), ["scope", "provider", "series", "obs_date"], "left_anti")
+    return obs.unionByName(other).unionByName(holes.select(obs.columns))
+
+
 def inputs(spark, sf):
     return (
-        market(spark, sf, outages=True), margin_table(spark, sf), manual_inputs(spark, sf)
+        untidy(market(spark, sf, outages=True)), margin_table(spark, sf), manual_inputs(spark, sf)
     )
 
 

@@ -65,18 +65,18 @@ def s2(spark, sf):
 
 @query(
     "s3_close_layouts",
-    f"""WITH {PANEL}, q AS (SELECT * FROM panel WHERE scope = 'ALL' AND provider = 'yahoo')
-    SELECT layout, series, obs_date, {r6('value')} FROM q, (SELECT unnest(['field', 'symbol']) AS layout)
-    UNION ALL SELECT 'flat', series, obs_date, {r6('value')} FROM q WHERE series = 'SPX'""",
+    f"""WITH {PANEL}, q AS (SELECT * FROM panel WHERE provider = 'yahoo')
+    SELECT layout, scope, series, obs_date, {r6('value')} FROM q, (SELECT unnest(['field', 'symbol']) AS layout)
+    UNION ALL SELECT 'flat', scope, series, obs_date, {r6('value')} FROM q WHERE series = 'SPX'""",
 )
 def s3(spark, sf):
-    obs = market(spark, sf).where("scope = 'ALL'")
+    obs = market(spark, sf)
     symbols = list(P.QUOTE_SYMBOLS.values())
 
     def load(layout, frame, expected):
-        raw = landing.extract_close(frame.drop("scope"), expected)
-        return named(raw.withColumn("scope", F.lit("ALL"))).select(
-            F.lit(layout).alias("layout"), "series", "obs_date", "value"
+        raw = landing.extract_close(frame, expected, keep=["scope"])
+        return named(raw).select(
+            F.lit(layout).alias("layout"), "scope", "series", "obs_date", "value"
         )
 
     by_field = wide(obs, P.QUOTES, "Close|{}").withColumn("Open|^VIX", F.lit(1.0))
@@ -109,17 +109,16 @@ MARGIN_6 = f"""WITH {MARGIN_SQL} SELECT scope, month, {r6('debit_balances_musd')
 
 @query(
     "s5_margin_csv_with_comments",
-    MARGIN_6 + " WHERE scope = 'ALL'",
+    MARGIN_6,
 )
 def s5(spark, sf):
     """A hand-kept file: comment lines, inline comments, untidy headers."""
     path = folder(spark, "margin")
-    rows = margin_csv.margin_csv_rows(margin_table(spark, sf).where("scope = 'ALL'"))
-    line = F.concat_ws(
-        ",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in P.MARGIN_COLUMNS]
-    )
+    columns = ["scope", *P.MARGIN_COLUMNS]
+    rows = margin_csv.margin_csv_rows(margin_table(spark, sf), scoped=True)
+    line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
     body = rows.select(F.col("month").alias("pos"), F.concat(line, F.lit("  # checked")).alias("value"))
-    header = " Month ,Debit_Balances_MUSD,free_credit_cash_musd,free_credit_margin_musd,IS_PLACEHOLDER"
+    header = "Scope, Month ,Debit_Balances_MUSD,free_credit_cash_musd,free_credit_margin_musd,IS_PLACEHOLDER"
     head = spark.createDataFrame([("0", "# a comment line"), ("1", header)], "pos string, value string")
     # One row per month: a hand-kept file, one part with the header on top.
     (
@@ -129,11 +128,36 @@ def s5(spark, sf):
     return rounded(margin_csv.read_margin_csv(spark, path))
 
 
-@query("s7_margin_csv_round_trip", MARGIN_6 + " WHERE scope = 'ALL'")
+@query("s6_supplied_csv", MARGIN_6)
+def s6(spark, sf):
+    """Supplied files: untidy headers in two column orders, and one that is no table at all."""
+    path = folder(spark, "supplied")
+    rows = margin_csv.margin_csv_rows(margin_table(spark, sf), scoped=True)
+    orders = (
+        ("even", ["scope", *P.MARGIN_COLUMNS], "month(cast(month as date)) % 2 = 0"),
+        ("odd", [*reversed(P.MARGIN_COLUMNS), "scope"], "month(cast(month as date)) % 2 = 1"),
+    )
+    for name, columns, part in orders:
+        line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+        head = spark.createDataFrame([("0", ",".join(f'" {c.upper()}"' for c in columns))], "pos string, value string")
+        # One row per scope and month: a hand-kept file, one part with the header on top.
+        head.unionByName(rows.where(part).select(F.col("month").alias("pos"), line.alias("value"))).coalesce(1).sortWithinPartitions(
+            "pos"
+        ).select("value").write.text(f"{path}/{name}")
+    noise = spark.range(3).select(F.concat(F.lit("PK,#"), F.col("id").cast("string")).alias("value"))
+    noise.coalesce(1).write.text(f"{path}/noise")
+    read = [margin_csv.read_margin_csv(spark, f"{path}/{name}") for name in ("even", "odd", "noise", "missing")]
+    both = margin_csv.read_margin_csv(spark, f"{path}/{{even,odd,noise}}")
+    apart = read[0].unionByName(read[1]).unionByName(read[2]).unionByName(read[3])
+    # Read one by one or together, the rows are the same.
+    return rounded(both.intersectAll(apart))
+
+
+@query("s7_margin_csv_round_trip", MARGIN_6)
 def s7(spark, sf):
     """Write the table, read it back: nothing changes."""
     path = folder(spark, "margin-out")
-    margin_csv.write_margin_csv(margin_table(spark, sf).where("scope = 'ALL'"), path)
+    margin_csv.write_margin_csv(margin_table(spark, sf), path, scoped=True)
     return rounded(margin_csv.read_margin_csv(spark, path))
 
 
@@ -189,14 +213,13 @@ CATALOG_SQL = ", ".join(f"('{prov}', '{name}')" for name, prov, _ in P.CATALOG)
 
 @query(
     "n3_missing_series",
-    f"""WITH {market_sql(outages=True)}, cut AS (SELECT * FROM panel WHERE obs_date < DATE '1995-06-01')
-    SELECT s.scope, c.provider, c.series FROM (SELECT DISTINCT scope FROM cut) s
+    f"""WITH {market_sql(outages=True)}
+    SELECT s.scope, c.provider, c.series FROM (SELECT DISTINCT scope FROM panel) s
       CROSS JOIN (VALUES {CATALOG_SQL}) c(provider, series)
-      ANTI JOIN cut ON cut.scope = s.scope AND cut.provider = c.provider AND cut.series = c.series""",
+      ANTI JOIN panel p ON p.scope = s.scope AND p.provider = c.provider AND p.series = c.series""",
 )
 def n3(spark, sf):
-    early = market(spark, sf, outages=True).where("obs_date < date '1995-06-01'")
-    return ingest.missing_series(early)
+    return ingest.missing_series(market(spark, sf, outages=True))
 
 
 RECOVERED = "series in ('SPX', 'VIX') and obs_date >= date '1997-01-01'"
@@ -264,17 +287,26 @@ def n7(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", flag.alias("flag"))
 
 
+RESCALE_DATES = ("1996-02-15", "1996-09-30", "2001-12-31")
+
+
 @query(
     "n8_yield_rescale",
     f"""WITH {market_sql(outages=True)}, c AS (
-      SELECT *, arg_max(value, n) OVER (PARTITION BY scope, series) AS latest FROM panel
-      WHERE series IN ('US10Y_YF', 'US30Y_YF') AND obs_date <= DATE '1996-02-15')
-    SELECT scope, provider, series, obs_date,
+      SELECT *, arg_max(value, n) OVER (PARTITION BY as_of, scope, series) AS latest FROM panel
+      JOIN (VALUES {', '.join(f"(DATE '{d}')" for d in RESCALE_DATES)}) a(as_of) ON obs_date <= as_of
+      WHERE series IN ('US10Y_YF', 'US30Y_YF'))
+    SELECT as_of, scope, provider, series, obs_date,
       {r6('CASE WHEN latest > 20 THEN value / 10.0 ELSE value END', 'value')} FROM c""",
 )
 def n8(spark, sf):
-    cut = market(spark, sf, outages=True).where("obs_date <= date '1996-02-15'")
-    return rounded(ingest.rescale_yields(cut, ["US10Y_YF", "US30Y_YF"]))
+    """Judged as of a date within the tenfold time, one after it, and the last of all."""
+    obs, out = market(spark, sf, outages=True), None
+    for d in RESCALE_DATES:
+        known = obs.where(F.col("obs_date") <= F.lit(d).cast("date"))
+        part = ingest.rescale_yields(known, ["US10Y_YF", "US30Y_YF"]).withColumn("as_of", F.lit(d).cast("date"))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out)
 
 
 @query(

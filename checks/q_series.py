@@ -277,28 +277,28 @@ def t15(spark, sf):
 
 
 def pair_sql(left, right, expr):
-    return f"""WITH {MARKET_SQL} SELECT a.scope, a.obs_date, {r6(expr, 'value')}
-    FROM panel a JOIN panel b ON a.scope = b.scope AND a.obs_date = b.obs_date
-    WHERE a.series = '{left}' AND b.series = '{right}'"""
+    return f"""WITH {MARKET_SQL} SELECT scope, obs_date, {r6(expr, 'value')} FROM (
+      SELECT scope, obs_date, max(value) FILTER (WHERE series = '{left}') AS x,
+        max(value) FILTER (WHERE series = '{right}') AS y
+      FROM panel WHERE series IN ('{left}', '{right}') GROUP BY scope, obs_date)
+    WHERE x IS NOT NULL AND y IS NOT NULL"""
 
 
 @query(
     "t16_pair_ratio",
-    pair_sql("HYG", "LQD", "a.value / b.value")
-    + " UNION ALL "
-    + f"(SELECT 'copper_gold' AS scope, obs_date, value FROM ({pair_sql('COPPER', 'GOLD', 'a.value / b.value')}) WHERE scope = 'ALL')",
+    f"SELECT 'hyg_lqd' AS pair, * FROM ({pair_sql('HYG', 'LQD', 'x / y')}) UNION ALL "
+    f"SELECT 'copper_gold' AS pair, * FROM ({pair_sql('COPPER', 'GOLD', 'x / y')})",
 )
 def t16(spark, sf):
     obs = market(spark, sf)
-    other = pairs.ratio(obs.where("scope = 'ALL'"), "COPPER", "GOLD")
     return rounded(
-        pairs.ratio(obs, "HYG", "LQD").unionByName(
-            other.withColumn("scope", F.lit("copper_gold"))
+        pairs.ratio(obs, "HYG", "LQD").withColumn("pair", F.lit("hyg_lqd")).unionByName(
+            pairs.ratio(obs, "COPPER", "GOLD").withColumn("pair", F.lit("copper_gold"))
         )
     )
 
 
-@query("t17_pair_spread", pair_sql("US10Y", "US2Y", "a.value - b.value"))
+@query("t17_pair_spread", pair_sql("US10Y", "US2Y", "x - y"))
 def t17(spark, sf):
     return rounded(pairs.spread(market(spark, sf), "US10Y", "US2Y"))
 

@@ -1,49 +1,81 @@
 """The refresh stream gives what a rebuild gives."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from tests.helpers import day, frame, random_panel
+from tests.helpers import day, frame, random_panel, rows
+from tideline.operators.features import feature_history
 from tideline.operators.ingest import replace_series
 from tideline.operators.score import assess, assessment_table
-from tideline.operators.features import feature_history
 from tideline.streaming import refresh
 
+NAMES = ["USDJPY", "AUDJPY", "VIX", "US2Y", "US10Y", "HY_OAS"]
+MARGIN = (
+    "scope string, month date, debit_balances_musd double, free_credit_cash_musd double, "
+    "free_credit_margin_musd double, is_placeholder boolean"
+)
+
+
+def land(obs, folder, load_id, kind="replace", files=1):
+    obs.select(
+        "scope", "provider", "series", F.col("obs_date").cast("timestamp_ntz").alias("obs_ts"), "value",
+        F.lit(load_id).cast("bigint").alias("load_id"), F.lit(kind).alias("kind"),
+    ).repartition(files).write.mode("append").parquet(folder)
+
+
+def rebuilt(obs, margin=None):
+    return assessment_table(assess(feature_history(obs, margin))).orderBy("scope", "as_of").toPandas()
+
 
-def landed(obs):
-    return obs.select(
-        "scope", "provider", "series", F.col("obs_date").cast("timestamp_ntz").alias("obs_ts"), "value"
-    )
+def stored(spark, store):
+    return refresh.current_assessments(spark, store).orderBy("scope", "as_of").toPandas()
+
+
+def same(want, got):
+    assert len(want) > 0 and want.equals(got[want.columns])
+
+
+@pytest.mark.parametrize("max_files", [None, 1])
+def test_loads_in_parts_equal_a_rebuild(spark, tmp_path, max_files):
+    """A load of two scopes in several files; then one series replaced, and one day appended."""
+    landing, store = str(tmp_path / "landing"), str(tmp_path / "store")
+    first = frame(spark, random_panel(1, 120, NAMES))
+    two = first.unionByName(first.withColumn("scope", F.lit("EU")))
+    land(two, landing, 1, files=3)
+    refresh.refresh(spark, landing, store, max_files=max_files, buckets=4)
+    same(rebuilt(two), stored(spark, store))
 
+    again = frame(spark, random_panel(2, 140, ["VIX"])).withColumn("scope", F.lit("EU"))
+    more = frame(spark, rows("USDJPY", [(150, 151.0)]))
+    land(again, landing, 2, files=2)
+    land(more, landing, 3, kind="append")
+    refresh.refresh(spark, landing, store, max_files=max_files)
+    want = rebuilt(replace_series(two, again).unionByName(more))
+    same(want, stored(spark, store))
 
-def rebuilt(obs):
-    return assessment_table(assess(feature_history(obs))).orderBy("scope", "as_of").toPandas()
+    # Lost progress: everything lands once more and changes nothing.
+    refresh.apply_batch(spark.read.schema(refresh.LANDING_SCHEMA).parquet(landing), 0, store, refresh.no_side_inputs)
+    same(want, stored(spark, store))
+    moved = str(tmp_path / "compacted")
+    refresh.compact(spark, store, moved)
+    same(want, stored(spark, moved))
+    assert refresh.current_panel(spark, moved).count() == refresh.current_panel(spark, store).count()
 
 
-def test_stream_equals_rebuild(spark, tmp_path):
+def test_new_margin_rows_score_their_scopes_again(spark, tmp_path):
     landing, store = str(tmp_path / "landing"), str(tmp_path / "store")
-    names = ["USDJPY", "AUDJPY", "VIX", "VIX3M", "US2Y", "US10Y", "HY_OAS", "WTI"]
-    first = frame(spark, random_panel(1, 200, names))
+    first = frame(spark, random_panel(1, 100, NAMES))
     two = first.unionByName(first.withColumn("scope", F.lit("EU")))
-    landed(two).coalesce(1).write.mode("append").parquet(landing)
-    refresh.start_refresh(spark, landing, store).awaitTermination()
-
-    # One series of one scope arrives again: longer, and revised.
-    again = frame(spark, random_panel(2, 230, ["VIX"])).withColumn("scope", F.lit("EU"))
-    landed(again).coalesce(1).write.mode("append").parquet(landing)
-    refresh.start_refresh(spark, landing, store).awaitTermination()
-
-    want = rebuilt(replace_series(two, again))
-    got = refresh.current_assessments(spark, store).orderBy("scope", "as_of").toPandas()
-    assert want.equals(got[want.columns])
-    # Only the touched scope was scored again.
-    second = spark.read.parquet(f"{store}/assessment/batch=1")
-    assert [r["scope"] for r in second.select("scope").distinct().collect()] == ["EU"]
-
-
-def test_retried_batch_changes_nothing(spark, tmp_path):
-    store = str(tmp_path / "store")
-    batch = landed(frame(spark, random_panel(1, 80, ["USDJPY", "VIX", "VIX3M"])))
-    for _ in range(2):
-        refresh.apply_batch(batch, 0, store, refresh.no_side_inputs)
-    got = refresh.current_assessments(spark, store)
-    assert got.count() == got.select("scope", "as_of").distinct().count() > 0
+    land(two, landing, 1)
+    figures = [(s, day(31 * k), 1000.0 + 10 * k, 100.0, 50.0, False) for s in ("ALL", "EU") for k in range(3)]
+    margin = {"rows": figures}
+    side = lambda s: (s.createDataFrame(margin["rows"], MARGIN), None)
+    refresh.refresh(spark, landing, store, side)
+    same(rebuilt(two, side(spark)[0]), stored(spark, store))
+    assert refresh.changed_scopes(spark, store, side).count() == 0
+    margin["rows"] = figures + [("EU", day(93), 5000.0, 100.0, 50.0, False)]
+    assert [r.scope for r in refresh.changed_scopes(spark, store, side).collect()] == ["EU"]
+    refresh.refresh(spark, landing, store, side)
+    same(rebuilt(two, side(spark)[0]), stored(spark, store))
+    again = spark.read.parquet(f"{store}/assessment").where("version = 1")
+    assert [r["scope"] for r in again.select("scope").distinct().collect()] == ["EU"]

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tideline import params as P
 from tideline.functions.series import ANNUAL, percentile_in
+from tideline.operators.ingest import usable
 from tideline.operators import resolve as R
 from tideline.operators.leverage import leverage_history
 
@@ -43,14 +44,25 @@ def names(series: list[str]) -> str:
     return ", ".join(f"'{s}'" for s in series)
 
 
+#: One literal predicate, so that it reaches the scan.
+CATALOGED = " or ".join(
+    f"(provider = '{provider}' and series in ({names([s for s, p, _ in P.CATALOG if p == provider and s in SERIES])}))"
+    for provider in (P.QUOTES, P.OFFICIAL)
+)
+
+
 def panel_rows(
     obs: DataFrame, margin: DataFrame | None, calendar: DataFrame | None, lag_days: int
 ) -> DataFrame:
-    """Observations, leverage figures and wanted dates as rows of one long table, by scope."""
+    """Observations, leverage figures and wanted dates as rows of one long table, by scope.
+
+    A series counts only from its own catalog provider, and only where it has a number. Days are
+    expected to hold one row per series, as :func:`ingest.daily` leaves them.
+    """
     fields = ", ".join(f"{c}: {t}" for c, t in LEVERAGE.items())
     no_lev = f"cast(null as struct<{fields}>) as lev"
     no_obs = ["cast(null as string) as series", "cast(null as double) as value"]
-    rows = obs.where(F.col("series").isin(SERIES)).selectExpr(
+    rows = obs.where(F.expr(CATALOGED) & usable(F.col("value"))).selectExpr(
         "scope", "unix_date(obs_date) as n", "series", "value",
         f"{str(calendar is None).lower()} as wanted", no_lev,
     )

@@ -62,16 +62,20 @@ def close_columns(columns: list[str], expected: list[str], date_col: str = "date
 
 
 def extract_close(
-    wide: DataFrame, expected: list[str], provider: str = P.QUOTES, date_col: str = "date"
+    wide: DataFrame, expected: list[str], provider: str = P.QUOTES, date_col: str = "date",
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    chosen = close_columns(wide.columns, expected, date_col)
+    carried = keep or []
+    chosen = close_columns([c for c in wide.columns if c not in carried], expected, date_col)
     picked = wide.select(
+        *carried,
         F.col(f"`{date_col}`").alias(date_col),
         *[F.col(f"`{c}`").alias(symbol) for c, symbol in chosen.items()],
     )
     if not chosen:
         return (
             picked.select(
+                *carried,
                 F.col(f"`{date_col}`").cast("timestamp_ntz").alias("obs_ts"),
                 F.lit(None).cast("string").alias("symbol"),
                 F.lit(None).cast("double").alias("value"),
@@ -79,12 +83,7 @@ def extract_close(
             )
             .where(F.lit(False))
         )
-    return unpivot_wide(picked, provider, date_col)
-
-
-def close_rows(fields: DataFrame) -> DataFrame:
-    """Close rows of a long ``(symbol, field, ..., value)`` feed; the filter pushes down."""
-    return fields.where(F.col("field") == CLOSE).drop("field")
+    return unpivot_wide(picked, provider, date_col, carried)
 
 
 def within_history(obs: DataFrame, as_of, days: int = P.HISTORY_DAYS) -> DataFrame:

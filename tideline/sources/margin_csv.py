@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline import params as P
@@ -13,7 +13,12 @@ MARGIN_SCHEMA = (
     "free_credit_margin_musd double, is_placeholder boolean"
 )
 # Month formats accepted in the file
-MONTH_FORMATS = ["yyyy-MM-dd", "yyyy-MM", "yyyy/MM/dd", "MM/dd/yyyy"]
+MONTH_FORMATS = [
+    "yyyy-M-d", "yyyy-M", "yyyy/M/d", "yyyy/M", "M/d/yyyy", "M/yyyy", "yyyyMMdd", "MMM yyyy",
+    "MMMM yyyy", "MMM-yyyy", "d-MMM-yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy",
+    "MMMM d, yyyy",
+]
+MAX_COLUMNS = 32
 NUMBERS = ["debit_balances_musd", "free_credit_cash_musd", "free_credit_margin_musd"]
 
 
@@ -21,30 +26,49 @@ def empty_margin(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], MARGIN_SCHEMA)
 
 
-def read_margin_csv(spark: SparkSession, path: str, scope: str = "ALL") -> DataFrame:
-    """Read and clean; a missing or unreadable file gives an empty table.
+def raw_margin_csv(spark: SparkSession, path: str) -> DataFrame | None:
+    """Text columns by their own file's header, which may differ between files; None if missing.
 
-    Everything after ``#`` on a line is a comment. Only the header line visits the driver,
-    as with any CSV schema; rows are parsed in parallel with ``from_csv``.
+    A file is one hand-kept monthly table and is read as one row. Everything after ``#`` outside
+    quotes is a comment, empty lines are skipped, the first line left is the header. Names are
+    trimmed and in any case; a column that a file lacks is null in its rows.
     """
     try:
-        lines = spark.read.text(path)
+        files = spark.read.text(path, wholetext=True)
     except AnalysisException:
-        return empty_margin(spark)
-    body = lines.select(
-        F.rtrim(F.regexp_replace("value", "#.*$", "")).alias("line")
-    ).where(F.trim("line") != "")
-    first = body.first()
-    if first is None:
-        return empty_margin(spark)
-    header = first["line"]
-    names = [h.strip().strip('"') for h in header.split(",")]
-    schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    rows = body.where(F.col("line") != header).select(
-        F.from_csv("line", schema, {"ignoreLeadingWhiteSpace": "true"}).alias("r")
+        return None
+    bare = lambda x: F.rtrim(F.regexp_replace(x, r'^((?:[^"#]|"[^"]*")*)#.*$', "$1"))
+    lines = F.filter(F.transform(F.split("value", "\r?\n"), bare), lambda x: F.trim(x) != "")
+    cells = ", ".join(f"c{i} string" for i in range(MAX_COLUMNS))
+    parsed = lambda c: F.from_csv(c, cells, {"ignoreLeadingWhiteSpace": "true"})
+    as_array = lambda r: F.array(*[r[f"c{i}"] for i in range(MAX_COLUMNS)])
+    rows = (
+        files.select(lines.alias("lines")).where(F.size("lines") > 1)
+        .select(F.element_at("lines", 1).alias("head"), F.explode(F.slice("lines", 2, F.size("lines"))).alias("line"))
+        .select(parsed(F.col("head")).alias("h"), parsed(F.col("line")).alias("r"))
+        .select(F.transform(as_array(F.col("h")), lambda x: F.lower(F.trim(x))).alias("h"), as_array(F.col("r")).alias("r"))
     )
-    raw = rows.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
-    return clean_margin(raw, scope)
+
+    def named(name: str) -> Column:
+        at = F.coalesce(F.array_position("h", name), F.lit(0)).cast("int")
+        return F.when(at > 0, F.get("r", at - 1)).alias(name)
+
+    return rows.select(*map(named, ("scope", "month", *NUMBERS, "is_placeholder")))
+
+
+def read_margin_csv(spark: SparkSession, path: str, scope: str = "ALL") -> DataFrame:
+    """Read and clean; a missing or unreadable file gives an empty table."""
+    raw = raw_margin_csv(spark, path)
+    if raw is None:
+        return empty_margin(spark)
+    return clean_margin(raw.withColumn("scope", F.coalesce(F.nullif(F.trim("scope"), F.lit("")), F.lit(scope))), scope)
+
+
+def unread_months(raw: DataFrame) -> DataFrame:
+    """How many rows with a month text :func:`clean_margin` drops because no format fits."""
+    by_name = {c.strip().lower(): c for c in raw.columns}
+    text = F.col(f"`{by_name['month']}`") if "month" in by_name else F.lit(None).cast("string")
+    return raw.agg(F.count_if((F.trim(text) != "") & parse_month(text).isNull()).alias("unread_months"))
 
 
 def truthy(c):
@@ -83,18 +107,20 @@ def clean_margin(raw: DataFrame, scope: str = "ALL") -> DataFrame:
     ).where(F.col("month").isNotNull())
 
 
-def margin_csv_rows(margin: DataFrame) -> DataFrame:
-    """The rows as they are written: first of the month, upper-case flags."""
+def margin_csv_rows(margin: DataFrame, scoped: bool = False) -> DataFrame:
+    """The rows as they are written: first of the month, upper-case flags. ``scoped`` adds the
+    scope as a first column, for a table of several scopes."""
     return margin.select(
+        *(["scope"] if scoped else []),
         F.concat(F.date_format("month", "yyyy-MM"), F.lit("-01")).alias("month"),
         *NUMBERS,
         F.upper(F.col("is_placeholder").cast("string")).alias("is_placeholder"),
     )
 
 
-def write_margin_csv(margin: DataFrame, path: str) -> None:
+def write_margin_csv(margin: DataFrame, path: str, scoped: bool = False) -> None:
     """Write under ``path``; the comment prelude goes to a side folder next to it."""
-    margin_csv_rows(margin).write.mode("overwrite").option("header", True).csv(path)
+    margin_csv_rows(margin, scoped).write.mode("overwrite").option("header", True).csv(path)
     spark = margin.sparkSession
     prelude = spark.range(1).select(F.explode(F.array(*map(F.lit, P.MARGIN_PRELUDE))))
     prelude.coalesce(1).write.mode("overwrite").text(path.rstrip("/") + "_prelude")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,12 +9,10 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, from ``spark.checkpoint.dir``.
 
-    A local temporary folder is used only where the session names none, as in tests.
+    Where that is unset, as in tests, the warehouse, which executors share as well.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    return tempfile.mkdtemp(prefix="tideline-")
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def save_panel(obs: DataFrame, table: str, buckets: int) -> None:

@@ -1,110 +1,209 @@
-"""Refresh as a stream: pick up landed series, replace them, re-score their scopes.
+"""Refresh as a stream: pick up landed loads, keep what they replace or add, re-score their scopes.
 
-The store is append-only: every micro-batch writes its daily observations and the
-assessments of the scopes it touched under its own ``batch=`` folder. A reader takes, per
-series or scope, the newest batch. A retried batch overwrites only its own folder, so a lost
-executor or a restarted query leaves neither gaps nor duplicates.
+Landed rows carry the load they belong to (``load_id``, growing) and its ``kind``. A ``replace``
+load takes the place of the whole history of every series it holds; an ``append`` load adds days
+or revises them. What counts is the load, never the micro-batch: the rows of one load are united
+however many batches bring them.
+
+The store only grows. Landed rows are kept as they came, one per series, day and load, and a
+reader resolves them, so rows that a retried batch writes twice, or that come again because the
+progress folder was lost, change nothing. Assessments are versions of scopes; the newest version
+of a scope counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from tideline.functions.frames import SERIES_KEYS
 from tideline.operators import ingest
-from tideline.operators.score import assess, assessment_table
 from tideline.operators.features import feature_history
+from tideline.operators.score import assess, assessment_table
 
 LANDING_SCHEMA = (
-    "scope string, provider string, series string, obs_ts timestamp_ntz, value double"
-)
-OBS_SCHEMA = (
-    "scope string, provider string, series string, obs_date date, value double, "
-    "batch bigint, bucket int"
+    "scope string, provider string, series string, obs_ts timestamp_ntz, value double, "
+    "load_id bigint, kind string"
 )
+STORE_SCHEMA = LANDING_SCHEMA + ", obs_date date, bucket int"
+REPLACE, APPEND = "replace", "append"
+#: Folders that scopes are spread over, so that a refresh reads only some. A store keeps the
+#: number it began with.
 BUCKETS = 64
 
+SideInputs = Callable[[SparkSession], tuple[DataFrame | None, DataFrame | None]]
+
 
-def bucket_of(scope: str) -> Column:
-    """Scopes are spread over a fixed number of folders, so a refresh reads only some."""
-    return F.pmod(F.xxhash64(scope), F.lit(BUCKETS)).cast("int")
+def _stored(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    try:
+        reader = spark.read.schema(schema) if schema else spark.read
+        return reader.parquet(path)
+    except AnalysisException:
+        return None
 
 
-def newest(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of the newest batch per key: a later landing replaces the whole key."""
-    last = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
-    return rows.join(last, [*keys, "batch"], "left_semi")
+def buckets_of(spark: SparkSession, store: str, buckets: int = BUCKETS) -> int:
+    """The store's number of buckets, written on first use."""
+    held = _stored(spark, f"{store}/settings", "buckets int")
+    if held is None:
+        spark.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.mode("overwrite").parquet(f"{store}/settings")
+        return buckets
+    return held.first()["buckets"]
+
+
+def bucket_of(scope: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(scope), F.lit(buckets)).cast("int")
+
+
+def landed_days(batch: DataFrame) -> DataFrame:
+    """One row per series, day and load: the latest stamp, of equal ones the larger value.
+    Combined before its shuffle."""
+    keys = [*SERIES_KEYS, "obs_date", "load_id", "kind"]
+    rows = ingest.drop_missing(batch).withColumns({
+        "obs_date": F.to_date("obs_ts"), "load_id": F.coalesce("load_id", F.lit(0)), "kind": F.coalesce("kind", F.lit(REPLACE)),
+    })
+    return (
+        rows.groupBy(*keys).agg(F.max(F.struct("obs_ts", "value")).alias("m"))
+        .select(*SERIES_KEYS, F.col("m.obs_ts").alias("obs_ts"), F.col("m.value").alias("value"), "load_id", "kind", "obs_date")
+    )
+
+
+def resolved(rows: DataFrame) -> DataFrame:
+    """The panel that the loads add up to: from each series' newest replace load on, each day from
+    its newest load."""
+    base = rows.where(F.col("kind") == REPLACE).groupBy(*SERIES_KEYS).agg(F.max("load_id").alias("base"))
+    return (
+        rows.join(base, SERIES_KEYS, "left").where(F.col("base").isNull() | (F.col("load_id") >= F.col("base")))
+        .groupBy(*SERIES_KEYS, "obs_date")
+        .agg(F.max(F.struct("load_id", "obs_ts", "value")).alias("m"))
+        .select(*SERIES_KEYS, "obs_date", F.col("m.value").alias("value"))
+    )
 
 
 def current_panel(spark: SparkSession, store: str, buckets: list[int] | None = None) -> DataFrame:
-    rows = spark.read.schema(OBS_SCHEMA).option("basePath", f"{store}/obs").parquet(f"{store}/obs")
+    rows = spark.read.schema(STORE_SCHEMA).parquet(f"{store}/obs")
     if buckets is not None:
         rows = rows.where(F.col("bucket").isin(buckets))
-    return newest(rows, SERIES_KEYS).drop("batch", "bucket")
+    return resolved(rows)
 
 
 def current_assessments(spark: SparkSession, store: str) -> DataFrame:
-    path = f"{store}/assessment"
-    rows = spark.read.option("basePath", path).parquet(path)
-    return newest(rows, ["scope"]).drop("batch", "bucket")
-
-
-def apply_batch(
-    batch: DataFrame, batch_id: int, store: str,
-    side_inputs: Callable[[SparkSession], tuple[DataFrame | None, DataFrame | None]],
-) -> None:
-    spark = batch.sparkSession
-    landed = f"{store}/obs/batch={batch_id}"
-    (
-        ingest.daily(batch)
-        .withColumn("bucket", bucket_of("scope"))
-        .repartition("bucket", "scope")
-        .write.mode("overwrite").partitionBy("bucket").parquet(landed)
-    )
-    written = spark.read.parquet(landed)
+    """The newest version of each scope."""
+    rows = spark.read.parquet(f"{store}/assessment")
+    last = rows.groupBy("scope").agg(F.max("version").alias("version"))
+    return rows.join(last, ["scope", "version"], "left_semi").drop("version", "bucket")
+
+
+def _next_version(spark: SparkSession, store: str) -> int:
+    """One number from the folder names' column; no data file is read for it."""
+    held = _stored(spark, f"{store}/assessment")
+    last = None if held is None else held.agg(F.max("version")).first()[0]
+    return 0 if last is None else int(last) + 1
+
+
+def side_marks(margin: DataFrame | None, manual: DataFrame | None) -> DataFrame | None:
+    """One number per scope for all its margin and manual rows, whatever their order."""
+    parts = [
+        df.groupBy("scope").agg(F.sum(F.xxhash64(F.lit(i), *[F.col(c) for c in sorted(df.columns)]).cast("decimal(38,0)")).alias("mark"), F.count("*").alias("n"))
+        for i, df in enumerate((margin, manual)) if df is not None
+    ]
+    if not parts:
+        return None
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return both.groupBy("scope").agg(F.sum("mark").cast("string").alias("mark"), F.sum("n").alias("n"))
+
+
+def score_scopes(spark: SparkSession, store: str, scopes: DataFrame, side_inputs: SideInputs) -> None:
+    """Score the scopes again and store them as a new version, with the marks of what they saw."""
+    count = buckets_of(spark, store)
     # At most one row per bucket comes to the driver, to prune folders.
-    buckets = [r["bucket"] for r in written.select("bucket").distinct().collect()]
-    scopes = written.select("scope").distinct()
-    obs = current_panel(spark, store, buckets).join(scopes, "scope", "left_semi")
-    margin, manual = side_inputs(spark)
-    if margin is not None:
-        margin = margin.join(scopes, "scope", "left_semi")
-    scored = assess(feature_history(obs, margin, manual))
+    touched = [r["b"] for r in scopes.select(bucket_of("scope", count).alias("b")).distinct().collect()]
+    if not touched:
+        return
+    obs = current_panel(spark, store, touched).join(scopes, "scope", "left_semi")
+    margin, manual = (None if df is None else df.join(scopes, "scope", "left_semi") for df in side_inputs(spark))
+    version = _next_version(spark, store)
     (
-        assessment_table(scored)
-        .withColumn("bucket", bucket_of("scope"))
-        .write.mode("overwrite").partitionBy("bucket")
-        .parquet(f"{store}/assessment/batch={batch_id}")
+        assessment_table(assess(feature_history(obs, margin, manual))).withColumn("bucket", bucket_of("scope", count))
+        .write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/assessment/version={version}")
     )
+    marks = side_marks(margin, manual)
+    if marks is not None:
+        marks.write.mode("overwrite").parquet(f"{store}/marks/version={version}")
+
+
+def changed_scopes(spark: SparkSession, store: str, side_inputs: SideInputs) -> DataFrame | None:
+    """Scopes in the store whose margin or manual rows are not those they were scored with."""
+    marks = side_marks(*side_inputs(spark))
+    held = _stored(spark, f"{store}/obs", STORE_SCHEMA)
+    if marks is None or held is None:
+        return None
+    seen = _stored(spark, f"{store}/marks")
+    if seen is not None:
+        last = seen.groupBy("scope").agg(F.max_by(F.struct("mark", "n"), "version").alias("m")).select("scope", "m.*")
+        marks = marks.join(last, ["scope", "mark", "n"], "left_anti")
+    return marks.select("scope").join(held.select("scope").distinct(), "scope", "left_semi")
+
+
+def apply_batch(batch: DataFrame, batch_id: int, store: str, side_inputs: SideInputs, buckets: int = BUCKETS) -> None:
+    """Keep the batch's rows, then score the scopes it touches."""
+    spark = batch.sparkSession
+    count = buckets_of(spark, store, buckets)
+    days = landed_days(batch).withColumn("bucket", bucket_of("scope", count))
+    days.repartition("bucket", "scope").write.mode("append").partitionBy("bucket").parquet(f"{store}/obs")
+    score_scopes(spark, store, batch.select("scope").where("scope is not null").distinct(), side_inputs)
 
 
 def no_side_inputs(spark: SparkSession) -> tuple[None, None]:
     return None, None
 
 
-def start_refresh(
+def refresh(
     spark: SparkSession,
     landing: str,
     store: str,
-    side_inputs: Callable = no_side_inputs,
+    side_inputs: SideInputs = no_side_inputs,
     max_files: int | None = None,
-) -> StreamingQuery:
-    """Process what has landed since the last run, then stop.
-
-    ``side_inputs`` returns the margin and manual-input tables; it is called for every
-    batch, so a changed margin table counts from the next refresh on.
-    """
+    buckets: int = BUCKETS,
+) -> None:
+    """Process what has landed since the last run; then score scopes whose margin or manual inputs
+    have changed. Returns when all is stored."""
     reader = spark.readStream.schema(LANDING_SCHEMA)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return (
+    (
         reader.parquet(landing)
-        .writeStream.foreachBatch(lambda df, i: apply_batch(df, i, store, side_inputs))
+        .writeStream.foreachBatch(lambda df, i: apply_batch(df, i, store, side_inputs, buckets))
         .option("checkpointLocation", f"{store}/_progress")
         .trigger(availableNow=True)
-        .start()
+        .start().awaitTermination()
+    )
+    changed = changed_scopes(spark, store, side_inputs)
+    if changed is not None:
+        score_scopes(spark, store, changed, side_inputs)
+
+
+def compact(spark: SparkSession, store: str, target: str) -> None:
+    """Write a store of the same content to a new folder: each series as one replace load.
+
+    The old store stays as it is; readers move to the new one when it is complete.
+    """
+    count = buckets_of(spark, store)
+    buckets_of(spark, target, count)
+    newest = spark.read.schema(STORE_SCHEMA).parquet(f"{store}/obs").groupBy(*SERIES_KEYS).agg(F.max("load_id").alias("load_id"))
+    rows = current_panel(spark, store).join(newest, SERIES_KEYS).select(
+        *SERIES_KEYS, F.col("obs_date").cast("timestamp_ntz").alias("obs_ts"), "value", "load_id", F.lit(REPLACE).alias("kind"), "obs_date",
+        bucket_of("scope", count).alias("bucket"),
+    )
+    rows.repartition("bucket", "scope").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/obs")
+    (
+        current_assessments(spark, store).withColumn("bucket", bucket_of("scope", count))
+        .write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/assessment/version=0")
     )
+    seen = _stored(spark, f"{store}/marks")
+    if seen is not None:
+        last = seen.groupBy("scope").agg(F.max_by(F.struct("mark", "n"), "version").alias("m")).select("scope", "m.*")
+        last.write.mode("overwrite").parquet(f"{target}/marks/version=0")
