@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, decontamination, hmm, line_dedup, minhash, packing, quality_rules, secrets, toxicity, weak_labels
+from tideline.llm import chat, decontamination, hmm, line_dedup, minhash, packing, quality_rules, secret_scan, toxicity, weak_labels
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def op2_hidden_markov_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source is an owner, its languages are its repositories."""
     repo = F.concat_ws("/", "source", "lang")
-    return secrets.find_secrets(documents(spark, sf_dir), repo, F.col("source"))
+    return secret_scan.find_secrets(documents(spark, sf_dir), repo, F.col("source"))
 
 
 def tokenizer_path() -> str:
