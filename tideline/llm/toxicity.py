@@ -209,7 +209,8 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
     b = np.array(blocks)
     rate = y.mean()
-    return b[:, 2] / b[:, 1], (b[:, 0] + 0.5 * rate) / (b[:, 1] + 0.5)
+    # Small blocks are drawn towards the mean, which must not turn the order round.
+    return b[:, 2] / b[:, 1], np.maximum.accumulate((b[:, 0] + 0.5 * rate) / (b[:, 1] + 0.5))
 
 
 @dataclass
