@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from checks.base import MANUAL_SQL, MARGIN_SQL, base_at, market_sql, pct, r6, w
 from checks.q_series import DEBIT, RECORD, STEPS, VOLS, months_back, ranked
+from tideline import params as P
 
 CROSSES = ["AUDJPY", "NZDJPY", "MXNJPY", "EURJPY"]
 QUOTES = ["USDJPY", *CROSSES, "SPX", "TLT", "VIX", "VIX3M", "MOVE", "WTI", "GOLD", "COPPER",
@@ -328,6 +329,7 @@ COMPONENTS = {
     "leverage": ("Leverage / margin debt", 15.0),
     "commodity": ("Commodity / inflation shock", 10.0),
 }
+RULE_TEXTS = P.RULE_TEXTS
 RULES = {
     "carry_unwind": (70.0, "usdjpy_1w < -2.0 AND diff_2y > 2.0"),
     "vol_backwardation": (66.0, "vix_ratio > 1.0"),

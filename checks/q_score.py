@@ -173,7 +173,10 @@ def c7(spark, sf):
       coverage_pct FROM asmt""",
 )
 def c8(spark, sf):
-    rows = assessed(spark, sf, SWEEP)
+    """The scenarios as a table; a component that one does not name has no row."""
+    named = [(s, k, v) for s, over in SWEEP.items() for k, v in over.items()]
+    named += [(s, "none such", 1.0) for s in SWEEP]
+    rows = assessed(spark, sf, spark.createDataFrame(named, "scenario string, component string, weight double"))
     return rounded(
         rows.select("scope", "as_of", "scenario", "composite_raw", "regime", "coverage_pct")
     )
@@ -212,7 +215,8 @@ def c11(spark, sf):
 
 
 RULES_SQL = " UNION ALL ".join(
-    f"""SELECT scope, as_of, scenario, {i}::BIGINT AS ordinal, '{r}' AS rule, {f}::DOUBLE AS floor
+    f"""SELECT scope, as_of, scenario, {i}::BIGINT AS ordinal, '{r}' AS rule, {f}::DOUBLE AS floor,
+      '{S.RULE_TEXTS[r]}' AS description
     FROM asmt WHERE rule_{r} AND avail > 0""" for i, (r, (f, _)) in enumerate(S.RULES.items())
 )
 

@@ -17,6 +17,8 @@ from tideline.functions.text import fixed, round_exact, signal_text
 
 COMPONENTS = list(P.COMPONENTS)
 Scenarios = Mapping[str, Mapping[str, float]]
+#: Scenarios of a table meet the rows in blocks of about so many.
+SCENARIO_BLOCK, BROADCAST_SCENARIOS = 1_000, 100_000
 
 
 def signal_values() -> dict[str, str]:
@@ -100,9 +102,41 @@ def with_scores(
     )
 
 
-def with_weights(rows: DataFrame, scenarios: Scenarios | None = None) -> DataFrame:
-    """Add ``scenario`` and ``w_*``. Scenarios are a literal list of settings, so a sweep
-    multiplies rows in place: nothing is joined or shuffled."""
+def scenario_weights(table: DataFrame) -> DataFrame:
+    """``(scenario, component, weight)`` as one row per scenario. A component that a scenario
+    does not name keeps its usual weight; rows of unknown components or without a weight are
+    left out, of repeated ones the largest weight counts."""
+    picks = [
+        F.expr(f"coalesce(max(if(component = '{k}', weight, null)), {float(P.COMPONENTS[k][1])}D)").alias(f"w_{k}")
+        for k in COMPONENTS
+    ]
+    return table.groupBy("scenario").agg(*picks)
+
+
+def with_scenario_table(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Every row under every scenario of the table, which is the result asked for.
+
+    Scenarios are gathered into blocks of bounded size, and rows meet each block by an equi-join,
+    so neither the plan nor the driver's work grows with their number. The blocks are broadcast
+    up to a checked number of scenarios.
+    """
+    settings = scenario_weights(table)
+    count = settings.count()
+    blocks = max(1, -(-count // SCENARIO_BLOCK))
+    grouped = settings.groupBy(F.pmod(F.xxhash64("scenario"), F.lit(blocks)).cast("int").alias("_block")).agg(
+        F.collect_list(F.struct("scenario", *[f"w_{k}" for k in COMPONENTS])).alias("_settings")
+    )
+    if count <= BROADCAST_SCENARIOS:
+        grouped = F.broadcast(grouped)
+    spread = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return spread.join(grouped, "_block").selectExpr("* except (_block, _settings)", "inline(_settings)")
+
+
+def with_weights(rows: DataFrame, scenarios: Scenarios | DataFrame | None = None) -> DataFrame:
+    """Add ``scenario`` and ``w_*``. A few scenarios are a literal list of settings, so a sweep
+    multiplies rows in place: nothing is joined or shuffled. Many come as a table."""
+    if isinstance(scenarios, DataFrame):
+        return with_scenario_table(rows, scenarios)
     named = scenarios or {"base": {}}
 
     def setting(name, overrides):
@@ -163,7 +197,7 @@ def with_composite(rows: DataFrame) -> DataFrame:
 
 def assess(
     features: DataFrame,
-    scenarios: Scenarios | None = None,
+    scenarios: Scenarios | DataFrame | None = None,
     thresholds: Mapping[str, tuple[float, float]] = P.THRESHOLDS,
 ) -> DataFrame:
     """Scored rows: one per scope, as-of date and scenario, every intermediate kept."""
@@ -295,7 +329,7 @@ def fired_rules(assessed: DataFrame) -> DataFrame:
                 F.col(f"rule_{r}") & (F.col("avail_weight") > 0.0),
                 F.struct(
                     F.lit(i).cast("bigint").alias("ordinal"), F.lit(r).alias("rule"),
-                    F.lit(f).alias("floor"),
+                    F.lit(f).alias("floor"), F.lit(P.RULE_TEXTS[r]).alias("description"),
                 ),
             )
             for i, (r, f) in enumerate(P.RULE_FLOORS.items())

@@ -182,6 +182,27 @@ RULE_FLOORS = {
     "credit_crack": 66.0,
     "leverage_at_peak_and_vol_rising": 60.0,
 }
+# Texts of the rules, in rule order
+RULE_TEXTS = {
+    "carry_unwind": (
+        "Yen strengthening fast (USDJPY down >2% in a week) while the US-Japan 2y differential "
+        "is still wide (>2.0pp). This is the signature of a forced carry-trade unwind rather "
+        "than an orderly rate-driven move."
+    ),
+    "vol_backwardation": (
+        "VIX term structure in backwardation (VIX above VIX3M) — the options market is pricing "
+        "near-term stress above longer-term stress."
+    ),
+    "credit_crack": (
+        "High-yield spreads widened more than 100bp in a month — credit is repricing risk "
+        "faster than equities."
+    ),
+    "leverage_at_peak_and_vol_rising": (
+        "Margin debt within 3% of its record high while volatility is already elevated — "
+        "maximum leverage meeting rising volatility is the classic setup for a forced-selling "
+        "cascade."
+    ),
+}
 RULE_PARAMS = {
     "carry_unwind_usdjpy_1w": -2.0,
     "carry_unwind_min_diff": 2.0,

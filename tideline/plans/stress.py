@@ -13,7 +13,7 @@ def history(
     margin: DataFrame | None = None,
     manual: DataFrame | None = None,
     calendar: DataFrame | None = None,
-    scenarios: Scenarios | None = None,
+    scenarios: Scenarios | DataFrame | None = None,
     seeded: bool = True,
     publication_lag_days: int = 0,
 ) -> DataFrame:
@@ -27,7 +27,7 @@ def snapshot(
     as_of,
     margin: DataFrame | None = None,
     manual: DataFrame | None = None,
-    scenarios: Scenarios | None = None,
+    scenarios: Scenarios | DataFrame | None = None,
     seeded: bool = True,
     publication_lag_days: int = 0,
 ) -> DataFrame:

@@ -18,7 +18,6 @@ MONTH_FORMATS = [
     "MMMM yyyy", "MMM-yyyy", "d-MMM-yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy",
     "MMMM d, yyyy",
 ]
-MAX_COLUMNS = 32
 NUMBERS = ["debit_balances_musd", "free_credit_cash_musd", "free_credit_margin_musd"]
 
 
@@ -39,14 +38,16 @@ def raw_margin_csv(spark: SparkSession, path: str) -> DataFrame | None:
         return None
     bare = lambda x: F.rtrim(F.regexp_replace(x, r'^((?:[^"#]|"[^"]*")*)#.*$', "$1"))
     lines = F.filter(F.transform(F.split("value", "\r?\n"), bare), lambda x: F.trim(x) != "")
-    cells = ", ".join(f"c{i} string" for i in range(MAX_COLUMNS))
-    parsed = lambda c: F.from_csv(c, cells, {"ignoreLeadingWhiteSpace": "true"})
-    as_array = lambda r: F.array(*[r[f"c{i}"] for i in range(MAX_COLUMNS)])
+    # Commas inside quotes do not part cells; a quote inside quotes is doubled.
+    parted = lambda c: F.split(c, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    plain = lambda x: F.replace(F.regexp_replace(F.trim(x), '^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))
     rows = (
         files.select(lines.alias("lines")).where(F.size("lines") > 1)
-        .select(F.element_at("lines", 1).alias("head"), F.explode(F.slice("lines", 2, F.size("lines"))).alias("line"))
-        .select(parsed(F.col("head")).alias("h"), parsed(F.col("line")).alias("r"))
-        .select(F.transform(as_array(F.col("h")), lambda x: F.lower(F.trim(x))).alias("h"), as_array(F.col("r")).alias("r"))
+        .select(
+            F.transform(parted(F.element_at("lines", 1)), lambda x: F.lower(F.trim(plain(x)))).alias("h"),
+            F.explode(F.slice("lines", 2, F.size("lines"))).alias("line"),
+        )
+        .select("h", F.transform(parted(F.col("line")), plain).alias("r"))
     )
 
     def named(name: str) -> Column:
