@@ -13,7 +13,7 @@ from checks.q_score import COMPONENTS_SQL, assessed
 from checks.registry import query
 from tideline import params as P
 from tideline.functions.text import number_text
-from tideline.operators import ingest, views
+from tideline.operators import resolved, views
 from tideline.plans import stress
 
 A = S.ASSESSED
@@ -278,34 +278,73 @@ def v14(spark, sf):
 
 CUT = """(SELECT *, max(n) OVER (PARTITION BY scope, {key}) AS last_n FROM {src})"""
 
+JP = {"JP2Y": ("JP3M_MONTHLY", 1.20), "JP10Y": ("JP10Y_MONTHLY", 2.50)}
+#: Chosen series of the load that ends with the scope's last observation, one row per line and day.
+RESOLVED = f"""{market_sql(outages=True)}, {MANUAL_SQL}, ends AS (
+      SELECT scope, max(n) AS end_n FROM panel GROUP BY 1),
+    held AS (SELECT p.*, end_n FROM panel p JOIN ends USING (scope) WHERE n >= end_n - 1125),
+    known AS (SELECT scope,
+        {', '.join(f"count(*) FILTER (WHERE series = '{s}') AS n_{s}" for s in (
+            'US2Y', 'US10Y', 'US30Y', 'US10Y_YF', 'CURVE_10_2', 'VIX', 'HY_OAS', 'HYG', 'LQD'))},
+        {', '.join(f"arg_max(value, n) FILTER (WHERE series = '{s}') AS last_{s}" for s in (
+            'US10Y_YF', 'US30Y_YF', 'JP3M_MONTHLY', 'JP10Y_MONTHLY'))}
+      FROM held GROUP BY 1),
+    typed AS (SELECT scope, {', '.join(
+        f"max(value) FILTER (WHERE key = '{k}') AS typed_{k}" for k in JP)} FROM manual GROUP BY 1),
+    days AS (SELECT scope, obs_date, n, {', '.join(
+        f"max(value) FILTER (WHERE series = '{s}') AS {s}" for s in (
+            'USDJPY', 'US2Y', 'US10Y', 'US30Y', 'US10Y_YF', 'US30Y_YF', 'CURVE_10_2', 'VIX', 'VIX_FRED',
+            'HY_OAS', 'HYG', 'LQD', 'SPX'))} FROM held GROUP BY 1, 2, 3),
+    yields AS (SELECT d.*, k.*, {', '.join(
+        f"coalesce(typed_{k}, round(last_{s}, 3), {v}::DOUBLE) AS {k}" for k, (s, v) in JP.items())},
+        CASE WHEN n_US2Y > 5 THEN US2Y END AS two,
+        {', '.join(f"""CASE WHEN n_US{t} > 5 THEN US{t} WHEN last_US{t}_YF > 20 THEN US{t}_YF / 10.0::DOUBLE
+          ELSE US{t}_YF END AS {name}""" for t, name in (('10Y', 'ten'), ('30Y', 'thirty')))}
+      FROM days d JOIN known k USING (scope) LEFT JOIN typed USING (scope)),
+    lines AS (
+      SELECT scope, n, obs_date, unnest(['usdjpy', 'us2y', 'us10y', 'us30y', 'curve_10_2', 'vix', 'credit', 'spx',
+          'diff_2y', 'diff_10y']) AS series,
+        unnest([USDJPY, two, ten, thirty, CASE WHEN n_CURVE_10_2 > 0 THEN CURVE_10_2 ELSE ten - two END,
+          CASE WHEN n_VIX > 0 THEN VIX ELSE VIX_FRED END,
+          CASE WHEN n_HY_OAS > 30 THEN HY_OAS WHEN n_HYG > 0 AND n_LQD > 0 THEN HYG / LQD END, SPX,
+          two - JP2Y, ten - JP10Y]) AS value
+      FROM yields),
+    shown AS (SELECT * FROM lines WHERE value IS NOT NULL)"""
+
+
+def lines(spark, sf):
+    return resolved.resolved_series(market(spark, sf, outages=True), manual_inputs(spark, sf))
+
+
+@query("f_resolved_series", f"WITH {RESOLVED} SELECT scope, series, obs_date, {r6('value')} FROM shown")
+def resolved_lines(spark, sf):
+    return rounded(lines(spark, sf))
+
 
 @query(
     "v15_chart_series",
-    f"""WITH {market_sql()}, c AS (SELECT * FROM {CUT.format(key='series', src='panel')}
+    f"""WITH {RESOLVED}, c AS (SELECT * FROM {CUT.format(key='series', src='shown')}
       WHERE n >= last_n - 365)
-    SELECT scope, CASE WHEN series LIKE 'US%Y' THEN 'yields' WHEN series = 'CURVE_10_2' THEN 'curve'
-        WHEN series = 'VIX' THEN 'vix' WHEN series = 'HY_OAS' THEN 'credit' ELSE 'index' END AS chart,
+    SELECT scope, CASE WHEN series LIKE 'us%y' AND series <> 'usdjpy' THEN 'yields' WHEN series = 'curve_10_2' THEN 'curve'
+        WHEN series IN ('vix', 'credit') THEN series ELSE 'index' END AS chart,
       series, obs_date, {r6('value')},
-      CASE series WHEN 'CURVE_10_2' THEN 0.0::DOUBLE WHEN 'VIX' THEN 20.0::DOUBLE END AS ref_line
-    FROM c WHERE series IN ('US2Y', 'US10Y', 'US30Y', 'CURVE_10_2', 'VIX', 'HY_OAS', 'SPX')""",
+      CASE series WHEN 'curve_10_2' THEN 0.0::DOUBLE WHEN 'vix' THEN 20.0::DOUBLE END AS ref_line
+    FROM c WHERE series NOT IN ('usdjpy', 'diff_2y', 'diff_10y')""",
 )
 def v15(spark, sf):
-    return rounded(views.chart_series(ingest.numbered(market(spark, sf)), 365))
+    return rounded(views.chart_series(lines(spark, sf), 365))
 
 
 @query(
     "v16_carry_panel",
-    f"""WITH {market_sql()}, {MANUAL_SQL}, l AS (
-      SELECT scope, 1::BIGINT AS panel, series, obs_date, n, value FROM panel WHERE series = 'USDJPY'
-      UNION ALL SELECT scope, 2, '2-year differential', obs_date, n, p.value - m.value
-      FROM panel p JOIN manual m USING (scope) WHERE series = 'US2Y' AND key = 'JP2Y'
-      UNION ALL SELECT scope, 2, '10-year differential', obs_date, n, p.value - m.value
-      FROM panel p JOIN manual m USING (scope) WHERE series = 'US10Y' AND key = 'JP10Y')
-    SELECT scope, panel, series, obs_date, {r6('value')} FROM {CUT.format(key='series', src='l')}
-    WHERE n >= last_n - 365""",
+    f"""WITH {RESOLVED}, c AS (SELECT * FROM {CUT.format(key='series', src='shown')} WHERE n >= last_n - 365)
+    SELECT scope, CASE WHEN series = 'usdjpy' THEN 1 ELSE 2 END::BIGINT AS panel,
+      CASE series WHEN 'usdjpy' THEN 'USDJPY' WHEN 'diff_2y' THEN '2-year differential'
+        ELSE '10-year differential' END AS series, obs_date, {r6('value')}
+    FROM c WHERE series IN ('usdjpy', 'diff_2y', 'diff_10y')""",
 )
 def v16(spark, sf):
-    return rounded(views.carry_panel(market(spark, sf), manual_inputs(spark, sf), 365))
+    return rounded(views.carry_panel(lines(spark, sf), 365))
 
 
 @query(

@@ -312,18 +312,23 @@ def next_events(calendar: DataFrame, events: list[tuple[str, str, str]]) -> Data
 
 
 CHARTS = {
-    "yields": (["US2Y", "US10Y", "US30Y"], None),
-    "curve": (["CURVE_10_2"], 0.0),
-    "vix": (["VIX"], 20.0),
-    "credit": (["HY_OAS"], None),
-    "index": (["SPX"], None),
+    "yields": (["us2y", "us10y", "us30y"], None),
+    "curve": (["curve_10_2"], 0.0),
+    "vix": (["vix"], 20.0),
+    "credit": (["credit"], None),
+    "index": (["spx"], None),
 }
 
 
-def chart_series(obs: DataFrame, days: int = 365) -> DataFrame:
-    """Lines of the level charts with the chart's reference line."""
-    wanted = [s for names, _ in CHARTS.values() for s in names]
-    cut = L.trailing_slice(obs.where(c("series").isin(wanted)), days)
+def _shown(lines: DataFrame, series: list[str], days: int) -> DataFrame:
+    """The display window of some resolved series, each up to its own last date."""
+    picked = lines.where(c("series").isin(series)).withColumns({"provider": F.lit("panel"), "n": F.unix_date("obs_date")})
+    return L.trailing_slice(picked, days)
+
+
+def chart_series(lines: DataFrame, days: int = 365) -> DataFrame:
+    """Lines of the level charts, from resolved series, with the chart's reference line."""
+    cut = _shown(lines, [s for names, _ in CHARTS.values() for s in names], days)
 
     def per_chart(get):
         return F.coalesce(
@@ -336,25 +341,16 @@ def chart_series(obs: DataFrame, days: int = 365) -> DataFrame:
     )
 
 
-def carry_panel(obs: DataFrame, manual: DataFrame, days: int = 365) -> DataFrame:
-    """USDJPY above the two differentials; each line keeps its own window end."""
-    from tideline.operators.pairs import minus_scalar
+CARRY_LINES = {"usdjpy": ("USDJPY", 1), "diff_2y": ("2-year differential", 2), "diff_10y": ("10-year differential", 2)}
 
-    def cut(df, name):
-        return L.trailing_slice(
-            df.select("scope", F.lit("panel").alias("provider"), F.lit(name).alias("series"),
-                      "obs_date", F.unix_date("obs_date").alias("n"), "value"), days)
 
-    pair = obs.where(c("series") == "USDJPY")
-    two = minus_scalar(obs, "US2Y", manual, "JP2Y")
-    ten = minus_scalar(obs, "US10Y", manual, "JP10Y")
-    lines = (
-        cut(pair, "USDJPY").withColumn("panel", F.lit(1))
-        .unionByName(cut(two, "2-year differential").withColumn("panel", F.lit(2)))
-        .unionByName(cut(ten, "10-year differential").withColumn("panel", F.lit(2)))
+def carry_panel(lines: DataFrame, days: int = 365) -> DataFrame:
+    """USDJPY above the two differentials, from resolved series; each line keeps its own window end."""
+    cut = _shown(lines, list(CARRY_LINES), days)
+    label, panel = (
+        F.coalesce(*[F.when(c("series") == k, F.lit(v[i])) for k, v in CARRY_LINES.items()]) for i in (0, 1)
     )
-    return lines.select("scope", c("panel").cast("bigint").alias("panel"), "series",
-                        "obs_date", "value")
+    return cut.select("scope", panel.cast("bigint").alias("panel"), label.alias("series"), "obs_date", "value")
 
 
 def margin_bars(margin: DataFrame) -> DataFrame:
