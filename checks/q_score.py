@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from checks import feature_sql as S
 from checks.base import r6, rounded
-from checks.q_features import features
+from checks.q_features import features, inputs
 from checks.registry import query
 from tideline import params as P
 from tideline.functions import scoring as C
 from tideline.operators import score
+from tideline.plans import stress
 
 A = S.ASSESSED
 SWEEP = {
@@ -33,9 +34,7 @@ def assessed(spark, sf, scenarios=None):
 )
 def latest_assessment(spark, sf):
     """Flagship: the newest assessment of every scope."""
-    rows = score.assessment_table(assessed(spark, sf))
-    last = rows.groupBy("scope").agg(F.max_by(F.struct("*"), "as_of").alias("r"))
-    return rounded(last.select("r.*"))
+    return rounded(score.assessment_table(stress.latest(*inputs(spark, sf))))
 
 
 @query(

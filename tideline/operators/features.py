@@ -454,3 +454,20 @@ def feature_snapshot(
     calendar = cut.select("scope").distinct().withColumn("as_of", day)
     state = asof_state(cut, known, manual, calendar, publication_lag_days, latest_only=True)
     return resolved(state, seeded)
+
+
+def feature_latest(
+    obs: DataFrame,
+    margin: DataFrame | None = None,
+    manual: DataFrame | None = None,
+    seeded: bool = True,
+    publication_lag_days: int = 0,
+) -> DataFrame:
+    """Features of each scope on the date of its own last observation. Only those rows read their
+    trailing windows."""
+    counted = obs.where(F.expr(CATALOGED) & usable(F.col("value")))
+    ends = counted.groupBy("scope").agg(F.max("obs_date").alias("as_of"))
+    known = None
+    if margin is not None:
+        known = margin.join(ends, "scope").where(F.date_add("month", publication_lag_days) <= F.col("as_of")).select(*margin.columns)
+    return resolved(asof_state(counted, known, manual, ends, publication_lag_days, latest_only=True), seeded)

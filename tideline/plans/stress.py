@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tideline.operators.features import feature_history, feature_snapshot
+from tideline.operators.features import feature_history, feature_latest, feature_snapshot
 from tideline.operators.score import Scenarios, assess
 
 
@@ -34,3 +34,15 @@ def snapshot(
     """Scored rows on one date, from data cut at that date."""
     features = feature_snapshot(obs, as_of, margin, manual, seeded, publication_lag_days)
     return assess(features, scenarios)
+
+
+def latest(
+    obs: DataFrame,
+    margin: DataFrame | None = None,
+    manual: DataFrame | None = None,
+    scenarios: Scenarios | DataFrame | None = None,
+    seeded: bool = True,
+    publication_lag_days: int = 0,
+) -> DataFrame:
+    """Scored rows of each scope on its own last date."""
+    return assess(feature_latest(obs, margin, manual, seeded, publication_lag_days), scenarios)
