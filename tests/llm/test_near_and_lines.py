@@ -24,8 +24,11 @@ def brute_components(rows):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("rounds", [0, 6])
-def test_components_equal_brute_force(spark, rounds):
+@pytest.mark.parametrize("rounds, block", [(0, 128), (2, 4)])
+def test_components_equal_brute_force(spark, monkeypatch, rounds, block):
+    """With no pairs verified at once, so that rounds and blocks have to find every link."""
+    monkeypatch.setattr(minhash, "_few_pairs", lambda members: False)
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rows = corpus()
     got = minhash.near_duplicates(frame(spark, rows), rounds=rounds).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)

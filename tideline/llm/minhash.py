@@ -6,11 +6,13 @@ first. Four neighbouring bins make a band, so two sets with a Jaccard similarity
 of the 32 bands but for a chance of five in a million.
 
 Equal sets are one class from the start. Within a bucket only a star of candidate pairs is made,
-from one centre to the members that are not yet in its component, and each is verified on the
-full sets. A star alone loses links between two members that its centre does not link, so stars
-are made again, with other centres, over the buckets that still hold several components; between
-rounds, members are set aside that provably link to no other component (too few of their shingles
-occur there). What is left after the last round is paired in full across components. So every
+from one centre to the members that are not yet in its component, each member takes the best
+centre of its buckets, and each pair is verified on the full sets. A star alone loses links
+between two members that its centre does not link, so over the buckets that still hold several
+components stars are made again, around the members that share most; before that, members are set
+aside that provably link to no other component (too few of their shingles
+occur there). What is left after the last round is compared in full across components, block by
+block. So every
 pair that shares a band is either verified, or already connected, or provably no link.
 
 Defined cases: a null or empty text has the empty set and is linked with nothing; a text of fewer
@@ -33,7 +35,7 @@ from tideline.llm.text import LOWER, Chunk, chunks, mix, shingles
 WIDTH, SIMILARITY = 5, 75  # words; per cent
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
-ROUNDS = 6
+ROUNDS, BLOCK = 2, 128
 
 #: For each bin, all bins in the order in which it probes them when it is empty.
 PROBES = np.stack([np.random.default_rng(1000 + i).permutation(BINS) for i in range(BINS)]).astype(np.int16)
@@ -137,33 +139,120 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return joined.select("u", "v", "a", "b").mapInArrow(lambda x: _verified(x, similarity), "u long, v long")
 
 
-def _unresolved(members: DataFrame, turn: int) -> DataFrame:
-    """Buckets with several components: band, centre and its component, least set size."""
-    draw = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
+def _unresolved(members: DataFrame) -> DataFrame:
+    """Buckets with several components: band, least set size, and the centre with its component and
+    score. The centre has the highest score, of equal ones the smallest node."""
     return (
         members.groupBy("band").agg(
             F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"),
-            F.min_by(F.struct("node", "comp"), F.struct(draw, "node")).alias("centre"),
-        ).where("low != high").select("band", "least", F.col("centre.node").alias("u"), F.col("centre.comp").alias("centre_comp"))
+            F.min_by(F.struct("node", "comp", "score"), F.struct(-F.col("score"), "node")).alias("centre"),
+        ).where("low != high").select(
+            "band", "least", F.col("centre.node").alias("u"), F.col("centre.comp").alias("cu"), F.col("centre.score").alias("centre_score")
+        )
     )
 
 
-def _set_aside(members: DataFrame, buckets: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The members of unresolved buckets that may still link to another component.
+def _stars(members: DataFrame) -> DataFrame:
+    """(u, v, cu, cv): for each member of an unresolved bucket the best centre of its buckets that is
+    in another component, so no more pairs than nodes."""
+    rows = members.join(_unresolved(members).drop("least"), "band").where("comp != cu")
+    best = F.min_by(F.struct("u", "cu"), F.struct(-F.col("centre_score"), "u"))
+    return rows.groupBy(F.col("node").alias("v"), F.col("comp").alias("cv")).agg(best.alias("c")).select("c.u", "v", "c.cu", "cv")
+
+
+def _set_aside(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """The members of unresolved buckets that may still link to another component, scored.
 
     Of a node's shingles, only those that occur in another component can be shared with it. With
     ``c`` of them, and no partner smaller than ``least``, the similarity is at most
-    c / (n + least - c).
+    c / (n + least - c). The count is the score as well: what shares most makes the best centre.
     """
-    inside = members.join(buckets.select("band", "least"), "band", "left_semi")
-    nodes = (
-        members.join(buckets.select("band", "least"), "band").groupBy("node", "comp", "n").agg(F.min("least").alias("least"))
-    )
+    inside = keep(members.drop("score").join(_unresolved(members).select("band", "least"), "band"), "minhash-members")
+    nodes = inside.groupBy("node", "comp", "n").agg(F.min("least").alias("least"))
     rows = nodes.join(sets.select("node", "items"), "node").select("node", "comp", "n", "least", F.explode("items").alias("item"))
     spread = rows.groupBy("item").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("item")
-    counted = rows.join(spread, "item", "left_semi").groupBy("node", "n", "least").agg(F.count("*").alias("c"))
-    able = counted.where(100 * F.col("c") >= similarity * (F.col("n") + F.col("least") - F.col("c"))).select("node")
-    return inside.join(able, "node", "left_semi")
+    counted = rows.join(spread, "item", "left_semi").groupBy("node", "n", "least").agg(F.count("*").alias("score"))
+    able = counted.where(100 * F.col("score") >= similarity * (F.col("n") + F.col("least") - F.col("score"))).select("node", "score")
+    return inside.drop("least").join(able, "node").select("band", "node", "n", "comp", "score")
+
+
+def _remaining_pairs(members: DataFrame) -> DataFrame:
+    """All pairs across components within buckets, each from the first bucket that both are in.
+    A node's list of buckets has BANDS entries at most."""
+    lists = members.groupBy("node").agg(F.collect_set("band").alias("all"))
+    rows = members.join(lists, "node")
+    one = rows.select("band", F.col("node").alias("u"), F.col("comp").alias("cu"), F.col("all").alias("au"))
+    two = rows.select("band", F.col("node").alias("v"), F.col("comp").alias("cv"), F.col("all").alias("av"))
+    first = F.array_min(F.array_intersect("au", "av")) == one["band"]
+    return one.join(two, (one["band"] == two["band"]) & (F.col("cu") < F.col("cv")) & first).select("u", "v", "cu", "cv")
+
+
+def _block_links(batches, similarity: int):
+    """(u, v) of similar sets across components, from rows sorted by bucket and pair of blocks.
+
+    A group has about two blocks of rows; overlaps of all its sets come from products of 0/1
+    matrices over a bounded number of items at a time.
+    """
+    held, key = [], None
+
+    def solve(rows):
+        node, comp, side = (np.array([x[i] for x in rows]) for i in range(3))
+        if len(node) < 2 or (comp == comp[0]).all():
+            return None
+        items = [x[3] for x in rows]
+        size = np.array([len(x) for x in items])
+        code = np.unique(np.concatenate(items), return_inverse=True)[1]
+        row = np.repeat(np.arange(len(items)), size)
+        common = np.zeros((len(items), len(items)), np.float32)
+        order = np.argsort(code, kind="stable")
+        code, row = code[order], row[order]
+        for lo in range(0, int(code[-1]) + 1, 8192):
+            a, b = np.searchsorted(code, (lo, lo + 8192))
+            x = np.zeros((len(items), 8192), np.float32)
+            x[row[a:b], code[a:b] - lo] = 1
+            common += x @ x.T
+        near = 100 * common >= similarity * (size[:, None] + size[None, :] - common)
+        near &= comp[:, None] < comp[None, :]
+        if (side != side[0]).any():
+            near &= side[:, None] != side[None, :]
+        u, v = np.nonzero(near)
+        return pa.RecordBatch.from_pydict({"u": node[u], "v": node[v], "cu": comp[u], "cv": comp[v]}) if len(u) else None
+
+    for batch in batches:
+        keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+        node, comp, side = (batch.column(3 + i).to_pylist() for i in range(3))
+        listed = batch.column(6)
+        values, border = listed.values.to_numpy(), listed.offsets.to_numpy()
+        for i, k in enumerate(keys):
+            if k != key:
+                if held and (out := solve(held)) is not None:
+                    yield out
+                held, key = [], k
+            held.append((node[i], comp[i], side[i], values[border[i] : border[i + 1]].copy()))
+    if held and (out := solve(held)) is not None:
+        yield out
+
+
+def _remaining_links(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """(u, v, cu, cv): the links across components within buckets, all of them.
+
+    A bucket's largest component and its other members are dealt into blocks of about BLOCK rows;
+    every block of the others meets every block. So no pair is a row, no task holds more than two
+    blocks, and within the largest component nothing is compared.
+    """
+    parts = members.groupBy("band", "comp").agg(F.count("*").alias("c"))
+    shape = parts.groupBy("band").agg(
+        F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("top"), F.sum("c").alias("all"), F.count("*").alias("parts")
+    ).where("parts > 1").select("band", "main", F.ceil(F.col("top") / BLOCK).alias("inner"), F.ceil((F.col("all") - F.col("top")) / BLOCK).alias("outer"))
+    place = F.when(F.col("comp") == F.col("main"), F.pmod(F.xxhash64("node"), F.col("inner"))).otherwise(F.col("inner") + F.pmod(F.xxhash64("node"), F.col("outer")))
+    dealt = members.join(shape, "band").withColumn("block", place)
+    first = F.when(F.col("block") < F.col("inner"), F.col("inner")).otherwise(F.lit(0))
+    met = dealt.select("band", "node", "comp", "block", F.explode(F.sequence(first, F.col("inner") + F.col("outer") - 1)).alias("other"))
+    rows = met.join(sets.select("node", "items"), "node").select(
+        "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "comp", F.col("block").alias("side"), "items"
+    )
+    grouped = rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "node")
+    return grouped.mapInArrow(lambda b: _block_links(b, similarity), "u long, v long, cu long, cv long").distinct()
 
 
 def _few_pairs(members: DataFrame) -> bool:
@@ -178,7 +267,7 @@ def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members with the components that ``links`` (of old components) join."""
     joined = components(links)
     return members.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left").select(
-        "band", "node", "n", F.coalesce("root", "comp").alias("comp")
+        "band", "node", "n", F.coalesce("root", "comp").alias("comp"), "score"
     )
 
 
@@ -196,7 +285,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     reps = signed.join(owner.where("row = node").select("row"), "row", "left_semi").select(F.col("row").alias("node"), "n", F.explode("bands").alias("band"))
     shared = reps.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
-    members = keep(reps.join(shared, "band", "left_semi").select("band", "node", "n", F.col("node").alias("comp")), "minhash-members")
+    members = keep(reps.join(shared, "band", "left_semi").select("band", "node", "n", F.col("node").alias("comp"), F.lit(0).cast("long").alias("score")), "minhash-members")
 
     wanted = owner.where("row = node").join(members.select("node"), "node", "left_semi").select("node", "id", "k1", "k2")
     sets = keep(
@@ -206,26 +295,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     edges: list[DataFrame] = []
     for turn in range(rounds + 1):
-        last = turn == rounds or _few_pairs(members)
-        buckets = _unresolved(members, turn)
-        if last:
-            other = members.select("band", F.col("node").alias("u"), F.col("comp").alias("cu"))
-            mine = members.select("band", F.col("node").alias("v"), F.col("comp").alias("cv"))
-            pairs = other.join(mine, "band").where("cu < cv")
-        else:
-            pairs = members.join(buckets, "band").where("comp != centre_comp").select("u", F.col("node").alias("v"), F.col("centre_comp").alias("cu"), F.col("comp").alias("cv"))
-        pairs = keep(pairs.select("u", "v", "cu", "cv").distinct(), "minhash-pairs")
+        last = _few_pairs(members)
+        if turn == rounds and not last:
+            edges.append(keep(_remaining_links(members, sets, similarity).select("u", "v"), "minhash-links"))
+            break
+        pairs = keep((_remaining_pairs(members) if last else _stars(members)).select("u", "v", "cu", "cv").distinct(), "minhash-pairs")
         if pairs.isEmpty():
             break
         found = keep(verify(pairs.select("u", "v"), sets, similarity), "minhash-links")
         edges.append(found)
-        members = _relabel(members, found.join(pairs, ["u", "v"]).select(F.col("cu").alias("u"), F.col("cv").alias("v")))
-        if turn and not last:
-            members = keep(members, "minhash-members")
-            members = _set_aside(members, _unresolved(members, turn), sets, similarity)
         if last:
             break
-        members = keep(members, "minhash-members")
+        members = keep(_relabel(members, found.join(pairs, ["u", "v"]).select(F.col("cu").alias("u"), F.col("cv").alias("v"))), "minhash-members")
+        members = keep(_set_aside(members, sets, similarity), "minhash-members")
 
     if edges:
         linked = edges[0]
