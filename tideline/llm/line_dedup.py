@@ -6,8 +6,8 @@ similarity of ``similarity`` per cent or more with it, whether or not that one s
 
 Equal sets are one class: all but its first line go. Between classes: words are ordered by rarity
 (occurrences in the corpus, in ``BUCKETS`` hashed counters), a line gives the rarest words of its
-prefix, and lines that share one of them are compared by length, by position and by a 64-bit
-parity bitmap, all of which are exact bounds. What passes is verified on the full sets.
+prefix, and lines that share one of them are compared by length, by position and by a
+parity bitmap of 128 or 256 bits, all of which are exact bounds. What passes is verified on the full sets.
 
 Lines that share a prefix word are met in a sorted stream, each with the first ``NEAR`` of them,
 and each gives the first ``GIVEN`` pairs that pass the filters; this bounds what a very frequent
@@ -32,7 +32,11 @@ from tideline.llm.text import LOWER, Chunk, chunks, mix
 
 SIMILARITY, MIN_WORDS = 75, 5
 BUCKETS = 1 << 21
-NEAR, GIVEN = 4_096, 8
+NEAR, GIVEN = 4_096, 12
+#: Sets of more than LONG words have 256 bits, the others 128 (and two empty columns). The halves
+#: of the longer bitmap, xored, are the shorter one, so any two sets can be compared.
+LONG, BITS = 100, ("b0", "b1", "b2", "b3")
+BROADCAST_ROWS = 100_000
 _U = np.uint64
 
 
@@ -90,9 +94,12 @@ class LineSets:
         self.position = np.arange(len(self.line)) - np.repeat(self.first[:-1], self.n)
         if len(use):
             self.key = np.add.reduceat(mix(self.name), self.first[:-1]) if len(self.name) else np.zeros(0, _U)
-            self.bitmap = np.bitwise_xor.reduceat(_U(1) << (mix(self.name) & _U(63)), self.first[:-1])
+            bit = mix(self.name) & np.where(np.repeat(self.n, self.n) > LONG, _U(255), _U(127))
+            one = _U(1) << (bit & _U(63))
+            self.bits = [np.bitwise_xor.reduceat(np.where(bit >> _U(6) == _U(k), one, _U(0)), self.first[:-1]) for k in range(4)]
         else:
-            self.key = self.bitmap = np.zeros(0, _U)
+            self.key = np.zeros(0, _U)
+            self.bits = [self.key] * 4
 
 
 def _lines(batches, rare, min_words: int, similarity: int):
@@ -112,23 +119,31 @@ def _lines(batches, rare, min_words: int, similarity: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(lo + s.row)), pa.array(s.number.astype(np.int32)), pa.array(s.key.view(np.int64)), pa.array(s.n.astype(np.int32)),
-                    pa.array(s.bitmap.view(np.int64)), listed(s.name.view(np.int64), pa.int64()), listed(s.position.astype(np.int16), pa.int16()),
+                    *(pa.array(b.view(np.int64)) for b in s.bits), listed(s.name.view(np.int64), pa.int64()), listed(s.position.astype(np.int16), pa.int16()),
                 ],
-                ["id", "line", "key", "n", "bitmap", "words", "places"],
+                ["id", "line", "key", "n", *BITS, "words", "places"],
             )
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x).astype(np.int64)
+def _passing(i, j, key, n, left, bits, similarity: int) -> np.ndarray:
+    """Which pairs of rows (i, j) pass the position, length and bitmap filters: exact upper bounds
+    of the overlap against the least overlap of similar sets.
 
-
-def _possible(na, nb, pa_, pb, ba, bb, similarity: int) -> np.ndarray:
-    """Length, position and bitmap filters: exact upper bounds of the overlap against the least
-    overlap of similar sets."""
-    least = -((-similarity * (na + nb)) // (100 + similarity))
-    by_position = 1 + np.minimum(na - pa_, nb - pb) - 1 + np.minimum(pa_, pb)
-    by_bitmap = (na + nb - _popcount(ba ^ bb)) // 2
-    return (100 * np.minimum(na, nb) >= similarity * np.maximum(na, nb)) & (by_position >= least) & (by_bitmap >= least)
+    ``left``: words of the set from this one on. The position bound takes this word for the rarest
+    that both share. Where it is not, the pair may fail here, and meets again under the rarest.
+    Bits that differ are no more than the words that only one set has. Bounds are taken one after
+    another, each of what the last one left.
+    """
+    ni, nj = n[i], n[j]
+    at = np.flatnonzero((100 + similarity) * np.minimum(left[i], left[j]) >= similarity * (ni + nj))
+    i, j, ni, nj = i[at], j[at], ni[at], nj[at]
+    some = np.flatnonzero((100 * np.minimum(ni, nj) >= similarity * np.maximum(ni, nj)) & (key[i] != key[j]))
+    at, i, j, both = at[some], i[some], j[some], (ni + nj)[some]
+    x = [b[i] ^ b[j] for b in bits]
+    short = np.minimum(n[i], n[j]) <= LONG
+    count = lambda v: np.bitwise_count(v).astype(np.int32)
+    differ = np.where(short, count(x[0] ^ x[2]) + count(x[1] ^ x[3]), sum(map(count, x)))
+    return at[(100 + similarity) * (both - differ) >= 2 * similarity * both]
 
 
 def _streamed_pairs(batches, similarity: int):
@@ -138,16 +153,16 @@ def _streamed_pairs(batches, similarity: int):
     Each row meets the first NEAR rows of its word before it. Of the pairs that pass the filters it
     gives the first GIVEN. The state is at most NEAR rows.
     """
-    held, held_word = [np.zeros(0, np.int64)] * 4, None
+    held, held_word = [np.zeros(0, np.int64)] * 7, None
     for batch in batches:
-        word, key, packed, bitmap = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        word, *own = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
         if not len(word):
             continue
         if held_word != word[0]:
             held = [c[:0] for c in held]
         old = len(held[0])
-        cols = [np.concatenate((h, c)) for h, c in zip(held[:3], (key, packed, bitmap))]
-        rank_held = held[3]
+        cols = [np.concatenate((h, c)) for h, c in zip(held[:6], own)]
+        rank_held = held[6]
         start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
         group = np.diff(np.append(start, len(word)))
         begin = np.repeat(start + old, group)
@@ -156,8 +171,9 @@ def _streamed_pairs(batches, similarity: int):
             first = slice(0, group[0])
             begin[first] = 0
             rank[first] = int(rank_held[-1]) + 1 + np.arange(group[0])
-        n, place = cols[1] >> 32, cols[1] & 0xFFFFFFFF
-        b = cols[2].view(_U)
+        n = (cols[1] >> 32).astype(np.int32)
+        left = n - (cols[1] & 0xFFFFFFFF).astype(np.int32)
+        bits = [c.view(_U) for c in cols[2:6]]
         partners = np.minimum(rank, NEAR)
         border = np.concatenate(([0], np.cumsum(partners)))
         cut = np.flatnonzero(rank > NEAR)
@@ -167,7 +183,7 @@ def _streamed_pairs(batches, similarity: int):
             i = np.repeat(np.arange(lo, hi), partners[lo:hi])
             j = begin[i] + np.arange(border[lo], border[hi]) - border[i]
             i += old
-            good = np.flatnonzero((cols[0][i] != cols[0][j]) & _possible(n[i], n[j], place[i], place[j], b[i], b[j], similarity))
+            good = _passing(i, j, cols[0], n, left, bits, similarity)
             i, j = i[good], j[good]
             at = np.arange(len(i)) - np.searchsorted(i, i)
             partial.append(cols[0][i[at == GIVEN]])
@@ -240,6 +256,11 @@ def _verify(docs: DataFrame, pairs: DataFrame, rare, text_col: str, min_words: i
     )
 
 
+def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marked for broadcast if it has few rows of a few numbers; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, line) of every line that goes; line numbers count from 0."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
@@ -247,12 +268,12 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     lines = keep(
         docs.select(id_col, text_col).mapInArrow(
             lambda b: _lines(b, rare, min_words, similarity),
-            f"id {kind}, line int, key long, n int, bitmap long, words array<long>, places array<smallint>",
+            f"id {kind}, line int, key long, n int, b0 long, b1 long, b2 long, b3 long, words array<long>, places array<smallint>",
         ), "lines",
     )
-    prefix = lines.where(F.size("words") > 0).select("key", "n", "bitmap", "id", F.explode(F.arrays_zip("words", "places")).alias("e"))
-    prefix = prefix.select(F.col("e.words").alias("word"), "key", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("e.places")).alias("packed"), "bitmap", "id")
-    streamed = prefix.repartition(F.col("word")).sortWithinPartitions("word", "id", "key").select("word", "key", "packed", "bitmap")
+    prefix = lines.where(F.size("words") > 0).select("key", "n", *BITS, "id", F.explode(F.arrays_zip("words", "places")).alias("e"))
+    prefix = prefix.select(F.col("e.words").alias("word"), "key", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("e.places")).alias("packed"), *BITS, "id")
+    streamed = prefix.repartition(F.col("word")).sortWithinPartitions("word", "id", "key").select("word", "key", "packed", *BITS)
     pairs = keep(streamed.mapInArrow(lambda b: _streamed_pairs(b, similarity), "a long, b long").distinct(), "line-pairs")
     classes = lines.groupBy("key").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("size"))
 
@@ -267,16 +288,18 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     gone = keep(later(_verify(docs, pairs.where("b is not null"), rare, text_col, min_words, similarity)), "line-gone")
     open_ = keep(pairs.where("b is null").select(F.col("a").alias("key")).join(gone, "key", "left_anti"), "line-open")
     if not open_.isEmpty():
-        mine = prefix.join(open_, "key", "left_semi").select("word", F.col("key").alias("a"), F.col("packed").alias("pa"), F.col("bitmap").alias("ba"))
-        others = prefix.select("word", F.col("key").alias("b"), F.col("packed").alias("pb"), F.col("bitmap").alias("bb"))
+        mine = prefix.join(_small(open_), "key", "left_semi").select("word", F.col("key").alias("a"), F.col("packed").alias("pa"), *(F.col(b).alias(f"{b}_a") for b in BITS))
+        others = prefix.select("word", F.col("key").alias("b"), F.col("packed").alias("pb"), *(F.col(b).alias(f"{b}_b") for b in BITS))
         na, nb = F.shiftright("pa", 32), F.shiftright("pb", 32)
         qa, qb = F.col("pa").bitwiseAND(F.lit(0xFFFFFFFF)), F.col("pb").bitwiseAND(F.lit(0xFFFFFFFF))
         both = na + nb
+        x = [F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b")) for b in BITS]
+        folded = F.bit_count(x[0].bitwiseXOR(x[2])) + F.bit_count(x[1].bitwiseXOR(x[3]))
+        differ = F.when(F.least(na, nb) <= LONG, folded).otherwise(sum(map(F.bit_count, x[1:]), F.bit_count(x[0])))
         enough = lambda overlap: (100 + similarity) * overlap >= similarity * both
-        rest = mine.join(others, "word").where(
+        rest = others.join(_small(mine), "word").where(
             (F.col("a") != F.col("b")) & (100 * F.least(na, nb) >= similarity * F.greatest(na, nb))
-            & enough(F.least(na - qa, nb - qb) + F.least(qa, qb))
-            & (2 * similarity * both <= (100 + similarity) * (both - F.bit_count(F.col("ba").bitwiseXOR(F.col("bb")))))
+            & enough(F.least(na - qa, nb - qb)) & (2 * similarity * both <= (100 + similarity) * (both - differ))
         ).select("a", "b").distinct()
         more = later(_verify(docs, keep(rest, "line-pairs"), rare, text_col, min_words, similarity))
         gone = keep(gone.union(more).distinct(), "line-gone")
