@@ -15,15 +15,27 @@ def folder(spark: SparkSession) -> str:
     return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + "/tideline-llm"
 
 
+#: Paths of the tables that this process has kept, in order.
+kept: list[str] = []
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here, and a lost
     executor costs only the tasks that were running."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Remove kept tables, once all that reads them has been written."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def share(spark: SparkSession, value) -> Broadcast:
     """Broadcast an object of this subpackage's own classes, which travel by value."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -248,7 +248,14 @@ def training_sample(labels: DataFrame, usable: Column, id_col: str = "doc_id", l
         .agg(F.max(label_col).cast("int").alias("label"))
         .withColumn("draw", F.xxhash64("id", F.lit(7)))
     )
-    picked = [rows.where(F.col("label") == v).orderBy("draw", "id").limit(n) for v, n in ((1, max_toxic), (0, max_clean))]
+    have = {r["label"]: r["n"] for r in rows.where("label in (0, 1)").groupBy("label").agg(F.count("*").alias("n")).collect()}
+
+    def pick(label: int, n: int) -> DataFrame:
+        # Thinned by the hash first, so that partitions do not each send a whole sample to one task.
+        part = F.pmod("draw", F.lit(max(1, have.get(label, 0) // max(1, n)))) == 0
+        return rows.where((F.col("label") == label) & part).orderBy("draw", "id").limit(n)
+
+    picked = [pick(1, max_toxic), pick(0, max_clean)]
     return picked[0].unionByName(picked[1]).select("id", "label", F.pmod(F.xxhash64("id", F.lit(11)), F.lit(4)).alias("part"))
 
 
