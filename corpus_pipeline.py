@@ -1,15 +1,39 @@
-"""Documents made ready for training: five stages, each over all that its predecessor kept."""
+"""Documents made ready for training: five stages, each over all that its predecessor kept.
+
+A stage's result is written before the next one begins, so each stage first clears the
+intermediate tables of the one before it.
+"""
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import decontamination, line_dedup, minhash, packing, toxicity
 from tideline.llm.queries import tokenizer_path
-from tideline.llm.scratch import keep
+from tideline.llm.scratch import drop, keep, kept
+
+
+_left: list[str] = []  # intermediate tables of the stage before
+
+
+def clearing(stage):
+    """Remove the intermediate tables of the stage before, whose result is written by now."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop(spark, _left)
+        before = len(kept)
+        out = stage(spark, docs, sf_dir)
+        _left[:] = kept[before:]
+        return out
+
+    return run_stage
 
 
+@clearing
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic. It learns from this stage's documents
     and their labels."""
@@ -19,23 +43,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("_toxicity") < 0.5).select(*docs.columns)
 
 
+@clearing
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that resemble an earlier one. No document goes: one that loses all
     its lines stays with an empty text."""
     return line_dedup.deduplicated(docs)
 
 
+@clearing
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, that with the smallest id."""
     kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 
+@clearing
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@clearing
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences."""
     return packing.pack(docs, tokenizer_path(), with_ids=False)
