@@ -158,6 +158,18 @@ def _streamed_pairs(batches, similarity: int):
         word, *own = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
         if not len(word):
             continue
+        if held_word != word[0]:
+            held = [c[:0] for c in held]
+        # A class of equal lines has a row from each chunk that holds one; its first row counts.
+        order = np.lexsort((own[0], word))
+        again = (word[order][1:] == word[order][:-1]) & (own[0][order][1:] == own[0][order][:-1])
+        use = np.ones(len(word), bool)
+        use[order[1:][again]] = False
+        if len(held[0]):
+            use &= (word != word[0]) | ~np.isin(own[0], held[0])
+        if not use.any():
+            continue
+        word, own = word[use], [c[use] for c in own]
         if held_word != word[0]:
             held = [c[:0] for c in held]
         old = len(held[0])
@@ -288,8 +300,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     gone = keep(later(_verify(docs, pairs.where("b is not null"), rare, text_col, min_words, similarity)), "line-gone")
     open_ = keep(pairs.where("b is null").select(F.col("a").alias("key")).join(gone, "key", "left_anti"), "line-open")
     if not open_.isEmpty():
-        mine = prefix.join(_small(open_), "key", "left_semi").select("word", F.col("key").alias("a"), F.col("packed").alias("pa"), *(F.col(b).alias(f"{b}_a") for b in BITS))
-        others = prefix.select("word", F.col("key").alias("b"), F.col("packed").alias("pb"), *(F.col(b).alias(f"{b}_b") for b in BITS))
+        mine = prefix.join(_small(open_), "key", "left_semi").dropDuplicates(["word", "key"]).select("word", F.col("key").alias("a"), F.col("packed").alias("pa"), *(F.col(b).alias(f"{b}_a") for b in BITS))
+        others = prefix.dropDuplicates(["word", "key"]).select("word", F.col("key").alias("b"), F.col("packed").alias("pb"), *(F.col(b).alias(f"{b}_b") for b in BITS))
         na, nb = F.shiftright("pa", 32), F.shiftright("pb", 32)
         qa, qb = F.col("pa").bitwiseAND(F.lit(0xFFFFFFFF)), F.col("pb").bitwiseAND(F.lit(0xFFFFFFFF))
         both = na + nb
