@@ -164,6 +164,26 @@ def test_decontamination(spark):
     assert all(not r.contaminated for r in decontamination.verdicts(frame(spark, rows), bench.limit(0)).collect())
 
 
+def test_best_stretch_equals_brute_force():
+    rng = np.random.default_rng(5)
+    cases = [rng.random(n) >= p for n in (1, 8, 18, 20, 30) for p in (0, 0.1, 0.2, 0.5, 1) for _ in range(12)]
+    for same in cases:
+        good = [(same[a:b].sum(), a, b) for a in range(len(same)) for b in range(a + 1, len(same) + 1) if 4 * same[a:b].sum() >= 3 * (b - a)]
+        start, end, matched = decontamination.best_stretch(same)
+        assert matched == max(good, default=(0,))[0] == same[start:end].sum()
+        assert 4 * matched >= 3 * (end - start)
+
+
+def test_item_with_two_words_replaced(spark):
+    words_ = [f"w{i}" for i in range(20)]
+    bench = spark.createDataFrame([(1, " ".join(words_))], "item_id long, text string")
+    words_[12] = words_[15] = "other"
+    rows = [(1, "before it " + " ".join(words_) + " after it", "s")]
+    got = decontamination.verdicts(frame(spark, rows), bench).collect()
+    assert [(r["items"], r.spans) for r in got] == [([1], "2:22")]
+    assert decontamination.clean(frame(spark, rows), bench).isEmpty()
+
+
 def test_snapshots_collapse(spark):
     a = [("user", "hi"), ("bot", "hello"), ("user", "why"), ("bot", None)]
     convs = {1: a[:2], 2: a, 3: a[:1], 4: a, 5: [("bot", "hi")], 6: a[:1] + [("bot", "other")], 7: [("user", "")], 8: [("user", None), ("bot", "x")], 9: [("user", "hi"), ("bot", "hello"), ("user", "why"), ("bot", "")]}

@@ -3,9 +3,10 @@
 A mask is laid over every run of SPAN words of a text; only the words under its ones are hashed,
 so a substituted word under a zero leaves the hash as it is. Hashes of the benchmark's runs meet
 those of the documents in a join, after a Bloom filter of fixed size that tasks hold. Around each
-hit the document and the item are laid over each other and the best stretch is found in which at
-least three of four words agree; a document is contaminated by an item of which such a stretch
-holds ``min_match`` agreeing words (of a shorter item, three quarters of its words).
+hit the document and the item are laid over each other. Of all stretches in which at least three of
+four words agree, the one with the most agreeing words is taken; a document is contaminated by an
+item of which it holds ``min_match`` agreeing words (of a shorter item, three quarters of its
+words). A stretch that no mask fits has no hit and is not found.
 
 Words are lower-case (A-Z) runs of other than white space. Items of 8 to SPAN - 1 words are met as
 whole sequences; shorter items say nothing about a document and are left out.
@@ -121,13 +122,16 @@ def _hits(batches, sent, masks, reach: int):
 
 
 def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
-    """(start, end, agreeing words) of the stretch with the largest sum of +1 for an agreeing word
-    and -3 for another."""
-    total = np.append(0, np.cumsum(np.where(same, 1, -3)))
-    low = np.minimum.accumulate(total)
-    end = int((total - low).argmax())
-    start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-    return start, end, int(same[start:end].sum())
+    """(start, end, agreeing words) of the stretch with the most agreeing words of all in which at
+    least three of four agree; it begins and ends with one."""
+    agreed = np.append(0, np.cumsum(same))
+    total = 4 * agreed - 3 * np.arange(len(agreed))  # +1 for an agreeing word, -3 for another
+    # For each end the earliest start whose total is no larger.
+    start = np.searchsorted(-np.minimum.accumulate(total), -total)
+    end = int((agreed - agreed[start]).argmax())
+    begin = int(start[end])
+    matched = int(agreed[end] - agreed[begin])
+    return begin + int(same[begin:end].argmax()) if matched else end, end, matched
 
 
 def _overlaps(batches, min_match: int):
