@@ -105,6 +105,35 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.allclose(both.score_x, both.score_y)
 
 
+def test_equal_scores_have_one_probability():
+    at, p = toxicity.isotonic(np.repeat([0.0, 1.0], 100), np.repeat([0.0, 1.0, 0.0, 1.0], (95, 5, 80, 20)))
+    assert at.tolist() == [0, 1] and np.allclose(p, (0.05, 0.2), atol=0.01)
+
+
+def test_toxic_rate_is_that_of_all_labels(spark):
+    """Every fifth document has a word with which one of five is toxic; the caps draw all toxic but
+    a sixth of the clean labels."""
+    rng = np.random.default_rng(4)
+    rows = [(i, f"word{rng.integers(50)} {'zork' if i % 5 == 0 else 'fine'} word{rng.integers(50)} {i}", "s") for i in range(4000)]
+    labels = [(i, 1, int(i % 5 == 0 and rng.random() < 0.2)) for i in range(4000)]
+    docs, table = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for caps in ((8000, 16000), (200, 640)):
+        model = toxicity.fit(docs, table, F.lit(True), max_toxic=caps[0], max_clean=caps[1])
+        got = toxicity.score(docs, model).toPandas()
+        assert 0.1 < got.score[got.doc_id % 5 == 0].mean() < 0.35
+        assert (got.score >= 0.5).mean() < 0.01
+
+
+def test_weights_count_as_repeated_rows():
+    rng = np.random.default_rng(6)
+    x, times = rng.random((300, 3)), rng.integers(1, 5, 300)
+    y = (rng.random(300) < x[:, 0]).astype(float)
+    again = np.repeat(np.arange(300), times)
+    once, repeated = toxicity.isotonic(x[:, 0], y, times.astype(float)), toxicity.isotonic(x[again, 0], y[again])
+    assert np.allclose(once, repeated)
+    assert np.isclose(toxicity.boost(x, y, times.astype(float))[0], toxicity.boost(x[again], y[again])[0])
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = toxicity.classify(frame(spark, corpus()), none).collect()

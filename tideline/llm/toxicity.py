@@ -5,8 +5,9 @@ read through common digit-for-letter spellings), how near lexicon words stand to
 words, rates of capitals, punctuation, exclamation marks, obfuscated words and stretched letters.
 
 Fitting takes at most ``max_toxic`` and ``max_clean`` labelled rows, chosen by a hash of the id:
-half of them give the lexicon, a quarter the trees, a quarter the calibration. Scoring covers
-every document and needs no shuffle.
+half of them give the lexicon, a quarter the trees, a quarter the calibration. In the trees and the
+calibration a row weighs as many labels of its class as it stands for, so scores follow the rate
+among all labels. Scoring covers every document and needs no shuffle.
 
 Defined cases: a null or empty text scores like any text without words; a null label is no label;
 of several labels for one id the larger counts; with no label of one class the score is that of
@@ -182,9 +183,14 @@ def _grow(binned: np.ndarray, edges: list[np.ndarray], grad: np.ndarray, hess: n
     return Tree(feature, cut, -rate * g / (h + 1))
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 48) -> tuple[float, list[Tree]]:
-    """Prior log odds and trees for the logistic loss."""
-    prior = float(np.log((y.sum() + 0.5) / ((1 - y).sum() + 0.5)))
+def _log_odds(y: np.ndarray, weight: np.ndarray) -> float:
+    return float(np.log(((y * weight).sum() + 0.5) / (((1 - y) * weight).sum() + 0.5)))
+
+
+def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 48) -> tuple[float, list[Tree]]:
+    """Prior log odds and trees for the logistic loss; without ``weight`` all rows weigh 1."""
+    weight = np.ones(len(y)) if weight is None else weight
+    prior = _log_odds(y, weight)
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins)[1:-1])) if len(c) else c for c in x.T]
     # A cut at zero parts "none" from "some" even where almost all rows have none.
     edges = [np.unique(np.append(e, 0.0)) for e in edges]
@@ -192,23 +198,25 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate:
     score, trees = np.full(len(y), prior), []
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-score))
-        tree = _grow(binned, edges, p - y, p * (1 - p), depth, rate)
+        tree = _grow(binned, edges, weight * (p - y), weight * p * (1 - p), depth, rate)
         trees.append(tree)
         score += tree(x)
     return prior, trees
 
 
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: (scores, probabilities) of the blocks, for linear interpolation."""
-    order = np.argsort(score, kind="stable")
+    weight = np.ones(len(y)) if weight is None else weight
+    # Equal scores are one row: else their labels, in order, would make blocks of their own.
+    at, row = np.unique(score, return_inverse=True)
     blocks: list[list[float]] = []  # sum of labels, weight, sum of scores
-    for s, v in zip(score[order], y[order]):
-        blocks.append([v, 1.0, s])
+    for s, v, w in zip(at, np.bincount(row, y * weight), np.bincount(row, weight)):
+        blocks.append([v, w, s * w])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
     b = np.array(blocks)
-    rate = y.mean()
+    rate = (y * weight).sum() / weight.sum()
     # Small blocks are drawn towards the mean, which must not turn the order round.
     return b[:, 2] / b[:, 1], np.maximum.accumulate((b[:, 0] + 0.5 * rate) / (b[:, 1] + 0.5))
 
@@ -241,8 +249,9 @@ def fold(id_col: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
 
 
-def training_sample(labels: DataFrame, usable: Column, id_col: str = "doc_id", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> DataFrame:
-    """At most ``max_toxic + max_clean`` labelled ids with ``label`` and ``part`` (0 to 3)."""
+def training_sample(labels: DataFrame, usable: Column, id_col: str = "doc_id", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> tuple[DataFrame, dict[int, int]]:
+    """At most ``max_toxic + max_clean`` labelled ids with ``label`` and ``part`` (0 to 3), and the
+    number of labels of each class that they are drawn from."""
     rows = (
         labels.where(usable & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
         .agg(F.max(label_col).cast("int").alias("label"))
@@ -256,7 +265,7 @@ def training_sample(labels: DataFrame, usable: Column, id_col: str = "doc_id", l
         return rows.where((F.col("label") == label) & part).orderBy("draw", "id").limit(n)
 
     picked = [pick(1, max_toxic), pick(0, max_clean)]
-    return picked[0].unionByName(picked[1]).select("id", "label", F.pmod(F.xxhash64("id", F.lit(11)), F.lit(4)).alias("part"))
+    return picked[0].unionByName(picked[1]).select("id", "label", F.pmod(F.xxhash64("id", F.lit(11)), F.lit(4)).alias("part")), have
 
 
 def _count_keys(batches):
@@ -289,10 +298,13 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     The sample's ids are broadcast: their number is bounded by the two parameters. To the driver
     come at most MAX_LEXICON lexicon entries and one dense row for each sampled document.
     """
-    sample = training_sample(labels, usable, id_col, label_col, max_toxic, max_clean)
+    sample, have = training_sample(labels, usable, id_col, label_col, max_toxic, max_clean)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
-    n = {r["label"]: r["n"] for r in sample.where("part < 2").groupBy("label").agg(F.count("*").alias("n")).collect()}
-    toxic, clean = n.get(1, 0) + 1.0, n.get(0, 0) + 1.0
+    n = {r["label"]: (r["n"], r["all"]) for r in sample.groupBy("label").agg(F.count_if(F.col("part") < 2).alias("n"), F.count("*").alias("all")).collect()}
+    toxic, clean = n.get(1, (0,))[0] + 1.0, n.get(0, (0,))[0] + 1.0
+    # How many labels of its class a sampled row stands for, in units of their mean.
+    mean = sum(have.get(k, 0) for k in n) / max(1, sum(v[1] for v in n.values()))
+    stands_for = np.array([have[k] / n[k][1] / mean if k in n else 1.0 for k in (0, 1)])
     odds = F.log((F.col("a") + 0.5) / toxic) - F.log((F.col("b") + 0.5) / clean)
     counted = (
         texts.where("part < 2").select("id", "label", "text").mapInArrow(_count_keys, "key long, a long, b long")
@@ -314,16 +326,16 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
 
     rows = texts.where("part >= 2").select("label", "part", "text").mapInArrow(dense, "label int, part long, x array<double>").toPandas()
     if not len(rows):
-        model.prior = -40.0 if clean >= toxic else 40.0
+        model.prior = -40.0 if clean * stands_for[0] >= toxic * stands_for[1] else 40.0
         return model
     x, y, part = np.stack(rows["x"].to_numpy()), rows["label"].to_numpy(float), rows["part"].to_numpy()
     order = np.lexsort((*x.T, y, part))  # the same trees whatever order the rows came in
     x, y, part = x[order], y[order], part[order]
-    grow = part == 2
-    model.prior, model.trees = boost(x[grow], y[grow]) if grow.any() else (float(np.log((y.sum() + 0.5) / ((1 - y).sum() + 0.5))), [])
+    grow, weight = part == 2, stands_for[y.astype(int)]
+    model.prior, model.trees = boost(x[grow], y[grow], weight[grow]) if grow.any() else (_log_odds(y, weight), [])
     if (~grow).sum() >= 2 and 0 < y[~grow].sum() < (~grow).sum():
         raw = model.prior + sum((t(x[~grow]) for t in model.trees), np.zeros(int((~grow).sum())))
-        model.knots = isotonic(raw, y[~grow])
+        model.knots = isotonic(raw, y[~grow], weight[~grow])
     return model
 
 
