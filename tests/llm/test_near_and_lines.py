@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tests.llm.helpers import corpus, empty, frame, lower, shingle_set, words
@@ -92,6 +94,22 @@ def test_lines_equal_brute_force(spark, monkeypatch, near, given):
         assert texts[i] == left
 
 
+def test_lines_like_a_removed_one_inside_a_document(spark, monkeypatch):
+    """Line 0 removes line 1, which alone removes the others; ids are stored in falling order."""
+    monkeypatch.setattr(line_dedup, "GIVEN", 1)
+    rows = []
+    for g in range(20):
+        base = [f"g{g}w{i}" for i in range(16)]
+        others = [" ".join(base[: 2 * k] + [f"g{g}x{k}", f"g{g}y{k}"] + base[2 * k + 2 :]) for k in range(8)]
+        rows.append((2 * g + 1, "\n".join([others[0], " ".join(base), *others[1:]]), "s"))
+        if g % 2:  # stored later, ordered earlier
+            rows.append((2 * g, "\n".join(["two words", others[3], " ".join(reversed(base))]), "s"))
+    want = brute_lines(rows)
+    docs = frame(spark, rows, 1).sortWithinPartitions("doc_id", ascending=False)
+    got = {r.doc_id: r.removed for r in line_dedup.decisions(docs).collect()}
+    assert got == {i: want.get(i, []) for i, _, _ in rows} and want[1] == list(range(1, 9))
+
+
 def test_lines_of_nothing(spark):
     assert line_dedup.decisions(empty(spark)).collect() == []
     assert line_dedup.deduplicated(empty(spark)).columns == empty(spark).columns

@@ -9,11 +9,11 @@ Equal sets are one class: all but its first line go. Between classes: words are
 prefix, and lines that share one of them are compared by length, by position and by a
 parity bitmap of 128 or 256 bits, all of which are exact bounds. What passes is verified on the full sets.
 
-Lines that share a prefix word are met in a sorted stream, each with the first ``NEAR`` of them,
+Lines that share a prefix word are met in a stream in the lines' order, each with the first ``NEAR``,
 and each gives the first ``GIVEN`` pairs that pass the filters; this bounds what a very frequent
-word or a large family of like lines can make. Lines for which the stream has not shown all pairs,
-and which those it has shown do not remove, are then joined with all lines of their words. So no
-match is lost.
+word or a large family of like lines can make. Lines for which the stream has not shown all pairs
+with earlier ones, and which those it has shown do not remove, are then joined with all lines of
+their words. So no match is lost.
 
 Defined cases: null and empty texts have one line without words, which stays; lines of fewer words
 than ``min_words`` always stay; equal ids order by their line numbers and are removed alike; empty
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,9 +111,12 @@ def _lines(batches, rare, min_words: int, similarity: int):
             prefix = s.n - (similarity * s.n + 99) // 100 + 1
             # A word that occurs once leads nowhere; its place in the order still counts.
             use = (s.position < np.repeat(prefix, s.n)) & ((s.name >> _U(48)) > 0)
-            _, first = np.unique(s.key, return_index=True)
+            # One line of a class in a chunk gives its prefix, the first by (id, line): so a class's
+            # first row in a stream is that of its first line.
+            rank = pc.rank(batch.column(0).slice(lo, hi - lo), null_placement="at_start", tiebreaker="dense").to_numpy()
+            order = np.lexsort((s.number, rank[s.row], s.key))
             lead = np.zeros(len(s.key), bool)
-            lead[first] = True  # one line of a class in a chunk gives its prefix
+            lead[order] = np.append(True, s.key[order][1:] != s.key[order][:-1])[: len(order)]
             use &= np.repeat(lead, s.n)
             border = np.searchsorted(s.line[use], np.arange(len(s.key) + 1)).astype(np.int32)
             listed = lambda x, t: pa.ListArray.from_arrays(border, pa.array(x[use], t))
@@ -148,7 +152,7 @@ def _passing(i, j, key, n, left, bits, similarity: int) -> np.ndarray:
 
 def _streamed_pairs(batches, similarity: int):
     """Candidate pairs (a, b) of class keys from rows sorted by word; (a, null) where the stream has
-    not shown all pairs of class a.
+    not shown all pairs of class a with earlier ones.
 
     Each row meets the first NEAR rows of its word before it. Of the pairs that pass the filters it
     gives the first GIVEN. The state is at most NEAR rows.
@@ -283,18 +287,18 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
             f"id {kind}, line int, key long, n int, b0 long, b1 long, b2 long, b3 long, words array<long>, places array<smallint>",
         ), "lines",
     )
-    prefix = lines.where(F.size("words") > 0).select("key", "n", *BITS, "id", F.explode(F.arrays_zip("words", "places")).alias("e"))
-    prefix = prefix.select(F.col("e.words").alias("word"), "key", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("e.places")).alias("packed"), *BITS, "id")
-    streamed = prefix.repartition(F.col("word")).sortWithinPartitions("word", "id", "key").select("word", "key", "packed", *BITS)
+    prefix = lines.where(F.size("words") > 0).select("key", "n", *BITS, "id", "line", F.explode(F.arrays_zip("words", "places")).alias("e"))
+    prefix = prefix.select(F.col("e.words").alias("word"), "key", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("e.places")).alias("packed"), *BITS, "id", "line")
+    streamed = prefix.repartition(F.col("word")).sortWithinPartitions("word", "id", "line", "key").select("word", "key", "packed", *BITS)
     pairs = keep(streamed.mapInArrow(lambda b: _streamed_pairs(b, similarity), "a long, b long").distinct(), "line-pairs")
     classes = lines.groupBy("key").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("size"))
 
     def later(found: DataFrame) -> DataFrame:
-        """Of each similar pair, the class whose first line comes later."""
+        """Of each similar pair, the class whose first line comes later; a has the smaller key."""
         firsts = classes.select("key", "first")
         return (
             found.join(firsts.withColumnsRenamed({"key": "a", "first": "fa"}), "a").join(firsts.withColumnsRenamed({"key": "b", "first": "fb"}), "b")
-            .select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("key")).distinct()
+            .select(F.when((F.col("fa") < F.col("fb")) | ((F.col("fa") == F.col("fb")) & (F.col("a") < F.col("b"))), F.col("b")).otherwise(F.col("a")).alias("key")).distinct()
         )
 
     gone = keep(later(_verify(docs, pairs.where("b is not null"), rare, text_col, min_words, similarity)), "line-gone")
