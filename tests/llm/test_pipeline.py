@@ -1,5 +1,6 @@
 import corpus_pipeline
 from tests.llm.helpers import corpus, frame
+from tideline.llm import decontamination, line_dedup, minhash
 
 
 def test_stages_keep_columns_and_run_on_awkward_rows(spark, tmp_path):
@@ -22,3 +23,30 @@ def test_stages_keep_columns_and_run_on_awkward_rows(spark, tmp_path):
         docs = out
     whole = corpus_pipeline.run(spark, folder)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_null_and_repeated_ids(spark):
+    say = lambda a, n=30: " ".join(f"{a}{i}" for i in range(n))
+    near = say("a").replace("a29", "other")
+    rows = [
+        (None, say("a"), "s"), (5, say("a"), "s"), (6, near, "s"), (None, say("b"), "s"), (7, say("c"), "s"), (7, near, "s"),
+        (None, None, "s"), (8, say("d"), "s"), (8, say("d"), "s"),
+    ]
+    docs = frame(spark, rows, 1)
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash.near_duplicates(docs).collect())
+    assert got == [(0, 0, True), (0, 0, True), (0, 5, False), (5, 5, True), (6, 5, False), (7, 5, False), (7, 7, True), (8, 8, False), (8, 8, True)]
+    out = [(r.doc_id, r.text) for r in minhash.deduplicated(docs).collect()]
+    assert sorted(out, key=str) == sorted([(5, say("a")), (None, say("b")), (7, say("c")), (None, None), (8, say("d"))], key=str)
+
+    two = lambda a, b: say(a, 9) + "\n" + say(b, 9)
+    rows = [(None, two("a", "b"), "s"), (None, two("c", "a"), "s"), (1, two("d", "b"), "s"), (1, two("e", "f"), "s"), (2, None, "s")]
+    texts = [(r.doc_id, r.text) for r in line_dedup.deduplicated(frame(spark, rows, 1)).collect()]
+    assert sorted(texts, key=str) == sorted([(None, two("a", "b")), (None, say("c", 9)), (1, say("d", 9)), (1, two("e", "f")), (2, None)], key=str)
+    assert sorted((r.doc_id or 0, r.n_removed) for r in line_dedup.decisions(frame(spark, rows, 1)).collect()) == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0)]
+
+    bench = spark.createDataFrame([(1, say("x", 20))], "item_id long, text string")
+    rows = [(None, say("x", 20), "s"), (None, say("y"), "s"), (3, say("x", 25), "s"), (3, say("z"), "s"), (None, None, "s")]
+    kept = [(r.doc_id, r.text) for r in decontamination.clean(frame(spark, rows, 1), bench).collect()]
+    assert sorted(kept, key=str) == sorted([(None, say("y")), (3, say("z")), (None, None)], key=str)
+    verdicts = sorted((r.doc_id or 0, r.contaminated) for r in decontamination.verdicts(frame(spark, rows, 1), bench).collect())
+    assert verdicts == [(0, False), (0, False), (0, True), (3, False), (3, True)]

@@ -11,8 +11,8 @@ words). A stretch that no mask fits has no hit and is not found.
 Words are lower-case (A-Z) runs of other than white space. Items of 8 to SPAN - 1 words are met as
 whole sequences; shorter items say nothing about a document and are left out.
 
-Defined cases: null or empty texts have no words and match nothing; rows with equal ids share
-their verdict; repeated items are one item with several ids; empty tables give clean documents;
+Defined cases: null or empty texts have no words and match nothing; rows with equal or null
+ids have verdicts of their own; repeated items are one item with several ids; empty tables give clean documents;
 other columns are left as they are.
 """
 
@@ -184,22 +184,34 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     )
 
 
+def _by_text(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, *options) -> DataFrame:
+    """``overlaps`` by id and hash of the text, as ids may be null or repeated."""
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("doc")).alias("_key"), text_col)
+    return overlaps(keyed, benchmark, "_key", text_col, *options)
+
+
+def _joined(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    """``docs`` joined with ``found`` by ``_id`` and ``_doc``, also where the id is null."""
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_doc")), how)
+
+
 def verdicts(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_match: int = MIN_MATCH) -> DataFrame:
     """One row per document: id, contaminated, n_items, items (sorted), spans (word ranges, joined).
 
     ``items`` of a document are bounded by the benchmark.
     """
-    found = overlaps(docs, benchmark, id_col, text_col, item_col, item_text, min_match).distinct()
+    found = _by_text(docs, benchmark, id_col, text_col, item_col, item_text, min_match).distinct()
     by_item = found.groupBy("id", "item").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    by_doc = by_item.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("item", "start", "end"))).alias("hits"))
-    return docs.select(id_col).join(by_doc, docs[id_col] == by_doc["id"], "left").select(
+    by_doc = by_item.groupBy(F.col("id.id").alias("_id"), F.col("id.doc").alias("_doc")).agg(F.array_sort(F.collect_list(F.struct("item", "start", "end"))).alias("hits"))
+    return _joined(docs.select(id_col, text_col), by_doc, id_col, text_col, "left").select(
         id_col, F.col("hits").isNotNull().alias("contaminated"), F.coalesce(F.size("hits"), F.lit(0)).alias("n_items"),
         F.coalesce(F.col("hits.item"), F.array().cast(by_doc.select("hits.item").schema[0].dataType)).alias("items"),
         F.coalesce(F.array_join(F.transform("hits", lambda h: F.concat_ws(":", h["start"].cast("string"), h["end"].cast("string"))), ","), F.lit("")).alias("spans"),
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_match: int = MIN_MATCH) -> DataFrame:
     """``docs`` without the contaminated ones."""
-    found = overlaps(docs, benchmark, id_col, text_col, **options).select(F.col("id").alias(id_col)).distinct()
-    return docs.join(found, id_col, "left_anti").select(*docs.columns)
+    found = _by_text(docs, benchmark, id_col, text_col, item_col, item_text, min_match)
+    found = found.select(F.col("id.id").alias("_id"), F.col("id.doc").alias("_doc")).distinct()
+    return _joined(docs, found, id_col, text_col, "left_anti").select(*docs.columns)

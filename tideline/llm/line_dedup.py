@@ -16,8 +16,8 @@ with earlier ones, and which those it has shown do not remove, are then joined w
 their words. So no match is lost.
 
 Defined cases: null and empty texts have one line without words, which stays; lines of fewer words
-than ``min_words`` always stay; equal ids order by their line numbers and are removed alike; empty
-tables give empty results; other columns are left as they are.
+than ``min_words`` always stay; null ids come first, equal or null ids order by their line numbers, and
+each text loses its own lines (of equal ids, equal texts the same ones); empty tables give empty results; other columns are left as they are.
 """
 
 from __future__ import annotations
@@ -122,10 +122,10 @@ def _lines(batches, rare, min_words: int, similarity: int):
             listed = lambda x, t: pa.ListArray.from_arrays(border, pa.array(x[use], t))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(lo + s.row)), pa.array(s.number.astype(np.int32)), pa.array(s.key.view(np.int64)), pa.array(s.n.astype(np.int32)),
+                    batch.column(0).take(pa.array(lo + s.row)), batch.column(2).take(pa.array(lo + s.row)), pa.array(s.number.astype(np.int32)), pa.array(s.key.view(np.int64)), pa.array(s.n.astype(np.int32)),
                     *(pa.array(b.view(np.int64)) for b in s.bits), listed(s.name.view(np.int64), pa.int64()), listed(s.position.astype(np.int16), pa.int16()),
                 ],
-                ["id", "line", "key", "n", *BITS, "words", "places"],
+                ["id", "doc", "line", "key", "n", *BITS, "words", "places"],
             )
 
 
@@ -278,27 +278,28 @@ def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, line) of every line that goes; line numbers count from 0."""
+    """(id, _doc, line) of every line that goes: _doc hashes its text, as ids may be null or repeated;
+    line numbers count from 0."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     rare = share(spark, rarity(docs, text_col))
     lines = keep(
-        docs.select(id_col, text_col).mapInArrow(
+        docs.select(id_col, text_col, F.xxhash64(text_col).alias("doc")).mapInArrow(
             lambda b: _lines(b, rare, min_words, similarity),
-            f"id {kind}, line int, key long, n int, b0 long, b1 long, b2 long, b3 long, words array<long>, places array<smallint>",
+            f"id {kind}, doc long, line int, key long, n int, b0 long, b1 long, b2 long, b3 long, words array<long>, places array<smallint>",
         ), "lines",
     )
     prefix = lines.where(F.size("words") > 0).select("key", "n", *BITS, "id", "line", F.explode(F.arrays_zip("words", "places")).alias("e"))
     prefix = prefix.select(F.col("e.words").alias("word"), "key", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("e.places")).alias("packed"), *BITS, "id", "line")
     streamed = prefix.repartition(F.col("word")).sortWithinPartitions("word", "id", "line", "key").select("word", "key", "packed", *BITS)
     pairs = keep(streamed.mapInArrow(lambda b: _streamed_pairs(b, similarity), "a long, b long").distinct(), "line-pairs")
-    classes = lines.groupBy("key").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("size"))
+    classes = lines.groupBy("key").agg(F.min(F.struct("id", "line", "doc")).alias("first"), F.count("*").alias("size"))
 
     def later(found: DataFrame) -> DataFrame:
         """Of each similar pair, the class whose first line comes later; a has the smaller key."""
         firsts = classes.select("key", "first")
         return (
             found.join(firsts.withColumnsRenamed({"key": "a", "first": "fa"}), "a").join(firsts.withColumnsRenamed({"key": "b", "first": "fb"}), "b")
-            .select(F.when((F.col("fa") < F.col("fb")) | ((F.col("fa") == F.col("fb")) & (F.col("a") < F.col("b"))), F.col("b")).otherwise(F.col("a")).alias("key")).distinct()
+            .select(F.when(F.struct("fa.id", "fa.line", "a") < F.struct("fb.id", "fb.line", "b"), F.col("b")).otherwise(F.col("a")).alias("key")).distinct()
         )
 
     gone = keep(later(_verify(docs, pairs.where("b is not null"), rare, text_col, min_words, similarity)), "line-gone")
@@ -321,26 +322,32 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         gone = keep(gone.union(more).distinct(), "line-gone")
     bad = classes.join(gone.withColumn("gone", F.lit(True)), "key", "left").where("size > 1 or gone")
     return (
-        lines.select("id", "line", "key").join(bad, "key")
-        .where(F.col("gone").isNotNull() | (F.struct("id", "line") != F.col("first")))
-        .select(F.col("id").alias(id_col), "line")
+        lines.select("id", "doc", "line", "key").join(bad, "key")
+        .where(F.col("gone").isNotNull() | (F.struct("id", "line", "doc") != F.col("first")))
+        .select(F.col("id").alias(id_col), F.col("doc").alias("_doc"), "line")
     )
 
 
+def _joined(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with the list ``_removed`` of their lines that go, null where none does."""
+    lists = gone.distinct().groupBy(F.col(id_col).alias("_id"), "_doc").agg(F.array_sort(F.collect_list("line")).alias("_removed"))
+    return docs.join(lists, docs[id_col].eqNullSafe(lists["_id"]) & (F.xxhash64(docs[text_col]) == lists["_doc"]), "left")
+
+
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document: id, n_removed and removed (sorted line numbers)."""
-    gone = removals(docs, id_col, text_col, similarity, min_words).distinct().groupBy(id_col).agg(F.array_sort(F.collect_list("line")).alias("removed"))
-    return docs.select(id_col).join(gone, id_col, "left").select(
-        id_col, F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed")
+    gone = removals(docs, id_col, text_col, similarity, min_words)
+    return _joined(docs.select(id_col, text_col), gone, id_col, text_col).select(
+        id_col, F.coalesce(F.size("_removed"), F.lit(0)).alias("n_removed"), F.coalesce("_removed", F.array().cast("array<int>")).alias("removed")
     )
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the removed lines cut from the texts; the other columns are as they were."""
-    gone = removals(docs, id_col, text_col, similarity, min_words).distinct().groupBy(F.col(id_col).alias("_id")).agg(F.collect_list("line").alias("_removed"))
+    gone = removals(docs, id_col, text_col, similarity, min_words)
     lines = F.split(F.col(text_col), "\n", -1)
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_removed", i)), "\n")
     return (
-        docs.join(gone, docs[id_col] == gone["_id"], "left")
+        _joined(docs, gone, id_col, text_col)
         .withColumn(text_col, F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)
     )

@@ -16,8 +16,9 @@ block. So every
 pair that shares a band is either verified, or already connected, or provably no link.
 
 Defined cases: a null or empty text has the empty set and is linked with nothing; a text of fewer
-words than the width has one shingle, its whole sequence; equal ids are separate rows whose
-component is named by the smallest id in it; an empty table gives an empty result; other columns
+words than the width has one shingle, its whole sequence; equal and null ids are separate rows whose
+component is named by the smallest id in it (null where it has none), and one row of which is kept; an
+empty table gives an empty result; other columns
 are ignored.
 """
 
@@ -78,7 +79,7 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 
 def _signatures(batches, width: int):
     for batch in batches:
-        for lo, hi, chunk in chunks(batch.column(1)):
+        for lo, hi, chunk in chunks(batch.column(2)):
             n, k1, k2, keys, size = [], [], [], [], []
             for s in document_sets(chunk, width):
                 n.append(len(s))
@@ -91,7 +92,7 @@ def _signatures(batches, width: int):
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             listed = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(size))).astype(np.int32), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), *(pa.array(x, pa.int64()) for x in (n, k1, k2)), listed], ["id", "n", "k1", "k2", "bands"]
+                [*(c.slice(lo, hi - lo) for c in batch.columns[:2]), *(pa.array(x, pa.int64()) for x in (n, k1, k2)), listed], ["row", "id", "n", "k1", "k2", "bands"]
             )
 
 
@@ -271,13 +272,30 @@ def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs``, written with a number for each row: ids may be null or repeated."""
+    return keep(docs.withColumn("_row", F.monotonically_increasing_id()), "minhash-documents")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: int = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
-    """id, n_shingles, component_id (smallest id reachable), kept (id is component_id)."""
-    kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """id, n_shingles, component_id (smallest id reachable), kept (the first row of that id in its
+    component)."""
+    numbered = _numbered(docs.select(id_col, text_col))
+    return _decisions(numbered, id_col, text_col, width, similarity, rounds).drop("row")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: int = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+    """The kept rows of ``docs``, one of each component."""
+    numbered = _numbered(docs)
+    rows = _decisions(numbered, id_col, text_col, width, similarity, rounds).where("kept").select(F.col("row").alias("_row"))
+    return numbered.join(rows, "_row", "left_semi").select(*docs.columns)
+
+
+def _decisions(numbered: DataFrame, id_col: str, text_col: str, width: int, similarity: int, rounds: int) -> DataFrame:
+    kind = dict(numbered.dtypes)[id_col]
+    rows = numbered.select(F.col("_row").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = keep(
-        rows.mapInArrow(lambda b: _signatures(b, width), f"id {kind}, n long, k1 long, k2 long, bands array<long>")
-        .withColumn("row", F.monotonically_increasing_id()), "minhash-signatures",
+        rows.mapInArrow(lambda b: _signatures(b, width), f"row long, id {kind}, n long, k1 long, k2 long, bands array<long>"), "minhash-signatures",
     )
     classes = signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("row").alias("node"))
     owner = signed.drop("bands").join(classes, ["k1", "k2", "n"], "left").select("row", "id", "n", "k1", "k2", F.coalesce("node", "row").alias("node"))
@@ -287,9 +305,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = reps.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
     members = keep(reps.join(shared, "band", "left_semi").select("band", "node", "n", F.col("node").alias("comp"), F.lit(0).cast("long").alias("score")), "minhash-members")
 
-    wanted = owner.where("row = node").join(members.select("node"), "node", "left_semi").select("node", "id", "k1", "k2")
+    wanted = owner.where("row = node").join(members.select("node"), "node", "left_semi").select("node", "k1", "k2")
     sets = keep(
-        wanted.join(rows, "id").select("node", "text", "k1", "k2").mapInArrow(lambda b: _sets(b, width), "node long, n long, items array<long>"),
+        wanted.join(rows.select(F.col("row").alias("node"), "text"), "node").select("node", "text", "k1", "k2").mapInArrow(lambda b: _sets(b, width), "node long, n long, items array<long>"),
         "minhash-sets",
     )
 
@@ -317,7 +335,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         owner = owner.join(roots, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     else:
         owner = owner.withColumn("comp", F.col("node"))
-    names = owner.groupBy("comp").agg(F.min("id").alias("component_id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    names = owner.groupBy("comp").agg(first.alias("first"))
     return owner.join(names, "comp").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+        "row", F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("first.id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept")
     )
