@@ -8,10 +8,12 @@ from checks.base import (
     MARGIN_SQL, margin_table, market, market_sql, priority_panel, r6, rounded,
     table,
 )
+from checks.q_features import OWN_CAL, inputs
 from checks.q_score import A, assessed
 from checks.registry import query
 from tideline import params as P
 from tideline.operators import ingest, score
+from tideline.plans import stress
 from tideline.sources import landing, margin_csv, tables
 
 PANEL = market_sql()
@@ -63,6 +65,33 @@ def s2(spark, sf):
     return rounded(named(landing.read_wide(spark, path, P.OFFICIAL, fmt="csv", keep=["scope"])))
 
 
+def own_headers(spark, sf, provider, fmt):
+    """Files of one folder that hold other symbols, or the same in another order: the first half
+    of the symbols, the rest in reverse, and a third file with every third date of all."""
+    path = folder(spark, f"own-headers-{provider}")
+    all_ = wide(market(spark, sf), provider)
+    symbols = [c for c in all_.columns if c not in ("scope", "date")]
+    third = F.pmod(F.unix_date("date"), F.lit(3)) == 0
+    half = len(symbols) // 2
+    parts = [
+        (~third, ["scope", "date", *symbols[:half]]), (~third, [*reversed(symbols[half:]), "date", "scope"]),
+        (third, [*reversed(symbols[1:]), "scope", symbols[0], "date"]),
+    ]
+    for i, (days, columns) in enumerate(parts):
+        all_.where(days).select(*[F.col(f"`{c}`") for c in columns]).write.mode("append").option("header", True).format(fmt).save(f"{path}/{i}")
+    return rounded(named(landing.read_wide(spark, [f"{path}/{i}" for i in range(len(parts))], provider, fmt=fmt, keep=["scope"])))
+
+
+@query("s1_own_headers_quotes", panel_sql("yahoo"))
+def s1_headers(spark, sf):
+    return own_headers(spark, sf, P.QUOTES, "csv")
+
+
+@query("s2_own_headers_official", panel_sql("fred"))
+def s2_headers(spark, sf):
+    return own_headers(spark, sf, P.OFFICIAL, "parquet")
+
+
 @query(
     "s3_close_layouts",
     f"""WITH {PANEL}, q AS (SELECT * FROM panel WHERE provider = 'yahoo')
@@ -103,6 +132,52 @@ def s4(spark, sf):
     return rounded(landing.within_history(market(spark, sf), "2000-06-30"))
 
 
+SNAPSHOT_DAY = "1997-09-30"
+SCORES = ["scope", "as_of", "scenario", "composite", "regime", "coverage_pct", "missing"]
+
+
+def bounded(panel_rows, calendar):
+    """The assessments' SQL over a bounded load, on the dates of ``calendar``."""
+    whole = market_sql(outages=True)
+    load = market_sql(outages=True, name="whole") + f", panel AS MATERIALIZED ({panel_rows})"
+    assert whole in A and OWN_CAL in A
+    return f"WITH {A.replace(whole, load).replace(OWN_CAL, calendar)} SELECT {', '.join(SCORES)} FROM asmt"
+
+
+@query(
+    "s4_bounded_snapshot",
+    bounded(
+        f"SELECT * FROM whole WHERE obs_date BETWEEN DATE '{SNAPSHOT_DAY}' - 1125 AND DATE '{SNAPSHOT_DAY}'",
+        f"SELECT DISTINCT scope, DATE '{SNAPSHOT_DAY}' - DATE '1970-01-01' AS d FROM panel",
+    ),
+)
+def s4_snapshot(spark, sf):
+    """Assessments of one day from a panel stored by month, of which a load's months are read."""
+    path = folder(spark, "panel")
+    obs, margin, manual = inputs(spark, sf)
+    tables.save_months(obs, path)
+    panel = tables.load_months(spark, path)
+    rows = stress.snapshot(panel, SNAPSHOT_DAY, margin, manual, load_days=P.HISTORY_DAYS)
+    return score.assessment_table(rows).select(*SCORES)
+
+
+@query(
+    "s4_bounded_latest",
+    bounded(
+        """SELECT whole.* FROM whole JOIN (SELECT scope, max(obs_date) AS last FROM whole GROUP BY 1) USING (scope)
+        WHERE obs_date >= last - 1125""",
+        "SELECT scope, max(n) AS d FROM panel GROUP BY 1",
+    ),
+)
+def s4_latest(spark, sf):
+    """Each scope's last assessment from the months of its own load."""
+    path = folder(spark, "panel")
+    obs, margin, manual = inputs(spark, sf)
+    tables.save_months(obs, path)
+    rows = stress.latest(tables.load_months(spark, path), margin, manual, load_days=P.HISTORY_DAYS)
+    return score.assessment_table(rows).select(*SCORES)
+
+
 MARGIN_6 = f"""WITH {MARGIN_SQL} SELECT scope, month, {r6('debit_balances_musd')},
     {r6('free_credit_cash_musd')}, {r6('free_credit_margin_musd')}, is_placeholder FROM margin"""
 
@@ -174,6 +249,23 @@ def s8(spark, sf):
     )
 
 
+@query(
+    "s8_month_rewrite",
+    f"WITH {A} SELECT scope, as_of, scenario, composite, regime, coverage_pct FROM asmt",
+)
+def s8_rewrite(spark, sf):
+    """Two years hold wrong figures; they are written again, and once more: the others stay."""
+    path = folder(spark, "assessment")
+    right = score.assessment_table(assessed(spark, sf))
+    wrong = F.col("as_of").between("1994-01-01", "1995-12-31")
+    tables.write_result(right.withColumn("composite", F.when(wrong, -1.0).otherwise(F.col("composite"))), path, whole=True)
+    for _ in range(2):
+        tables.write_result(right.where(wrong), path)
+    return tables.read_result(spark, path).select(
+        "scope", "as_of", "scenario", "composite", "regime", "coverage_pct"
+    )
+
+
 def event_feed(spark, sf):
     return table(spark, sf, "events").select(
         F.lit("ALL").alias("scope"), F.lit("feed").alias("provider"),

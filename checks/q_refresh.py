@@ -38,3 +38,56 @@ def r1(spark, sf):
     return refresh.current_assessments(spark, store).select(
         "scope", "as_of", "scenario", "composite", "regime", "coverage_pct", "rules_fired", "missing"
     )
+
+
+#: (data up to, first month that changes) of the four refreshes below.
+STEPS = [("1997-12-31", None), ("1998-02-10", "1998-01-01"), ("1998-06-30", "1998-02-01"), (None, "1998-07-01")]
+
+
+def forward_store(spark, sf):
+    """The panel lands up to 1997; then some weeks, then the whole history
+    once more with some months added, then the rest."""
+    landing, store = folder(spark, "landing"), folder(spark, "store")
+    obs = market(spark, sf, outages=True)
+    day = lambda d: F.lit(d).cast("date")
+    side = lambda s: (margin_table(s, sf), manual_inputs(s, sf))
+
+    def land_step(i, kind):
+        low, high = None if i == 0 else STEPS[i - 1][0], STEPS[i][0]
+        part = obs if low is None or kind == refresh.REPLACE else obs.where(F.col("obs_date") > day(low))
+        land(part if high is None else part.where(F.col("obs_date") <= day(high)), landing, i + 1, kind)
+        refresh.refresh(spark, landing, store, side, buckets=4)
+
+    land_step(0, refresh.REPLACE)
+    land_step(1, refresh.APPEND)
+    land_step(2, refresh.REPLACE)
+    land_step(3, refresh.APPEND)
+    return store
+
+
+@query(
+    "r1_delta_forward",
+    f"""WITH {A}, e AS (SELECT scope, as_of, scenario, composite FROM asmt),
+    steps(version, low, high) AS (VALUES {", ".join(
+        f"({i}, DATE '{low or '0001-01-01'}', DATE '{high or '9999-01-01'}')" for i, (high, low) in enumerate(STEPS)
+    )})
+    SELECT version::BIGINT AS version, scope, count(*) AS dates_scored, min(as_of) AS first_date, max(as_of) AS last_date
+    FROM e JOIN steps ON as_of BETWEEN low AND high GROUP BY 1, 2""",
+)
+def r1_forward(spark, sf):
+    """Dates that each refresh has scored: none before the first month that changed."""
+    scored = spark.read.parquet(f"{forward_store(spark, sf)}/assessment")
+    return scored.groupBy(F.col("version").cast("bigint").alias("version"), "scope").agg(
+        F.count("*").alias("dates_scored"), F.min("as_of").alias("first_date"), F.max("as_of").alias("last_date")
+    )
+
+
+@query(
+    "r1_delta_forward_result",
+    f"WITH {A} SELECT scope, as_of, scenario, composite, regime, coverage_pct, rules_fired, missing FROM asmt",
+)
+def r1_forward_result(spark, sf):
+    """What the store holds after these refreshes is what a rebuild gives."""
+    return refresh.current_assessments(spark, forward_store(spark, sf)).select(
+        "scope", "as_of", "scenario", "composite", "regime", "coverage_pct", "rules_fired", "missing"
+    )

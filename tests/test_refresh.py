@@ -79,3 +79,78 @@ def test_new_margin_rows_score_their_scopes_again(spark, tmp_path):
     same(rebuilt(two, side(spark)[0]), stored(spark, store))
     again = spark.read.parquet(f"{store}/assessment").where("version = 1")
     assert [r["scope"] for r in again.select("scope").distinct().collect()] == ["EU"]
+
+
+def dates_of(spark, store, version):
+    rows = spark.read.parquet(f"{store}/assessment").where(F.col("version") == version)
+    return {s: sorted(r.as_of for r in rows.where(F.col("scope") == s).select("as_of").distinct().collect()) for s in [r.scope for r in rows.select("scope").distinct().collect()]}
+
+
+def test_only_dates_from_the_change_on_are_scored_again(spark, tmp_path):
+    """Sparse, ended and late series; a day appended, a day revised, a whole history sent again."""
+    landing, store = str(tmp_path / "landing"), str(tmp_path / "store")
+    data = random_panel(5, 1700, [*NAMES, "TLT", "SPX", "HYG", "LQD", "WTI", "JP10Y_MONTHLY"])
+    data = [r for r in data if not (r[2] == "LQD" and r[3] > day(900)) and not (r[2] == "TLT" and r[3].toordinal() % 9) and not (r[2] == "WTI" and day(500) < r[3] < day(1600))]
+    first = frame(spark, data)
+    two = first.unionByName(first.withColumn("scope", F.lit("EU")))
+    figures = [(s, day(31 * k), 1000.0 + 10 * k, 100.0, 50.0, False) for s in ("ALL", "EU") for k in range(50)]
+    side_rows = {"rows": figures}
+    side = lambda s: (s.createDataFrame(side_rows["rows"], MARGIN), None)
+    go = lambda: refresh.refresh(spark, landing, store, side, buckets=2)
+    land(two, landing, 1)
+    go()
+    all_dates = sorted({r[3] for r in data})
+    same(rebuilt(two, side(spark)[0]), stored(spark, store))
+    assert dates_of(spark, store, 0) == {"ALL": all_dates, "EU": all_dates}
+
+    # A new last day of one scope: dates of its month.
+    more = frame(spark, rows("USDJPY", [(1703, 151.0)])).withColumn("scope", F.lit("EU"))
+    land(more, landing, 2, "append")
+    go()
+    now = two.unionByName(more)
+    same(rebuilt(now, side(spark)[0]), stored(spark, store))
+    assert dates_of(spark, store, 1) == {"EU": [d for d in [*all_dates, day(1703)] if d >= day(1703).replace(day=1)]}
+
+    # A day revised in the middle: from its month on.
+    revised = frame(spark, rows("SPX", [(1400, 4321.0)]))
+    land(revised, landing, 3, "append")
+    go()
+    key = ["scope", "provider", "series", "obs_date"]
+    now = now.join(revised, key, "left_anti").unionByName(revised)
+    same(rebuilt(now, side(spark)[0]), stored(spark, store))
+    assert dates_of(spark, store, 2) == {"ALL": [d for d in all_dates if d >= day(1400).replace(day=1)]}
+
+    # A series sent again whole, the same but for two days less and one more at its end.
+    vix = frame(spark, [r for r in data if r[2] == "VIX" and r[3] < day(1650)] + rows("VIX", [(1701, 18.0)]))
+    land(vix, landing, 4)
+    go()
+    now = now.where("scope <> 'ALL' or series <> 'VIX'").unionByName(vix)
+    same(rebuilt(now, side(spark)[0]), stored(spark, store))
+    again = dates_of(spark, store, 3)
+    assert set(again) == {"ALL"} and min(again["ALL"]) >= day(1650).replace(day=1)
+
+    # A margin month revised: from that month on; the same again changes nothing.
+    side_rows["rows"] = [(s, d, x + 500 if (s, d) == ("EU", day(31 * 40)) else x, *rest) for s, d, x, *rest in figures]
+    assert [(r.scope, r.from_date) for r in refresh.changed_scopes(spark, store, side).collect()] == [("EU", day(31 * 40).replace(day=1))]
+    go()
+    same(rebuilt(now, side(spark)[0]), stored(spark, store))
+    go()
+    refresh.apply_batch(spark.read.schema(refresh.LANDING_SCHEMA).parquet(landing), 9, store, side)
+    assert refresh._next_version(spark, store) == 5
+    # Prints of months before the margin's change were kept for the next restart.
+    last = frame(spark, rows("VIX", [(1704, 30.0)])).withColumn("scope", F.lit("EU"))
+    land(last, landing, 5, "append")
+    go()
+    same(rebuilt(now.unionByName(last), side(spark)[0]), stored(spark, store))
+    assert min(dates_of(spark, store, 5)["EU"]) >= day(1704).replace(day=1)
+
+
+def test_old_days_are_not_read(spark, tmp_path):
+    """What a restart needs: one load window and the warm-up before a series' last day."""
+    landing, store = str(tmp_path / "landing"), str(tmp_path / "store")
+    land(frame(spark, random_panel(6, 2600, ["USDJPY", "VIX", "WTI"])), landing, 1)
+    refresh.refresh(spark, landing, store, buckets=1)
+    prints = refresh._live(spark, store, "prints", "month")
+    restarts = spark.createDataFrame([("ALL", day(2590).replace(day=1))], "scope string, from_date date")
+    need = {r.series: r.need for r in refresh.needed_from(prints, restarts).collect()}
+    assert set(need) == {"USDJPY", "VIX", "WTI"} and all(day(2590 - 1125 - 230) < d < day(2590 - 1125) for d in need.values())

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tideline import params as P
 from tideline.functions.series import ANNUAL, percentile_in
-from tideline.operators.ingest import usable
+from tideline.operators.ingest import load_bound, usable
 from tideline.operators import resolve as R
 from tideline.operators.leverage import leverage_history
 
@@ -444,10 +444,19 @@ def feature_snapshot(
     manual: DataFrame | None = None,
     seeded: bool = True,
     publication_lag_days: int = 0,
+    load_days: int | None = None,
 ) -> DataFrame:
-    """Features on one date, from data cut at that date."""
+    """Features on one date, from data cut at that date.
+
+    ``load_days`` (:data:`params.HISTORY_DAYS` for a feed's own load) cuts the observations on the
+    other side as well: nothing older is read, as a base or otherwise. The margin table is a file
+    of its own and always whole.
+    """
     day = F.lit(as_of).cast("date")
-    cut = obs.where(F.col("obs_date") <= day)
+    if load_days is None:
+        cut = obs.where(F.col("obs_date") <= day)
+    else:
+        cut = load_bound(obs, F.date_sub(day, load_days), day)
     known = None
     if margin is not None:
         known = margin.where(F.date_add("month", publication_lag_days) <= day)
@@ -456,18 +465,39 @@ def feature_snapshot(
     return resolved(state, seeded)
 
 
+def loads_of(obs: DataFrame, ends: DataFrame, load_days: int) -> DataFrame:
+    """Each scope's observations of the ``load_days`` days up to its own end.
+
+    The earliest and the latest end come to the driver and prune months; within these a scope meets
+    its own months by an equality, which prunes at run time where one side is small.
+    """
+    span = ends.agg(F.min("as_of").alias("first"), F.max("as_of").alias("last")).first()
+    if span["first"] is None:
+        return obs.where(F.lit(False))
+    near = load_bound(obs, F.date_sub(F.lit(span["first"]), load_days), F.lit(span["last"]))
+    start = F.date_sub("as_of", load_days)
+    keys, wanted = ["scope"], ends
+    if "obs_month" in obs.columns:
+        keys = ["scope", "obs_month"]
+        months = F.sequence(F.trunc(start, "month"), F.trunc("as_of", "month"), F.expr("interval 1 month"))
+        wanted = ends.withColumn("obs_month", F.explode(months))
+    return near.join(wanted, keys).where(F.col("obs_date").between(start, F.col("as_of"))).select(*obs.columns)
+
+
 def feature_latest(
     obs: DataFrame,
     margin: DataFrame | None = None,
     manual: DataFrame | None = None,
     seeded: bool = True,
     publication_lag_days: int = 0,
+    load_days: int | None = None,
 ) -> DataFrame:
     """Features of each scope on the date of its own last observation. Only those rows read their
-    trailing windows."""
+    trailing windows; ``load_days`` as in :func:`feature_snapshot`, up to each scope's own end."""
     counted = obs.where(F.expr(CATALOGED) & usable(F.col("value")))
     ends = counted.groupBy("scope").agg(F.max("obs_date").alias("as_of"))
     known = None
     if margin is not None:
         known = margin.join(ends, "scope").where(F.date_add("month", publication_lag_days) <= F.col("as_of")).select(*margin.columns)
-    return resolved(asof_state(counted, known, manual, ends, publication_lag_days, latest_only=True), seeded)
+    rows = counted if load_days is None else loads_of(counted, ends, load_days)
+    return resolved(asof_state(rows, known, manual, ends, publication_lag_days, latest_only=True), seeded)

@@ -23,6 +23,15 @@ def drop_missing(obs: DataFrame) -> DataFrame:
     return obs.where(usable(F.col("value")))
 
 
+def load_bound(obs: DataFrame, first, last) -> DataFrame:
+    """Observations of the days ``first`` to ``last``, columns or literals. A panel partitioned by
+    month (:func:`sources.tables.save_months`) is read for the months of these days only."""
+    inside = obs.where(F.col("obs_date").between(first, last))
+    if "obs_month" in obs.columns:
+        inside = inside.where(F.col("obs_month").between(F.trunc(first, "month"), F.trunc(last, "month")))
+    return inside
+
+
 def daily(raw: DataFrame, ts_col: str = "obs_ts") -> DataFrame:
     """Floor time stamps to local dates and keep the latest value of each day.
 

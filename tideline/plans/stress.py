@@ -30,9 +30,10 @@ def snapshot(
     scenarios: Scenarios | DataFrame | None = None,
     seeded: bool = True,
     publication_lag_days: int = 0,
+    load_days: int | None = None,
 ) -> DataFrame:
-    """Scored rows on one date, from data cut at that date."""
-    features = feature_snapshot(obs, as_of, margin, manual, seeded, publication_lag_days)
+    """Scored rows on one date, from data cut at that date; ``load_days`` bounds the load."""
+    features = feature_snapshot(obs, as_of, margin, manual, seeded, publication_lag_days, load_days)
     return assess(features, scenarios)
 
 
@@ -43,6 +44,8 @@ def latest(
     scenarios: Scenarios | DataFrame | None = None,
     seeded: bool = True,
     publication_lag_days: int = 0,
+    load_days: int | None = None,
 ) -> DataFrame:
-    """Scored rows of each scope on its own last date."""
-    return assess(feature_latest(obs, margin, manual, seeded, publication_lag_days), scenarios)
+    """Scored rows of each scope on its own last date; ``load_days`` bounds each scope's load."""
+    features = feature_latest(obs, margin, manual, seeded, publication_lag_days, load_days)
+    return assess(features, scenarios)

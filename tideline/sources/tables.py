@@ -29,18 +29,36 @@ def save_panel(obs: DataFrame, table: str, buckets: int) -> None:
     )
 
 
-def write_result(df: DataFrame, path: str, date_col: str = "as_of") -> None:
+def save_months(obs: DataFrame, path: str, whole: bool = True) -> None:
+    """Save observations partitioned by month, each month split over several files by scope.
+
+    A load of some days then reads the folders of their months only. ``whole=False`` replaces the
+    months that ``obs`` has rows of and leaves the others.
+    """
+    _by_month(obs, path, "obs_date", "obs_month", whole)
+
+
+def load_months(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def write_result(df: DataFrame, path: str, date_col: str = "as_of", whole: bool = False) -> None:
     """Write a result table partitioned by month of its date, one shuffle to cluster files.
 
     Rows of one month go to several tasks (split by scope), so a month with many scopes does
-    not end up in a single writer.
+    not end up in a single writer. Only the months that ``df`` has rows of are replaced, so a rerun
+    of one month leaves the others as they are and gives the same however often it runs;
+    ``whole`` replaces the table.
     """
-    month = F.trunc(date_col, "month")
+    _by_month(df, path, date_col, f"{date_col}_month", whole)
+
+
+def _by_month(df: DataFrame, path: str, date_col: str, month_col: str, whole: bool) -> None:
     (
-        df.withColumn("as_of_month", month)
-        .repartition("as_of_month", F.pmod(F.xxhash64("scope"), F.lit(32)))
-        .write.mode("overwrite")
-        .partitionBy("as_of_month")
+        df.withColumn(month_col, F.trunc(date_col, "month"))
+        .repartition(month_col, F.pmod(F.xxhash64("scope"), F.lit(32)))
+        .write.mode("overwrite").option("partitionOverwriteMode", "static" if whole else "dynamic")
+        .partitionBy(month_col)
         .parquet(path)
     )
 
