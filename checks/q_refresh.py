@@ -67,27 +67,17 @@ def forward_store(spark, sf):
 
 @query(
     "r1_delta_forward",
-    f"""WITH {A}, e AS (SELECT scope, as_of, scenario, composite FROM asmt),
-    steps(version, low, high) AS (VALUES {", ".join(
-        f"({i}, DATE '{low or '0001-01-01'}', DATE '{high or '9999-01-01'}')" for i, (high, low) in enumerate(STEPS)
-    )})
-    SELECT version::BIGINT AS version, scope, count(*) AS dates_scored, min(as_of) AS first_date, max(as_of) AS last_date
-    FROM e JOIN steps ON as_of BETWEEN low AND high GROUP BY 1, 2""",
+    f"""WITH {A}, landing(low, high) AS (VALUES {", ".join(
+        f"(DATE '{low or '0001-01-01'}', DATE '{high or '9999-01-01'}')" for high, low in STEPS
+    )}), t AS (SELECT *, (SELECT count(*) FROM landing WHERE as_of BETWEEN low AND high) AS times_scored FROM asmt)
+    SELECT scope, as_of, scenario, composite, regime, coverage_pct, rules_fired, missing, times_scored FROM t""",
 )
 def r1_forward(spark, sf):
-    """Dates that each refresh has scored: none before the first month that changed."""
-    scored = spark.read.parquet(f"{forward_store(spark, sf)}/assessment")
-    return scored.groupBy(F.col("version").cast("bigint").alias("version"), "scope").agg(
-        F.count("*").alias("dates_scored"), F.min("as_of").alias("first_date"), F.max("as_of").alias("last_date")
-    )
-
-
-@query(
-    "r1_delta_forward_result",
-    f"WITH {A} SELECT scope, as_of, scenario, composite, regime, coverage_pct, rules_fired, missing FROM asmt",
-)
-def r1_forward_result(spark, sf):
-    """What the store holds after these refreshes is what a rebuild gives."""
-    return refresh.current_assessments(spark, forward_store(spark, sf)).select(
-        "scope", "as_of", "scenario", "composite", "regime", "coverage_pct", "rules_fired", "missing"
+    """What the store holds after these refreshes is what a rebuild gives, and each date was scored
+    by the refreshes that changed something at or before it in its month or earlier, by no other."""
+    store = forward_store(spark, sf)
+    keys = ["scope", "as_of", "scenario"]
+    times = spark.read.parquet(f"{store}/assessment").groupBy(*keys).agg(F.count("*").alias("times_scored"))
+    return refresh.current_assessments(spark, store).join(times, keys).select(
+        *keys, "composite", "regime", "coverage_pct", "rules_fired", "missing", "times_scored"
     )
