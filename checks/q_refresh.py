@@ -40,8 +40,8 @@ def r1(spark, sf):
     )
 
 
-#: (data up to, first month that changes) of the four refreshes below.
-STEPS = [("1997-12-31", None), ("1998-02-10", "1998-01-01"), ("1998-06-30", "1998-02-01"), (None, "1998-07-01")]
+#: The last day that each of the refreshes below lands.
+STEPS = ["1997-12-31", "1998-02-10", "1998-06-30", None]
 
 
 def forward_store(spark, sf):
@@ -53,7 +53,7 @@ def forward_store(spark, sf):
     side = lambda s: (margin_table(s, sf), manual_inputs(s, sf))
 
     def land_step(i, kind):
-        low, high = None if i == 0 else STEPS[i - 1][0], STEPS[i][0]
+        low, high = None if i == 0 else STEPS[i - 1], STEPS[i]
         part = obs if low is None or kind == refresh.REPLACE else obs.where(F.col("obs_date") > day(low))
         land(part if high is None else part.where(F.col("obs_date") <= day(high)), landing, i + 1, kind)
         refresh.refresh(spark, landing, store, side, buckets=4)
@@ -67,9 +67,11 @@ def forward_store(spark, sf):
 
 @query(
     "r1_delta_forward",
-    f"""WITH {A}, landing(low, high) AS (VALUES {", ".join(
-        f"(DATE '{low or '0001-01-01'}', DATE '{high or '9999-01-01'}')" for high, low in STEPS
-    )}), t AS (SELECT *, (SELECT count(*) FROM landing WHERE as_of BETWEEN low AND high) AS times_scored FROM asmt)
+    f"""WITH {A}, landings(after, high) AS (VALUES {", ".join(
+        f"(DATE '{STEPS[i - 1] if i else '0001-01-01'}', DATE '{high or '9999-01-01'}')" for i, high in enumerate(STEPS)
+    )}), scored AS (
+      SELECT scope, high, date_trunc('month', min(obs_date))::DATE AS low FROM panel JOIN landings ON obs_date > after GROUP BY scope, high),
+    t AS (SELECT asmt.*, (SELECT count(*) FROM scored s WHERE s.scope = asmt.scope AND as_of BETWEEN low AND high) AS times_scored FROM asmt)
     SELECT scope, as_of, scenario, composite, regime, coverage_pct, rules_fired, missing, times_scored FROM t""",
 )
 def r1_forward(spark, sf):
