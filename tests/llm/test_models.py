@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import corpus, empty, frame, lower, words
@@ -151,3 +152,54 @@ def test_weak_labels_part_junk_from_prose(spark):
     lower_case = [i for i, t, _ in rows if t == t.lower()]
     assert sum(got[i].kept for i in lower_case) >= 0.9 * len(lower_case)
     assert weak_labels.classify(empty(spark)).collect() == []
+
+
+def test_weak_labels_against_brute_force(spark):
+    """Votes, posteriors and weights from plain counts over all texts."""
+    from collections import defaultdict
+
+    from tideline.llm import weak_labels as W
+    from tideline.llm.text import chunks as cut
+
+    rows = corpus(11)
+    got = {r.doc_id: r for r in W.classify(frame(spark, rows)).collect()}
+    assert set(got) == {i for i, _, _ in rows}
+    pattern, feats = {}, {}
+    for i, t, _ in rows:
+        for _, _, chunk in cut(pa.array([t or ""], pa.string())):
+            pattern[i] = int(W.patterns(chunk)[0])
+            feats[i] = W.features(chunk)[0].tolist()
+    values, counts = np.unique(list(pattern.values()), return_counts=True)
+    post = dict(zip(values.tolist(), W.expectation_maximisation(values, counts)[0].tolist()))
+    good, bad, g, b = defaultdict(float), defaultdict(float), 1.0, 1.0
+    for i, p in pattern.items():
+        g, b = g + post[p], b + 1 - post[p]
+        for f in feats[i]:
+            good[f] += post[p] / len(feats[i])
+            bad[f] += (1 - post[p]) / len(feats[i])
+    weight = {f: min(5, max(-5, np.log((good[f] + W.SMOOTH) / g) - np.log((bad[f] + W.SMOOTH) / b))) for f in good}
+    mean = {i: sum(weight[f] for f in fs) / max(1, len(fs)) for i, fs in feats.items()}
+    assert all(abs(got[i].posterior - post[pattern[i]]) < 1e-9 for i in mean)
+    # The score is one logistic curve of the mean weight, the same for every text.
+    order = sorted(mean, key=mean.get)
+    odds = [np.log(got[i].score / (1 - got[i].score)) for i in order]
+    slope = (odds[-1] - odds[0]) / (mean[order[-1]] - mean[order[0]])
+    assert all(abs(o - odds[0] - slope * (mean[i] - mean[order[0]])) < 1e-6 for i, o in zip(order, odds))
+    assert all(got[i].kept == (got[i].score >= 0.5) for i in mean)
+
+
+def test_votes_of_plain_cases():
+    from tideline.llm import weak_labels as W
+    from tideline.llm.text import chunks as cut
+
+    def votes(text):
+        for _, _, chunk in cut(pa.array([text])):
+            p = int(W.patterns(chunk)[0])
+        k = len(W.LABELLERS)
+        return dict(zip(W.LABELLERS, [p // 3 ** (k - 1 - i) % 3 for i in range(k)]))
+
+    plain = votes(" ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)))
+    assert plain["length"] == 2 and plain["echoes"] == 2 and plain["fresh_words"] == 2 and plain["symbols"] == 2
+    assert votes("a b c")["length"] == 0
+    assert votes("SHOUT " * 30)["capitals"] == 0 and votes("again " * 60)["echoes"] == 0 and votes("again " * 60)["fresh_words"] == 0
+    assert set(votes("").values()) == {1, 0} and votes("")["length"] == 0

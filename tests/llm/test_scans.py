@@ -193,3 +193,25 @@ def test_snapshots_collapse(spark):
     assert set(got) == {2, 5, 6, 7, 8, 9}
     assert got[2].n_turns == 4 and got[2].rendered == "<|user|>\nhi\n<|bot|>\nhello\n<|user|>\nwhy\n<|bot|>\n\n"
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
+def test_chat_turns_of_one_number_follow_role_and_text(spark):
+    """Two turns share a number; a snapshot holds the first of them by role and text."""
+    import duckdb
+
+    from tideline.llm.queries import OP10_SQL
+
+    rng = random.Random(8)
+    rows, conv = [], 0
+    for _ in range(40):
+        turns = [(n, rng.choice(["user", "assistant", None]), rng.choice([None, "", *(f"{rng.random()}" for _ in range(4))])) for n in (1, 2, 3, 3, 3, 4, None)]
+        turns = sorted(set(turns), key=lambda t: tuple((x is not None, x) for x in t))
+        for k in (len(turns), rng.randrange(1, len(turns))):
+            rows += [(conv, *t) for t in turns[:k]] * rng.randint(1, 2)
+            conv += 1
+    frame_ = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted((r.conv_id, r.n_turns, r.rendered) for r in chat.format_chats(frame_.repartition(5)).collect())
+    conversations = frame_.toPandas()  # noqa: F841
+    sql = OP10_SQL.replace("order by turn, role, text", "order by turn nulls first, role nulls first, text nulls first")
+    want = sorted(duckdb.sql(sql).fetchall())
+    assert got == want and len(got) == 40

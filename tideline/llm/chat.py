@@ -27,8 +27,18 @@ def prefixes(turns: DataFrame) -> DataFrame:
     hashed = turns.where("conv_id is not null").select(
         "conv_id", "turn", *(F.xxhash64(F.lit(seed), *content).alias(c) for seed, c in ((1, "a"), (2, "b")))
     ).distinct()
-    order = Window.partitionBy("conv_id").orderBy("turn", "a", "b")
-    placed = hashed.select("conv_id", "turn", "a", "b", F.row_number().over(order).alias("n"))
+    # Turns of one number follow role and text, which only these need.
+    tied = hashed.groupBy("conv_id", "turn").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    same = lambda c: F.col(f"turns.{c}").eqNullSafe(F.col(f"tied.{c}"))
+    spelled = turns.alias("turns").join(tied.alias("tied"), same("conv_id") & same("turn")).select("turns.*").select(
+        "conv_id", "turn", "role", "text", *(F.xxhash64(F.lit(seed), *content).alias(c) for seed, c in ((1, "a"), (2, "b")))
+    ).distinct()
+    within = Window.partitionBy("conv_id", "turn").orderBy(F.asc_nulls_first("role"), F.asc_nulls_first("text"))
+    ranks = spelled.select("conv_id", "turn", "a", "b", F.row_number().over(within).alias("place"))
+    both = lambda c: F.col(f"h.{c}").eqNullSafe(F.col(f"r.{c}"))
+    ranked = hashed.alias("h").join(ranks.alias("r"), both("conv_id") & both("turn") & both("a") & both("b"), "left").select("h.*", F.coalesce("r.place", F.lit(1)).alias("place"))
+    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "place")
+    placed = ranked.select("conv_id", "turn", "a", "b", F.row_number().over(order).alias("n"))
     running = Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return placed.select(
         "conv_id", "n", F.max("n").over(Window.partitionBy("conv_id")).alias("of"),

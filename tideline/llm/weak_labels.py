@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.quality_rules import Measures
-from tideline.llm.scratch import share, shared
+from tideline.llm.scratch import keep, share, shared
 from tideline.llm.text import LETTER, UPPER, Chunk, _mask, chunks, mix, repeated, row_key
 
 BUCKETS, BINS = 1 << 18, 200
@@ -129,45 +129,70 @@ def features(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return (mix(key) & _U(BUCKETS - 1)).astype(np.int64), np.tile(spans.row, 3)
 
 
-def _pattern_counts(batches):
-    total = np.zeros(3 ** len(LABELLERS), np.int64)
-    for batch in batches:
-        for _, _, chunk in chunks(batch.column(0)):
-            total += np.bincount(patterns(chunk), minlength=len(total))
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"pattern": some, "n": total[some]})
+def weighed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, pattern, n (features of the text), buckets (distinct, rising) and how often each occurs.
+    All that is ever read from a text; later passes go over this table."""
+    kind = dict(docs.dtypes)[id_col]
+
+    def apply(batches):
+        for batch in batches:
+            for lo, hi, chunk in chunks(batch.column(1)):
+                bucket, row = features(chunk)
+                key, times = np.unique(row * BUCKETS + bucket, return_counts=True)
+                border = np.searchsorted(key, np.arange(chunk.rows + 1) * BUCKETS)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(lo, hi - lo), pa.array(patterns(chunk)), pa.array(np.bincount(row, minlength=chunk.rows)),
+                        _cut((key & (BUCKETS - 1)).astype("<u4"), border), _cut(times.astype("<u2" if times.max(initial=0) < 1 << 16 else "<u4"), border),
+                    ],
+                    ["id", "pattern", "n", "buckets", "times"],
+                )
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(apply, f"id {kind}, pattern long, n long, buckets binary, times binary")
+
+
+def _cut(values: np.ndarray, border: np.ndarray) -> pa.Array:
+    ends = pa.py_buffer((border * values.itemsize).astype(np.int64))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(border) - 1, [None, ends, pa.py_buffer(values)]).cast(pa.binary())
+
+
+def _counted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """pattern and n of each row; bucket, times and row of each of their features."""
+    pattern, n = (batch.column(c).to_numpy() for c in ("pattern", "n"))
+    buckets = [np.frombuffer(b, "<u4") for b in batch.column("buckets").to_pylist()]
+    times = [np.frombuffer(t, "<u2" if len(t) * 2 == 4 * len(b) else "<u4") for t, b in zip(batch.column("times").to_pylist(), buckets)]
+    row = np.repeat(np.arange(len(n)), [len(b) for b in buckets])
+    empty = np.zeros(0, np.int64)
+    return pattern, n, np.concatenate([empty, *buckets]).astype(np.int64), np.concatenate([empty, *times]).astype(np.int64), row
 
 
 def _feature_counts(batches, sent):
     post = shared(sent)
     good, bad, sums = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(2)
     for batch in batches:
-        for _, _, chunk in chunks(batch.column(0)):
-            p = post[patterns(chunk)]
-            bucket, row = features(chunk)
-            share_ = 1 / np.maximum(np.bincount(row, minlength=chunk.rows), 1)
-            good += np.bincount(bucket, (p * share_)[row], BUCKETS)
-            bad += np.bincount(bucket, ((1 - p) * share_)[row], BUCKETS)
-            sums += (p.sum(), (1 - p).sum())
+        pattern, n, bucket, times, row = _counted(batch)
+        p = post[pattern]
+        part = times / np.maximum(n, 1)[row]
+        good += np.bincount(bucket, p[row] * part, BUCKETS)
+        bad += np.bincount(bucket, (1 - p)[row] * part, BUCKETS)
+        sums += (p.sum(), (1 - p).sum())
     some = np.flatnonzero(good + bad)
     yield pa.RecordBatch.from_pydict({"bucket": np.append(some, -1), "good": np.append(good[some], sums[0]), "bad": np.append(bad[some], sums[1])})
 
 
-def mean_weight(chunk: Chunk, weight: np.ndarray) -> np.ndarray:
-    bucket, row = features(chunk)
-    n = np.bincount(row, minlength=chunk.rows)
-    return np.bincount(row, weight[bucket], chunk.rows) / np.maximum(n, 1)
+def _mean_weight(n: np.ndarray, bucket: np.ndarray, times: np.ndarray, row: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    return np.bincount(row, weight[bucket] * times, len(n)) / np.maximum(n, 1)
 
 
 def _binned(batches, sent):
     post, weight = shared(sent)
     out = np.zeros((BINS, 2))
     for batch in batches:
-        for _, _, chunk in chunks(batch.column(0)):
-            p = post[patterns(chunk)]
-            at = np.clip(((mean_weight(chunk, weight) + 5) * (BINS / 10)).astype(int), 0, BINS - 1)
-            out[:, 0] += np.bincount(at, p, BINS)
-            out[:, 1] += np.bincount(at, minlength=BINS)
+        pattern, *counted = _counted(batch)
+        at = np.clip(((_mean_weight(*counted, weight) + 5) * (BINS / 10)).astype(int), 0, BINS - 1)
+        out[:, 0] += np.bincount(at, post[pattern], BINS)
+        out[:, 1] += np.bincount(at, minlength=BINS)
     some = np.flatnonzero(out[:, 1])
     yield pa.RecordBatch.from_pydict({"bin": some, "good": out[some, 0], "n": out[some, 1]})
 
@@ -188,37 +213,40 @@ def logistic(x: np.ndarray, good: np.ndarray, n: np.ndarray) -> tuple[float, flo
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, posterior (of the labellers), score (of the linear scorer, 0 to 1) and kept (score >= 0.5).
 
-    To the driver come one row for each vote pattern, hashed feature and bin, numbers that no
-    corpus exceeds.
+    Texts are read once, into a table of vote patterns and counted features. To the driver come
+    one row for each vote pattern, hashed feature and bin, numbers that no corpus exceeds.
     """
-    spark, kind, texts = docs.sparkSession, dict(docs.dtypes)[id_col], docs.select(text_col)
-    counts = texts.mapInArrow(_pattern_counts, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toArrow()
+    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
+    rows = keep(weighed(docs, id_col, text_col), "weak-labels")
+    counts = rows.groupBy("pattern").agg(F.count("*").alias("n")).toArrow()
     pattern, n = counts["pattern"].to_numpy(), counts["n"].to_numpy()
     order = np.argsort(pattern)
     posterior = np.full(3 ** len(LABELLERS), 0.5)
     posterior[pattern[order]] = expectation_maximisation(pattern[order], n[order])[0]
     sent = share(spark, posterior)
     sums = (
-        texts.mapInArrow(lambda b: _feature_counts(b, sent), "bucket long, good double, bad double")
+        rows.drop("id").mapInArrow(lambda b: _feature_counts(b, sent), "bucket long, good double, bad double")
         .groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()
     )
+    sent.destroy()
     bucket, good, bad = (sums[c].to_numpy() for c in ("bucket", "good", "bad"))
     whole = bucket < 0
     g, b = (float(x[whole].sum()) + 1.0 for x in (good, bad))
     weight = np.zeros(BUCKETS)
     weight[bucket[~whole]] = np.clip(np.log((good[~whole] + SMOOTH) / g) - np.log((bad[~whole] + SMOOTH) / b), -5, 5)
     both = share(spark, (posterior, weight))
-    bins = texts.mapInArrow(lambda x: _binned(x, both), "bin long, good double, n double").groupBy("bin").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).toArrow()
+    bins = (
+        rows.drop("id").mapInArrow(lambda x: _binned(x, both), "bin long, good double, n double")
+        .groupBy("bin").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).toArrow()
+    )
     centre = (bins["bin"].to_numpy() + 0.5) * (10 / BINS) - 5
     slope, shift = logistic(centre, bins["good"].to_numpy(), bins["n"].to_numpy()) if len(bins) else (1.0, 0.0)
 
     def score(batches):
         post, weights = shared(both)
         for batch in batches:
-            for lo, hi, chunk in chunks(batch.column(1)):
-                s = 1 / (1 + np.exp(-np.clip(slope * mean_weight(chunk, weights) + shift, -30, 30)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(post[patterns(chunk)]), pa.array(s), pa.array(s >= 0.5)], [id_col, "posterior", "score", "kept"]
-                )
+            pattern, *counted = _counted(batch)
+            s = 1 / (1 + np.exp(-np.clip(slope * _mean_weight(*counted, weights) + shift, -30, 30)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(post[pattern]), pa.array(s), pa.array(s >= 0.5)], ["id", "posterior", "score", "kept"])
 
-    return docs.select(id_col, text_col).mapInArrow(score, f"`{id_col}` {kind}, posterior double, score double, kept boolean")
+    return rows.mapInArrow(score, f"id {kind}, posterior double, score double, kept boolean").withColumnRenamed("id", id_col)
