@@ -50,3 +50,25 @@ def test_null_and_repeated_ids(spark):
     assert sorted(kept, key=str) == sorted([(None, say("y")), (3, say("z")), (None, None)], key=str)
     verdicts = sorted((r.doc_id or 0, r.contaminated) for r in decontamination.verdicts(frame(spark, rows, 1), bench).collect())
     assert verdicts == [(0, False), (0, False), (0, True), (3, False), (3, True)]
+
+
+def test_columns_that_operators_use_inside(spark, tmp_path):
+    """Callers' columns of the operators' own names come back as they were."""
+    taken = ["_removed", "_id", "_doc", "_row", "_key", "_toxicity", "_ROW", "id", "hits"]
+    say = lambda a, n=30: " ".join(f"{a}{i}" for i in range(n))
+    texts = [say("a"), say("a").replace("a29", "b"), say("c") + "\n" + say("d"), say("e") + "\n" + say("d"), say("x", 20), None]
+    data = [(i, t, *[f"{c}{i}" for c in taken if c != "_ROW"]) for i, t in enumerate(texts)]
+    columns = [c for c in taken if c != "_ROW"]
+    docs = spark.createDataFrame(data, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in columns))
+    bench = spark.createDataFrame([(1, say("x", 20))], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(3)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        kept[name] = {r.doc_id for r in out.collect() if all(r[c] == f"{c}{r.doc_id}" for c in columns)}
+    assert kept["toxicity"] == kept["line_dedup"] == {0, 1, 2, 3, 4, 5}
+    assert kept["near_dedup"] == {0, 2, 3, 4, 5} and kept["decontamination"] == {0, 1, 2, 3, 5}
+    assert {r.doc_id: r.n_removed for r in line_dedup.decisions(docs).collect()} == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0, 5: 0}
+    assert {r.doc_id for r in decontamination.verdicts(docs, bench).collect() if r.contaminated} == {4}

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import vectors
-from tideline.llm.scratch import keep, share, shared
+from tideline.llm.scratch import keep, release, share, shared
 
 BLOCK_ROWS, SHARD_DIM = 4096, 32
 COMPONENT = 1 << 27
@@ -173,7 +173,7 @@ def cluster(
             c = updated(shards, found, c, shard_dim)
         else:
             found = keep(found, "centroids-assigned")
-        sent.destroy()
+        release([sent])
     spark.sql(f"drop table {table}")
     digest = [hashlib.sha256(",".join(map(str, one)).encode()).hexdigest() for one in c.tolist()]
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.scratch import keep, share, shared
+from tideline.llm.scratch import keep, share, shared, unused
 from tideline.llm.text import LOWER, Chunk, chunks, mix
 
 MASKS = ("111011001011", "110100111101", "101111010011", "110011101101")
@@ -191,8 +191,11 @@ def _by_text(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
 
 
 def _joined(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
-    """``docs`` joined with ``found`` by ``_id`` and ``_doc``, also where the id is null."""
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_doc")), how)
+    """``docs`` joined with ``found`` by ``id.id`` and ``id.doc``, also where the id is null."""
+    key = unused([*docs.columns, *found.columns], "_key")
+    found = found.withColumnRenamed("id", key)
+    same = docs[id_col].eqNullSafe(found[key]["id"]) & (F.xxhash64(docs[text_col]) == found[key]["doc"])
+    return docs.join(found, same, how)
 
 
 def verdicts(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_match: int = MIN_MATCH) -> DataFrame:
@@ -202,7 +205,7 @@ def verdicts(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """
     found = _by_text(docs, benchmark, id_col, text_col, item_col, item_text, min_match).distinct()
     by_item = found.groupBy("id", "item").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    by_doc = by_item.groupBy(F.col("id.id").alias("_id"), F.col("id.doc").alias("_doc")).agg(F.array_sort(F.collect_list(F.struct("item", "start", "end"))).alias("hits"))
+    by_doc = by_item.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("item", "start", "end"))).alias("hits"))
     return _joined(docs.select(id_col, text_col), by_doc, id_col, text_col, "left").select(
         id_col, F.col("hits").isNotNull().alias("contaminated"), F.coalesce(F.size("hits"), F.lit(0)).alias("n_items"),
         F.coalesce(F.col("hits.item"), F.array().cast(by_doc.select("hits.item").schema[0].dataType)).alias("items"),
@@ -213,5 +216,4 @@ def verdicts(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_match: int = MIN_MATCH) -> DataFrame:
     """``docs`` without the contaminated ones."""
     found = _by_text(docs, benchmark, id_col, text_col, item_col, item_text, min_match)
-    found = found.select(F.col("id.id").alias("_id"), F.col("id.doc").alias("_doc")).distinct()
-    return _joined(docs, found, id_col, text_col, "left_anti").select(*docs.columns)
+    return _joined(docs, found.select("id").distinct(), id_col, text_col, "left_anti").select(*docs.columns)

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.scratch import keep, share, shared
+from tideline.llm.scratch import keep, share, shared, unused
 from tideline.llm.text import LOWER, Chunk, chunks, mix
 
 SIMILARITY, MIN_WORDS = 75, 5
@@ -328,26 +328,24 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     )
 
 
-def _joined(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with the list ``_removed`` of their lines that go, null where none does."""
-    lists = gone.distinct().groupBy(F.col(id_col).alias("_id"), "_doc").agg(F.array_sort(F.collect_list("line")).alias("_removed"))
-    return docs.join(lists, docs[id_col].eqNullSafe(lists["_id"]) & (F.xxhash64(docs[text_col]) == lists["_doc"]), "left")
+def _joined(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with the list of their lines that go, null where none does, and that column's name."""
+    id_, doc, removed = (unused(docs.columns, name) for name in ("_id", "_doc", "_removed"))
+    lists = gone.distinct().groupBy(F.col(id_col).alias(id_), F.col("_doc").alias(doc)).agg(F.array_sort(F.collect_list("line")).alias(removed))
+    return docs.join(lists, docs[id_col].eqNullSafe(lists[id_]) & (F.xxhash64(docs[text_col]) == lists[doc]), "left"), removed
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document: id, n_removed and removed (sorted line numbers)."""
     gone = removals(docs, id_col, text_col, similarity, min_words)
-    return _joined(docs.select(id_col, text_col), gone, id_col, text_col).select(
-        id_col, F.coalesce(F.size("_removed"), F.lit(0)).alias("n_removed"), F.coalesce("_removed", F.array().cast("array<int>")).alias("removed")
-    )
+    rows, removed = _joined(docs.select(id_col, text_col), gone, id_col, text_col)
+    return rows.select(id_col, F.coalesce(F.size(removed), F.lit(0)).alias("n_removed"), F.coalesce(removed, F.array().cast("array<int>")).alias("removed"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the removed lines cut from the texts; the other columns are as they were."""
     gone = removals(docs, id_col, text_col, similarity, min_words)
     lines = F.split(F.col(text_col), "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_removed", i)), "\n")
-    return (
-        _joined(docs, gone, id_col, text_col)
-        .withColumn(text_col, F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)
-    )
+    rows, removed = _joined(docs, gone, id_col, text_col)
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(removed, i)), "\n")
+    return rows.withColumn(text_col, F.when(F.col(removed).isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)

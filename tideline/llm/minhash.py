@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.components import components
-from tideline.llm.scratch import keep
+from tideline.llm.scratch import keep, unused
 from tideline.llm.text import LOWER, Chunk, chunks, mix, shingles
 
 WIDTH, SIMILARITY = 5, 75  # words; per cent
@@ -272,28 +272,29 @@ def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs``, written with a number for each row: ids may be null or repeated."""
-    return keep(docs.withColumn("_row", F.monotonically_increasing_id()), "minhash-documents")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs``, written with a number for each row, as ids may be null or repeated; its column."""
+    row = unused(docs.columns, "_row")
+    return keep(docs.withColumn(row, F.monotonically_increasing_id()), "minhash-documents"), row
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: int = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable), kept (the first row of that id in its
     component)."""
-    numbered = _numbered(docs.select(id_col, text_col))
-    return _decisions(numbered, id_col, text_col, width, similarity, rounds).drop("row")
+    numbered, row = _numbered(docs.select(id_col, text_col))
+    return _decisions(numbered, row, id_col, text_col, width, similarity, rounds).drop("row")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: int = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
     """The kept rows of ``docs``, one of each component."""
-    numbered = _numbered(docs)
-    rows = _decisions(numbered, id_col, text_col, width, similarity, rounds).where("kept").select(F.col("row").alias("_row"))
-    return numbered.join(rows, "_row", "left_semi").select(*docs.columns)
+    numbered, row = _numbered(docs)
+    rows = _decisions(numbered, row, id_col, text_col, width, similarity, rounds).where("kept").select(F.col("row").alias(row))
+    return numbered.join(rows, row, "left_semi").select(*docs.columns)
 
 
-def _decisions(numbered: DataFrame, id_col: str, text_col: str, width: int, similarity: int, rounds: int) -> DataFrame:
+def _decisions(numbered: DataFrame, row: str, id_col: str, text_col: str, width: int, similarity: int, rounds: int) -> DataFrame:
     kind = dict(numbered.dtypes)[id_col]
-    rows = numbered.select(F.col("_row").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = numbered.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = keep(
         rows.mapInArrow(lambda b: _signatures(b, width), f"row long, id {kind}, n long, k1 long, k2 long, bands array<long>"), "minhash-signatures",
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 import uuid
+import weakref
 
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +37,32 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, or one made from it, that no column has in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: Broadcasts of this process that something still refers to.
+sent: weakref.WeakSet[Broadcast] = weakref.WeakSet()
+
+
 def share(spark: SparkSession, value) -> Broadcast:
     """Broadcast an object of this subpackage's own classes, which travel by value."""
-    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    out = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    sent.add(out)
+    return out
+
+
+def release(shares: list[Broadcast]) -> None:
+    """Take back broadcasts, once all that reads them has been written: executors and the Python
+    workers that they keep between tasks hold them until then."""
+    for one in shares:
+        if one in sent:
+            sent.discard(one)
+            one.destroy()
 
 
 def shared(sent: Broadcast):

@@ -16,8 +16,9 @@ import numpy as np
 
 from tideline.llm.text import Chunk, _mask
 
-MAX_KNOWN = 1_500_000
-CHUNK = 2 << 20
+#: Pieces of text that a worker remembers, some 30 bytes each and as much again while they grow.
+MAX_KNOWN = 500_000
+CHUNK = 1 << 20
 _ASCII_LETTER = _mask((65, 90), (97, 122))
 _MARK = _mask((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))  # no apostrophe
 _SHOWN = _mask((0x21, 0x7E))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.quality_rules import Measures
-from tideline.llm.scratch import keep, share, shared
+from tideline.llm.scratch import keep, release, share, shared
 from tideline.llm.text import LETTER, UPPER, Chunk, _mask, chunks, mix, repeated, row_key
 
 BUCKETS, BINS = 1 << 18, 200
@@ -228,7 +228,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         rows.drop("id").mapInArrow(lambda b: _feature_counts(b, sent), "bucket long, good double, bad double")
         .groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()
     )
-    sent.destroy()
+    release([sent])
     bucket, good, bad = (sums[c].to_numpy() for c in ("bucket", "good", "bad"))
     whole = bucket < 0
     g, b = (float(x[whole].sum()) + 1.0 for x in (good, bad))
