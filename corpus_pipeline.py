@@ -1,7 +1,7 @@
 """Documents made ready for training: five stages, each over all that its predecessor kept.
 
 A stage's result is written before the next one begins, so each stage first clears the
-intermediate tables of the one before it.
+intermediate tables and broadcasts of the one before it.
 """
 
 from __future__ import annotations
@@ -13,21 +13,24 @@ from pyspark.sql import functions as F
 
 from tideline.llm import decontamination, line_dedup, minhash, packing, toxicity
 from tideline.llm.queries import tokenizer_path
-from tideline.llm.scratch import drop, keep, kept
+from tideline.llm.scratch import drop, keep, kept, release, sent, unused
 
 
 _left: list[str] = []  # intermediate tables of the stage before
+_shared: list = []  # and its broadcasts
 
 
 def clearing(stage):
-    """Remove the intermediate tables of the stage before, whose result is written by now."""
+    """Remove what the stage before has left, whose result is written by now."""
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         drop(spark, _left)
-        before = len(kept)
+        release(_shared)
+        before, held = len(kept), set(sent)
         out = stage(spark, docs, sf_dir)
         _left[:] = kept[before:]
+        _shared[:] = [b for b in sent if b not in held]
         return out
 
     return run_stage
@@ -39,8 +42,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and their labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, F.lit(True))
-    scored = toxicity.score(docs, model, out="_toxicity")
-    return scored.where(F.col("_toxicity") < 0.5).select(*docs.columns)
+    out = unused(docs.columns, "_toxicity")
+    return toxicity.score(docs, model, out=out).where(F.col(out) < 0.5).select(*docs.columns)
 
 
 @clearing
