@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from checks.base import manual_inputs, margin_table, market, wide_panel
 from checks.catalog import QUERIES
 from tideline import params as P
-from tideline.operators import ingest, lookback, score
+from tideline.operators import ingest, lookback, score, sweep
+from tideline.operators.features import feature_history
 from tideline.plans import stress
 
 
@@ -38,19 +39,15 @@ def b2_composite_history(spark, sf):
 
 
 def b3_thousand_scenarios(spark, sf):
-    """A thousand weightings of every assessment, reduced to one line per scope."""
+    """A thousand weightings of every assessment, reduced to one line per scope and weighting."""
     keys = list(P.COMPONENTS)
-    sweep = {
+    settings = {
         f"s{i}": {k: float((i * (j + 3)) % 41) for j, k in enumerate(keys)} for i in range(1000)
     }
-    rows = stress.history(
-        market(spark, sf, outages=True), margin_table(spark, sf), manual_inputs(spark, sf),
-        scenarios=sweep,
-    )
-    return rows.groupBy("scope", "scenario").agg(
-        F.avg("composite_raw").alias("mean"), F.max("composite_raw").alias("worst"),
-        F.count_if(F.col("regime") == "high").alias("days_high"),
+    features = feature_history(
+        market(spark, sf, outages=True), margin_table(spark, sf), manual_inputs(spark, sf)
     )
+    return sweep.summary(score.with_scores(features), settings)
 
 
 BENCHES = {

@@ -367,21 +367,25 @@ def weighted(pairs) -> tuple[str, str]:
     return f"({num})", f"({den})"
 
 
-def _component(name):
-    num, den = weighted([(f"sig_{s}", lit(v[1])) for s, v in SIGNALS.items() if v[0] == name])
+def _component(name, signals):
+    num, den = weighted([(f"sig_{s}", lit(v[1])) for s, v in signals.items() if v[0] == name])
     return f"{num} / nullif({den}, 0)"
 
 
-SCORED = FEATURES + ", sg AS (SELECT *, " + ", ".join(
-    [f"{v[4]} AS val_{s}" for s, v in SIGNALS.items()]
-    + [f"{ramp(v[4], v[2], v[3])} AS sig_{s}" for s, v in SIGNALS.items()]
-    + [f"coalesce({cond}, false) AS rule_{r}" for r, (_, cond) in RULES.items()]
-) + " FROM feat), sc AS MATERIALIZED (SELECT *, " + ", ".join(
-    f"{_component(k)} AS comp_{k}" for k in COMPONENTS
-) + " FROM sg)"
+def scored(signals=SIGNALS, rules=RULES) -> str:
+    return FEATURES + ", sg AS (SELECT *, " + ", ".join(
+        [f"{v[4]} AS val_{s}" for s, v in signals.items()]
+        + [f"{ramp(v[4], v[2], v[3])} AS sig_{s}" for s, v in signals.items()]
+        + [f"coalesce({cond}, false) AS rule_{r}" for r, (_, cond) in rules.items()]
+    ) + " FROM feat), sc AS MATERIALIZED (SELECT *, " + ", ".join(
+        f"{_component(k, signals)} AS comp_{k}" for k in COMPONENTS
+    ) + " FROM sg)"
 
 
-def assessed(scenarios: dict[str, dict[str, float]] | None = None) -> str:
+SCORED = scored()
+
+
+def assessed(scenarios: dict[str, dict[str, float]] | None = None, signals=SIGNALS, rules=RULES, bands=(62, 34)) -> str:
     """CTEs up to ``asmt``: one row per scope, date and scenario."""
     rows = ", ".join(
         "('" + name + "', " + ", ".join(
@@ -392,11 +396,11 @@ def assessed(scenarios: dict[str, dict[str, float]] | None = None) -> str:
     num, den = weighted([(f"comp_{k}", f"w_{k}") for k in COMPONENTS])
     total = " + ".join(f"greatest(w_{k}, 0.0::DOUBLE)" for k in COMPONENTS)
     floor = "greatest(" + ", ".join(
-        f"CASE WHEN rule_{r} THEN {lit(f)} ELSE 0.0::DOUBLE END" for r, (f, _) in RULES.items()) + ")"
+        f"CASE WHEN rule_{r} THEN {lit(f)} ELSE 0.0::DOUBLE END" for r, (f, _) in rules.items()) + ")"
     missing = "concat_ws(', ', " + ", ".join(
         f"CASE WHEN comp_{k} IS NULL THEN '{label}' END" for k, (label, _) in COMPONENTS.items()) + ")"
-    fired = " + ".join(f"rule_{r}::BIGINT" for r in RULES)
-    return SCORED + f""", wt(scenario, {names}) AS (VALUES {rows}),
+    fired = " + ".join(f"rule_{r}::BIGINT" for r in rules)
+    return scored(signals, rules) + f""", wt(scenario, {names}) AS (VALUES {rows}),
     a1 AS (SELECT sc.*, wt.*, {den} AS avail, {total} AS total_w,
              {num} / nullif({den}, 0) * 100.0::DOUBLE AS mean100 FROM sc CROSS JOIN wt),
     a2 AS (SELECT *, CASE WHEN avail > 0 THEN mean100 ELSE 0.0::DOUBLE END AS base_raw,
@@ -406,8 +410,8 @@ def assessed(scenarios: dict[str, dict[str, float]] | None = None) -> str:
              {missing} AS missing FROM a1),
     a3 AS (SELECT *, greatest(base_raw, floor_) AS composite_raw FROM a2),
     asmt AS MATERIALIZED (SELECT *,
-        CASE WHEN NOT avail > 0 THEN 'na' WHEN composite_raw >= 62 THEN 'high'
-             WHEN composite_raw >= 34 THEN 'elevated' ELSE 'low' END AS regime,
+        CASE WHEN NOT avail > 0 THEN 'na' WHEN composite_raw >= {bands[0]} THEN 'high'
+             WHEN composite_raw >= {bands[1]} THEN 'elevated' ELSE 'low' END AS regime,
         printf('%.1f', composite_raw)::DOUBLE AS composite,
         printf('%.1f', base_raw)::DOUBLE AS base_composite,
         printf('%.0f', cov_raw)::DOUBLE AS coverage_pct

@@ -10,7 +10,7 @@ from checks.base import (
 )
 from checks.feature_sql import LEVELS, feature_query, latest_at
 from checks.registry import query
-from tideline.operators import ingest, leverage, lookback
+from tideline.operators import ingest, leverage, lookback, preference
 from tideline.operators import resolve as R
 from tideline.operators.features import asof_state, feature_history
 
@@ -225,3 +225,65 @@ def l4(spark, sf):
 def l6(spark, sf):
     out = leverage.leverage_history(margin_table(spark, sf))
     return out.select("scope", "month", "is_placeholder")
+
+
+#: logical, provider, series, priority, min_obs, rescale_above
+CANDIDATES = [
+    ("us10y", "fred", "US10Y", 1, 6, None), ("us10y", "yahoo", "US10Y_YF", 2, 1, 20.0), ("us2y", "fred", "US2Y", 1, 6, None),
+    ("vix", "yahoo", "VIX", 1, 1, None), ("vix", "fred", "VIX_FRED", 2, 1, None),
+    ("fear", "yahoo", "MOVE", 1, 61, None), ("fear", "fred", "HY_OAS", 2, 31, None), ("fear", "fred", "VIX_FRED", 3, 1, None),
+]
+
+
+def candidates(spark):
+    return spark.createDataFrame(CANDIDATES, preference.CANDIDATES)
+
+
+CANDIDATES_SQL = "c(logical, provider, series, priority, min_obs, rescale_above) AS (VALUES " + ", ".join(
+    f"('{lo}', '{p}', '{s}', {pr}, {mo}, {'NULL' if up is None else up}::DOUBLE)" for lo, p, s, pr, mo, up in CANDIDATES
+) + ")"
+
+
+def preference_sql(calendar: str) -> str:
+    """The choice by a join of every date with all that is known of each candidate."""
+    return f"""WITH {market_sql(outages=True)}, {CANDIDATES_SQL},
+    seen AS (SELECT panel.*, c.* EXCLUDE (provider, series) FROM panel JOIN c USING (provider, series)),
+    cal AS (SELECT DISTINCT scope, logical, d FROM ({calendar})),
+    st AS (SELECT cal.scope, cal.logical, d, provider, series, priority, min_obs, rescale_above, max(n) AS last_n,
+             arg_max(value, n) AS value, count(*) FILTER (WHERE n >= d - 1125) AS n_obs
+           FROM cal JOIN seen ON seen.scope = cal.scope AND seen.logical = cal.logical AND n <= d GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY scope, logical, d ORDER BY priority) AS k
+          FROM st WHERE n_obs >= min_obs)
+    SELECT scope, logical, {S.day('d')} AS as_of, series, priority::BIGINT AS priority, {S.day('last_n')} AS last_date, n_obs,
+      {r6('CASE WHEN value > rescale_above THEN value / 10.0 ELSE value END', 'value')} FROM r WHERE k = 1"""
+
+
+@query("f_preference_table", preference_sql("SELECT scope, logical, n AS d FROM seen"))
+def f_preference(spark, sf):
+    """Four logical series from one table, one of them of three unlike sources and in no code."""
+    return rounded(preference.resolve(market(spark, sf, outages=True), candidates(spark)))
+
+
+@query(
+    "f_preference_on_calendar",
+    preference_sql(f"SELECT scope, logical, d FROM ({ORDER_CAL}) JOIN (SELECT DISTINCT scope, logical FROM seen) USING (scope)"),
+)
+def f_preference_calendar(spark, sf):
+    return rounded(preference.resolve(market(spark, sf, outages=True), candidates(spark), order_calendar(spark, sf)))
+
+
+@query(
+    "f_preference_equals_features",
+    feature_query(["us10y", "us10y_series", "us2y", "vix", "vix_series"]),
+)
+def f_preference_features(spark, sf):
+    """The table's choices where the feature row makes the same ones."""
+    obs = market(spark, sf, outages=True)
+    rows = preference.resolve(obs, candidates(spark), obs.select("scope", F.col("obs_date").alias("as_of")))
+    pick = lambda k, c: F.max(F.when(F.col("logical") == k, F.col(c)))
+    dates = obs.select("scope", F.col("obs_date").alias("as_of")).distinct()
+    by_date = rows.groupBy("scope", "as_of").agg(
+        pick("us10y", "value").alias("us10y"), pick("us10y", "series").alias("us10y_series"), pick("us2y", "value").alias("us2y"),
+        pick("vix", "value").alias("vix"), pick("vix", "series").alias("vix_series"),
+    )
+    return rounded(dates.join(by_date, ["scope", "as_of"], "left"))

@@ -422,3 +422,26 @@ def n9(spark, sf):
 )
 def n10(spark, sf):
     return ingest.freshness(market(spark, sf, outages=True))
+
+
+HOLED = "day(obs_date) % 10 = 0"
+
+
+@query(
+    "n_quality_in_one_pass",
+    f"""WITH {market_sql(outages=True)}, q AS (SELECT *, NOT ({HOLED}) AS good FROM panel),
+    gone AS (SELECT c.series FROM (VALUES {", ".join(f"('{name}', {i})" for i, (name, _, _) in enumerate(P.CATALOG))}) c(series, i)
+      WHERE c.series NOT IN (SELECT series FROM q WHERE good) ORDER BY i)
+    SELECT count(*) AS rows, count(*) FILTER (WHERE NOT good) AS missing_rows,
+      count(*) FILTER (WHERE good AND provider = 'yahoo') AS quote_rows,
+      count(*) FILTER (WHERE good AND provider = 'fred') AS official_rows,
+      max(obs_date) FILTER (WHERE good AND series IN ('USDJPY', 'US10Y', 'VIX')) AS newest,
+      'missing: ' || (SELECT string_agg(series, ', ') FROM gone) AS feed_status FROM q""",
+)
+def n_quality(spark, sf):
+    """Row counts, holes, newest date and feed status, observed while the panel is written."""
+    holes = F.when(F.expr(HOLED), F.lit(float("nan"))).otherwise(F.col("value"))
+    obs = market(spark, sf, outages=True).withColumn("value", holes)
+    seen = tables.save_months(obs, folder(spark, "panel"), metrics=ingest.quality_metrics())
+    kinds = "rows long, missing_rows long, quote_rows long, official_rows long, newest date, feed_status string"
+    return spark.createDataFrame([ingest.quality_report(seen)], kinds)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import manual_inputs, margin_table, market
+from checks.base import manual_inputs, margin_table, market, market_sql, r6, rounded
 from checks.q_ingest import folder
 from checks.q_score import A
 from checks.registry import query
-from tideline.streaming import refresh
+from tideline.streaming import daily, refresh
 
 
 def land(obs, path, load_id, kind):
@@ -83,3 +83,24 @@ def r1_forward(spark, sf):
     return refresh.current_assessments(spark, store).join(times, keys).select(
         *keys, "composite", "regime", "coverage_pct", "rules_fired", "missing", "times_scored"
     )
+
+
+@query(
+    "n1_stateful_stream",
+    f"WITH {market_sql(outages=True)} SELECT scope, provider, series, obs_date, {r6('value')} FROM panel",
+)
+def n1_stream(spark, sf):
+    """The panel kept by a stateful stream: a load with a wrong series, the series again, the first
+    load once more; then newer days, and old files again."""
+    landing, out = folder(spark, "landing"), folder(spark, "daily")
+    obs = market(spark, sf, outages=True)
+    early = F.col("obs_date") < F.lit("1998-01-01").cast("date")
+    wrong = obs.where(early).withColumn("value", F.when(F.col("series") == "VIX", F.col("value") * 3).otherwise(F.col("value")))
+    right = obs.where(early & (F.col("series") == "VIX"))
+    for rows, load in ((wrong, 1), (right, 2), (wrong, 1)):
+        land(rows.repartition(3), landing, load, refresh.REPLACE)
+    daily.keep_panel(spark, landing, out)
+    land(obs.where(~early).repartition(2), landing, 3, refresh.APPEND)
+    land(right.repartition(2), landing, 2, refresh.REPLACE)
+    daily.keep_panel(spark, landing, out)
+    return rounded(daily.current(spark, out))

@@ -10,7 +10,7 @@ from checks.q_features import features, inputs
 from checks.registry import query
 from tideline import params as P
 from tideline.functions import scoring as C
-from tideline.operators import score
+from tideline.operators import score, sweep
 from tideline.plans import stress
 
 A = S.ASSESSED
@@ -275,3 +275,45 @@ EXPLAIN_SQL = COMPONENTS_SQL + DRIVERS_SQL + f""", lead3 AS (
 @query("c15_explanation", EXPLAIN_SQL)
 def c15(spark, sf):
     return score.explain(assessed(spark, sf))
+
+
+#: kind, key, value, from_date: two days on which the model changed.
+DATED = [
+    ("calm", "vix_level", 18.0, "1996-07-01"), ("stress", "vix_level", 40.0, "1996-07-01"),
+    ("sub_weight", "usdjpy_1w_pct", 0.2, "1996-07-01"), ("calm", "vix_level", 16.0, "1997-03-01"),
+    ("rule", "vol_backwardation_ratio", 1.02, "1997-03-01"), ("floor", "credit_crack", 75.0, "1997-03-01"),
+    ("band", "high", 55.0, "1997-03-01"), ("band", "elevated", 30.0, "1997-03-01"), ("calm", "unheard_of", 1.0, "1995-01-01"),
+]
+
+
+def dated_sql() -> str:
+    """The history under each version of the model, of each the dates on which it held."""
+    at = lambda calm: {
+        **S.SIGNALS, "vix_level": ("equity_vol", 0.60, calm, 40.0, "vix"), "usdjpy_1w_pct": ("carry_fx", 0.2, -1.0, -4.0, "usdjpy_1w"),
+    }
+    rules = {**S.RULES, "vol_backwardation": (66.0, "vix_ratio > 1.02"), "credit_crack": (75.0, "hy_oas_change_1m > 1.0")}
+    versions = [
+        (S.assessed(), "as_of < DATE '1996-07-01'"),
+        (S.assessed(signals=at(18.0)), "as_of >= DATE '1996-07-01' AND as_of < DATE '1997-03-01'"),
+        (S.assessed(signals=at(16.0), rules=rules, bands=(55, 30)), "as_of >= DATE '1997-03-01'"),
+    ]
+    columns = f"scope, as_of, composite, {r6('comp_equity_vol')}, {r6('comp_carry_fx')}, regime, rules_fired"
+    return " UNION ALL ".join(f"SELECT * FROM (WITH {ctes} SELECT {columns} FROM asmt WHERE {when})" for ctes, when in versions)
+
+
+@query("c1_dated_parameters", dated_sql())
+def c1_dated(spark, sf):
+    """One history scored under three versions of thresholds, sub-weights, rules, floors and bands."""
+    table = spark.createDataFrame(DATED, "kind string, key string, value double, from_date string").withColumn("from_date", F.to_date("from_date"))
+    rows = score.assess(features(spark, sf), parameters=table)
+    return rounded(rows.select("scope", "as_of", "composite", "comp_equity_vol", "comp_carry_fx", "regime", "rules_fired"))
+
+
+SUMMARY_SQL = f"""WITH {S.assessed(SWEEP)} SELECT scope, scenario, count(*) AS dates, {r6('avg(composite_raw)', 'mean')},
+  {r6('max(composite_raw)', 'worst')}, count(*) FILTER (WHERE regime = 'high') AS days_high FROM asmt GROUP BY 1, 2"""
+
+
+@query("c8_sweep_summary", SUMMARY_SQL)
+def c8_summary(spark, sf):
+    """Each scope's mean, worst and high days under each weighting, rows never multiplied."""
+    return rounded(sweep.summary(score.with_scores(features(spark, sf)), SWEEP))

@@ -42,10 +42,10 @@ def level_of(score: Column) -> Column:
     )
 
 
-def regime_of(composite: Column) -> Column:
+def regime_of(composite: Column, high=P.REGIME_HIGH, elevated=P.REGIME_ELEVATED) -> Column:
     return (
-        F.when(composite >= P.REGIME_HIGH, "high")
-        .when(composite >= P.REGIME_ELEVATED, "elevated")
+        F.when(composite >= high, "high")
+        .when(composite >= elevated, "elevated")
         .otherwise("low")
     )
 

@@ -156,6 +156,35 @@ def feed_counts(obs: DataFrame) -> DataFrame:
     )
 
 
+def quality_metrics(catalog: list[tuple[str, str]] | None = None) -> list[Column]:
+    """What a feed's status, freshness and missing series need, as aggregates over the panel's raw
+    rows: to be attached to the one pass that writes them (``sources.tables.save_months``)."""
+    good = usable(F.col("value"))
+
+    def of(provider, series=None):
+        hit = good & (F.col("provider") == provider)
+        return hit if series is None else hit & (F.col("series") == series)
+
+    return [
+        F.count("*").alias("rows"), F.count_if(~good).alias("missing_rows"),
+        F.count_if(of(P.QUOTES)).alias("quote_rows"), F.count_if(of(P.OFFICIAL)).alias("official_rows"),
+        *[F.max(F.when(of(p, s), F.col("obs_date"))).alias(f"{s.lower()}_as_of") for p, s in HEADLINE_SERIES],
+        *[F.count_if(of(p, s)).alias(f"rows_{s}") for s, p, _ in catalog or P.CATALOG],
+    ]
+
+
+def quality_report(metrics: dict) -> dict:
+    """Counts, newest headline date, feed status and missing series of one pass's metrics."""
+    ends = [metrics[f"{s.lower()}_as_of"] for _, s in HEADLINE_SERIES]
+    quotes, official = metrics["quote_rows"] > 0, metrics["official_rows"] > 0
+    missing = [k.removeprefix("rows_") for k, v in metrics.items() if k.startswith("rows_") and not v]
+    return {
+        "rows": metrics["rows"], "missing_rows": metrics["missing_rows"], "quote_rows": metrics["quote_rows"],
+        "official_rows": metrics["official_rows"], "newest": max((d for d in ends if d is not None), default=None),
+        "feed_status": "no_data" if not quotes and not official else "quotes_empty" if not quotes else f"missing: {', '.join(missing)}" if missing else "ok",
+    }
+
+
 def numbered(obs: DataFrame) -> DataFrame:
     """Add the day number ``n`` the series windows order by."""
     return obs.withColumn("n", day_number("obs_date"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline import params as P
@@ -19,6 +19,8 @@ COMPONENTS = list(P.COMPONENTS)
 Scenarios = Mapping[str, Mapping[str, float]]
 #: Scenarios of a table meet the rows in blocks of about so many.
 SCENARIO_BLOCK, BROADCAST_SCENARIOS = 1_000, 100_000
+#: Change dates that a table of dated parameters may have.
+MAX_CHANGES = 500
 
 
 def signal_values() -> dict[str, str]:
@@ -44,18 +46,70 @@ def signal_values() -> dict[str, str]:
     }
 
 
-def rule_conditions() -> dict[str, str]:
-    p = P.RULE_PARAMS
+def standing_parameters(thresholds: Mapping[str, tuple[float, float]] = P.THRESHOLDS) -> dict[str, float]:
+    """Every number that scoring goes by, named as in :func:`dated_parameters`."""
+    return {
+        **{f"calm_{s}": calm for s, (calm, _) in thresholds.items()},
+        **{f"stress_{s}": stress for s, (_, stress) in thresholds.items()},
+        **{f"sub_weight_{s}": spec[1] for s, spec in P.SIGNALS.items()},
+        **{f"rule_{p}": value for p, value in P.RULE_PARAMS.items()},
+        **{f"floor_{r}": value for r, value in P.RULE_FLOORS.items()},
+        "band_high": P.REGIME_HIGH, "band_elevated": P.REGIME_ELEVATED,
+    }
+
+
+def dated_parameters(table: DataFrame, thresholds: Mapping[str, tuple[float, float]] = P.THRESHOLDS) -> tuple[list, DataFrame]:
+    """(change dates, one row of ``p_*`` for each ``_version``: the dates passed so far).
+
+    ``table``: kind, key, value, from_date. Kinds are ``calm``, ``stress`` and ``sub_weight`` of a signal,
+    ``rule`` (a rule's own number), ``floor`` of a rule and ``band`` (high, elevated). A value holds from
+    its date until the next one of the same name; before the first, and where none is given, the
+    standing value. Unknown names, null values and null dates are left out; of values of one name and
+    date the largest counts. The change dates, a model's history, come to the driver; more than
+    MAX_CHANGES are refused.
+    """
+    standing = {k: float(v) for k, v in standing_parameters(thresholds).items()}
+    name = F.concat_ws("_", "kind", "key")
+    known = table.where(name.isin(list(standing)) & F.col("value").isNotNull() & F.col("from_date").isNotNull())
+    picks = [F.max(F.when(name == n, F.col("value"))).alias(n) for n in standing]
+    changes = known.groupBy("from_date").agg(*picks)
+    dates = sorted(r["from_date"] for r in known.select("from_date").distinct().limit(MAX_CHANGES + 1).collect())
+    if len(dates) > MAX_CHANGES:
+        raise ValueError(f"more than {MAX_CHANGES} change dates")
+    # One row for each change date: a window over so few rows is one small task.
+    so_far = Window.orderBy("from_date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = changes.select(
+        F.row_number().over(Window.orderBy("from_date")).alias("_version"),
+        *[F.coalesce(F.last(n, ignorenulls=True).over(so_far), F.lit(v)).alias(f"p_{n}") for n, v in standing.items()],
+    )
+    first = table.sparkSession.range(1).select(F.lit(0).alias("_version"), *[F.lit(v).alias(f"p_{n}") for n, v in standing.items()])
+    return dates, first.unionByName(held)
+
+
+def with_parameters(
+    features: DataFrame, table: DataFrame, thresholds: Mapping[str, tuple[float, float]] = P.THRESHOLDS
+) -> DataFrame:
+    """Each row with the parameters of its own date as ``p_*``. A date's interval is a number, so rows
+    meet parameters by an equality, with a side of one row for each interval."""
+    dates, versions = dated_parameters(table, thresholds)
+    passed = [F.when(F.col("as_of") >= F.lit(d), 1).otherwise(0) for d in dates]
+    version = C.total(passed) if passed else F.lit(0)
+    return features.withColumn("_version", version).join(versions, "_version", "left").drop("_version")
+
+
+def rule_conditions(p: Mapping[str, str] | None = None) -> dict[str, str]:
+    """``p``: the rules' numbers as SQL."""
+    p = p or {k: f"{v}D" for k, v in P.RULE_PARAMS.items()}
     fired = {
         "carry_unwind": (
-            f"usdjpy_1w < {p['carry_unwind_usdjpy_1w']}D "
-            f"and diff_2y > {p['carry_unwind_min_diff']}D"
+            f"usdjpy_1w < {p['carry_unwind_usdjpy_1w']} "
+            f"and diff_2y > {p['carry_unwind_min_diff']}"
         ),
-        "vol_backwardation": f"vix_ratio > {p['vol_backwardation_ratio']}D",
-        "credit_crack": f"hy_oas_change_1m > {p['credit_crack_oas_1m']}D",
+        "vol_backwardation": f"vix_ratio > {p['vol_backwardation_ratio']}",
+        "credit_crack": f"hy_oas_change_1m > {p['credit_crack_oas_1m']}",
         "leverage_at_peak_and_vol_rising": (
-            f"margin_usable and margin_pct_of_peak >= {p['leverage_peak_proximity']}D "
-            f"and vix > {p['leverage_vix_trigger']}D"
+            f"margin_usable and margin_pct_of_peak >= {p['leverage_peak_proximity']} "
+            f"and vix > {p['leverage_vix_trigger']}"
         ),
     }
     return {rule: f"coalesce({cond}, false)" for rule, cond in fired.items()}
@@ -69,6 +123,13 @@ def ramp(value: str, calm: float, stress: float) -> str:
     return f"if({value} is null, null, greatest(0.0D, least(1.0D, {share})))"
 
 
+def ramp_between(value: str, calm: str, stress: str) -> str:
+    """:func:`ramp` for thresholds that are columns."""
+    share = f"try_divide({value} - {calm}, {stress} - {calm})"
+    reached = f"cast({value} >= {calm} as double)"
+    return f"if({value} is null, null, if({stress} = {calm}, {reached}, greatest(0.0D, least(1.0D, {share}))))"
+
+
 def counts(score: str, weight: str) -> str:
     return f"({score} is not null and {weight} > 0.0D)"
 
@@ -83,20 +144,30 @@ def available_weight(pairs: list[tuple[str, str]]) -> str:
 
 
 def with_scores(
-    features: DataFrame, thresholds: Mapping[str, tuple[float, float]] = P.THRESHOLDS
+    features: DataFrame, thresholds: Mapping[str, tuple[float, float]] = P.THRESHOLDS, parameters: DataFrame | None = None
 ) -> DataFrame:
-    """Add ``val_*`` and ``sig_*`` per signal, ``comp_*`` per component, ``rule_*`` per rule."""
+    """Add ``val_*``, ``sig_*``, ``calm_*`` and ``stress_*`` per signal, ``comp_*`` per component,
+    ``rule_*`` per rule. ``parameters`` is a table of dated ones, see :func:`dated_parameters`."""
     values = signal_values()
+    if parameters is None:
+        named = {n: f"{v}D" for n, v in standing_parameters(thresholds).items()}
+        ramps = {s: ramp(f"val_{s}", *thresholds[s]) for s in values}
+    else:
+        features = with_parameters(features, parameters, thresholds)
+        named = {n: f"p_{n}" for n in standing_parameters(thresholds)}
+        ramps = {s: ramp_between(f"val_{s}", named[f"calm_{s}"], named[f"stress_{s}"]) for s in values}
     components = {}
     for name in COMPONENTS:
-        pairs = [(f"sig_{s}", f"{spec[1]}D") for s, spec in P.SIGNALS.items() if spec[0] == name]
+        pairs = [(f"sig_{s}", named[f"sub_weight_{s}"]) for s, spec in P.SIGNALS.items() if spec[0] == name]
         components[name] = f"try_divide({weighted_sum(pairs)}, {available_weight(pairs)})"
+    rules = rule_conditions({p: named[f"rule_{p}"] for p in P.RULE_PARAMS})
     return (
         features.selectExpr("*", *[f"{v} as val_{s}" for s, v in values.items()])
         .selectExpr(
             "*",
-            *[f"{ramp(f'val_{s}', *thresholds[s])} as sig_{s}" for s in values],
-            *[f"{cond} as rule_{r}" for r, cond in rule_conditions().items()],
+            *[f"{r} as sig_{s}" for s, r in ramps.items()],
+            *[f"{named[f'{side}_{s}']} as {side}_{s}" for s in values for side in ("calm", "stress", "sub_weight")],
+            *[f"{cond} as rule_{r}" for r, cond in rules.items()],
         )
         .selectExpr("*", *[f"{v} as comp_{k}" for k, v in components.items()])
     )
@@ -159,9 +230,12 @@ def with_weights(rows: DataFrame, scenarios: Scenarios | DataFrame | None = None
 
 
 def with_composite(rows: DataFrame) -> DataFrame:
-    """Weighted mean of the available components, lifted to the highest fired floor."""
+    """Weighted mean of the available components, lifted to the highest fired floor. Floors and bands
+    are those of the row's date where it has dated parameters."""
     pairs = [(f"comp_{k}", f"w_{k}") for k in COMPONENTS]
-    floors = ", ".join(f"if(rule_{r}, {f}D, 0.0D)" for r, f in P.RULE_FLOORS.items())
+    dated = "p_band_high" in rows.columns
+    floors = ", ".join(f"if(rule_{r}, {f'p_floor_{r}' if dated else f'{f}D'}, 0.0D)" for r, f in P.RULE_FLOORS.items())
+    bands = (F.col("p_band_high"), F.col("p_band_elevated")) if dated else (P.REGIME_HIGH, P.REGIME_ELEVATED)
     fired = " + ".join(f"cast(rule_{r} as bigint)" for r in P.RULE_FLOORS)
     # Labels of components without a score, in component order; weight plays no part.
     missing = ", ".join(
@@ -186,7 +260,7 @@ def with_composite(rows: DataFrame) -> DataFrame:
     return scored.withColumns(
         {
             "regime": F.when(
-                F.col("avail_weight") > 0.0, C.regime_of(F.col("composite_raw"))
+                F.col("avail_weight") > 0.0, C.regime_of(F.col("composite_raw"), *bands)
             ).otherwise("na"),
             "composite": round_exact(F.col("composite_raw"), 1),
             "base_composite": round_exact(F.col("base_raw"), 1),
@@ -199,9 +273,11 @@ def assess(
     features: DataFrame,
     scenarios: Scenarios | DataFrame | None = None,
     thresholds: Mapping[str, tuple[float, float]] = P.THRESHOLDS,
+    parameters: DataFrame | None = None,
 ) -> DataFrame:
-    """Scored rows: one per scope, as-of date and scenario, every intermediate kept."""
-    return with_composite(with_weights(with_scores(features, thresholds), scenarios))
+    """Scored rows: one per scope, as-of date and scenario, every intermediate kept. ``parameters``
+    is a table of dated thresholds, sub-weights, rules, floors and bands (:func:`dated_parameters`)."""
+    return with_composite(with_weights(with_scores(features, thresholds, parameters), scenarios))
 
 
 KEYS = ["scope", "as_of", "scenario"]
@@ -219,11 +295,10 @@ def signal_table(scored: DataFrame) -> DataFrame:
     """One row per signal. The credit component shows the signals of its source kind."""
     kind = F.col("credit_kind")
     rows = []
-    for i, (s, (component, weight, label, decimals, signed, suffix)) in enumerate(
+    for i, (s, (component, _, label, decimals, signed, suffix)) in enumerate(
         P.SIGNALS.items()
     ):
         value, score = F.col(f"val_{s}"), F.col(f"sig_{s}")
-        calm, stress = P.THRESHOLDS[s]
         wanted = P.CREDIT_SIGNAL_KIND.get(s)
         shown = F.lit(True)
         if wanted:
@@ -239,9 +314,9 @@ def signal_table(scored: DataFrame) -> DataFrame:
                     value.alias("value"),
                     signal_text(value, decimals, signed, suffix).alias("display"),
                     score.alias("score"),
-                    F.lit(weight).alias("sub_weight"),
-                    F.lit(calm).alias("calm"),
-                    F.lit(stress).alias("stress"),
+                    F.col(f"sub_weight_{s}").alias("sub_weight"),
+                    F.col(f"calm_{s}").alias("calm"),
+                    F.col(f"stress_{s}").alias("stress"),
                     C.level_of(score).alias("level"),
                 ),
             )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,13 +29,17 @@ def save_panel(obs: DataFrame, table: str, buckets: int) -> None:
     )
 
 
-def save_months(obs: DataFrame, path: str, whole: bool = True) -> None:
+def save_months(obs: DataFrame, path: str, whole: bool = True, metrics: list[Column] | None = None) -> dict:
     """Save observations partitioned by month, each month split over several files by scope.
 
     A load of some days then reads the folders of their months only. ``whole=False`` replaces the
-    months that ``obs`` has rows of and leaves the others.
+    months that ``obs`` has rows of and leaves the others. ``metrics`` (aggregates, such as
+    :func:`operators.ingest.quality_metrics`) are observed in the tasks that write, after the shuffle,
+    so that a lost executor's repeated work counts once; their values are returned.
     """
-    _by_month(obs, path, "obs_date", "obs_month", whole)
+    observation = Observation() if metrics else None
+    _by_month(obs, path, "obs_date", "obs_month", whole, observation, metrics)
+    return observation.get if metrics else {}
 
 
 def load_months(spark: SparkSession, path: str) -> DataFrame:
@@ -53,11 +57,15 @@ def write_result(df: DataFrame, path: str, date_col: str = "as_of", whole: bool
     _by_month(df, path, date_col, f"{date_col}_month", whole)
 
 
-def _by_month(df: DataFrame, path: str, date_col: str, month_col: str, whole: bool) -> None:
+def _by_month(
+    df: DataFrame, path: str, date_col: str, month_col: str, whole: bool,
+    observation: Observation | None = None, metrics: list[Column] | None = None,
+) -> None:
+    rows = df.withColumn(month_col, F.trunc(date_col, "month")).repartition(month_col, F.pmod(F.xxhash64("scope"), F.lit(32)))
+    if observation is not None:
+        rows = rows.observe(observation, *metrics)
     (
-        df.withColumn(month_col, F.trunc(date_col, "month"))
-        .repartition(month_col, F.pmod(F.xxhash64("scope"), F.lit(32)))
-        .write.mode("overwrite").option("partitionOverwriteMode", "static" if whole else "dynamic")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static" if whole else "dynamic")
         .partitionBy(month_col)
         .parquet(path)
     )
