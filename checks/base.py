@@ -6,7 +6,7 @@ doubles whatever the order of the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # --- fixed values: the market panel; position in the list is l_orderkey % 28
@@ -47,10 +47,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def both_scopes(nation: str) -> Column:
+    """ALL and the nation's own scope, a row each."""
+    return F.explode(F.array(F.lit("ALL"), F.concat(F.lit("N"), F.col(nation).cast("string"))))
+
+
 def market(spark: SparkSession, sf_dir: str, outages: bool = False) -> DataFrame:
     """obs for scope ALL and one scope per supplier nation."""
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     hundredths = F.round(F.col("l_discount") * 100).cast("bigint")
+    # Whole numbers, so nations add up to ALL: lines are not doubled, their daily sums are.
     daily = (
         table(spark, sf_dir, "lineitem")
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
@@ -58,12 +64,13 @@ def market(spark: SparkSession, sf_dir: str, outages: bool = False) -> DataFrame
             (F.col("l_orderkey") % 28).cast("int").alias("idx"),
             F.to_date("l_shipdate").alias("obs_date"),
             hundredths.alias("h"),
-            F.explode(
-                F.array(F.lit("ALL"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string")))
-            ).alias("scope"),
+            "s_nationkey",
         )
-        .groupBy("scope", "idx", "obs_date")
+        .groupBy("s_nationkey", "idx", "obs_date")
         .agg(F.sum("h").alias("h"), F.count("*").alias("c"))
+        .withColumn("scope", both_scopes("s_nationkey"))
+        .groupBy("scope", "idx", "obs_date")
+        .agg(F.sum("h").alias("h"), F.sum("c").alias("c"))
     )
 
     def spec(i):
@@ -168,25 +175,23 @@ def margin_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
 
-    def balance(status=None):
-        hit = cents if status is None else F.when(F.col("o_orderstatus") == status, cents)
-        return F.sum(hit) / F.lit(100.0)
+    def cents_of(status=None):
+        return F.sum(cents if status is None else F.when(F.col("o_orderstatus") == status, cents))
+
+    def balance(column):
+        return F.sum(column) / F.lit(100.0)
 
     return (
         table(spark, sf_dir, "orders")
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .select(
-            F.explode(
-                F.array(F.lit("ALL"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")))
-            ).alias("scope"),
-            F.to_date(F.date_trunc("month", "o_orderdate")).alias("month"),
-            "o_totalprice", "o_orderstatus",
-        )
+        .groupBy("c_nationkey", F.to_date(F.date_trunc("month", "o_orderdate")).alias("month"))
+        .agg(cents_of().alias("debit"), cents_of("O").alias("cash"), cents_of("P").alias("margin"))
+        .withColumn("scope", both_scopes("c_nationkey"))
         .groupBy("scope", "month")
         .agg(
-            balance().alias("debit_balances_musd"),
-            balance("O").alias("free_credit_cash_musd"),
-            balance("P").alias("free_credit_margin_musd"),
+            balance("debit").alias("debit_balances_musd"),
+            balance("cash").alias("free_credit_cash_musd"),
+            balance("margin").alias("free_credit_margin_musd"),
         )
         .where(MARGIN_KEPT)
         .withColumn("is_placeholder", F.expr(MARGIN_FLAG))

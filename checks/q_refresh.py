@@ -18,6 +18,19 @@ def land(obs, path, load_id, kind):
     ).write.mode("append").parquet(path)
 
 
+def held(spark, df, name):
+    """A table that several landings and refreshes read, built from the given ones once."""
+    path = folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def sources(spark, sf):
+    """The panel, and what gives the margin and manual tables."""
+    margin, manual = held(spark, margin_table(spark, sf), "margin"), held(spark, manual_inputs(spark, sf), "manual")
+    return held(spark, market(spark, sf, outages=True), "panel"), lambda s: (margin, manual)
+
+
 @query(
     "r1_refresh",
     f"WITH {A} SELECT scope, as_of, scenario, composite, regime, coverage_pct, rules_fired, missing FROM asmt",
@@ -26,10 +39,9 @@ def r1(spark, sf):
     """A first load with a wrong series and without the last years; the series again, right; the
     years, one file after another. What is stored then is what a rebuild gives."""
     landing, store = folder(spark, "landing"), folder(spark, "store")
-    obs = market(spark, sf, outages=True)
+    obs, side = sources(spark, sf)
     early = F.col("obs_date") < F.lit("2000-01-01").cast("date")
     wrong = F.when(F.col("series") == "VIX", F.col("value") * 3).otherwise(F.col("value"))
-    side = lambda s: (margin_table(s, sf), manual_inputs(s, sf))
     land(obs.where(early).withColumn("value", wrong).repartition(3), landing, 1, refresh.REPLACE)
     land(obs.where(early & (F.col("series") == "VIX")), landing, 2, refresh.REPLACE)
     refresh.refresh(spark, landing, store, side, buckets=8)
@@ -48,9 +60,8 @@ def forward_store(spark, sf):
     """The panel lands up to 1997; then some weeks, then the whole history
     once more with some months added, then the rest."""
     landing, store = folder(spark, "landing"), folder(spark, "store")
-    obs = market(spark, sf, outages=True)
+    obs, side = sources(spark, sf)
     day = lambda d: F.lit(d).cast("date")
-    side = lambda s: (margin_table(s, sf), manual_inputs(s, sf))
 
     def land_step(i, kind):
         low, high = None if i == 0 else STEPS[i - 1], STEPS[i]
@@ -93,7 +104,7 @@ def n1_stream(spark, sf):
     """The panel kept by a stateful stream: a load with a wrong series, the series again, the first
     load once more; then newer days, and old files again."""
     landing, out = folder(spark, "landing"), folder(spark, "daily")
-    obs = market(spark, sf, outages=True)
+    obs = held(spark, market(spark, sf, outages=True), "panel")
     early = F.col("obs_date") < F.lit("1998-01-01").cast("date")
     wrong = obs.where(early).withColumn("value", F.when(F.col("series") == "VIX", F.col("value") * 3).otherwise(F.col("value")))
     right = obs.where(early & (F.col("series") == "VIX"))
