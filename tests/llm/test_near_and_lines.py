@@ -113,3 +113,36 @@ def test_lines_like_a_removed_one_inside_a_document(spark, monkeypatch):
 def test_lines_of_nothing(spark):
     assert line_dedup.decisions(empty(spark)).collect() == []
     assert line_dedup.deduplicated(empty(spark)).columns == empty(spark).columns
+
+
+@pytest.mark.parametrize("rounds, place", [(1, 1), (3, line_dedup.PLACE)])
+def test_lines_in_rounds_and_past_the_last_place(spark, monkeypatch, rounds, place):
+    monkeypatch.setattr(line_dedup, "ROUNDS", rounds)
+    monkeypatch.setattr(line_dedup, "PLACE", place)
+    monkeypatch.setattr(line_dedup, "NEAR", 2)
+    rows = corpus()
+    want = brute_lines(rows)
+    got = {r.doc_id: r.removed for r in line_dedup.decisions(frame(spark, rows)).collect()}
+    assert got == {i: want.get(i, []) for i, _, _ in rows}
+
+
+def test_lines_leave_no_shuffle_of_their_prefixes_and_shuffle_no_text(spark, monkeypatch):
+    def on_disk():
+        files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    new, joined, keep, join = {}, [], line_dedup.keep, line_dedup._joined
+
+    def kept(df, name, **how):
+        before = on_disk()
+        out = keep(df, name, **how)
+        new[name] = new.get(name, set()) | (on_disk() - before)
+        return out
+
+    monkeypatch.setattr(line_dedup, "keep", kept)
+    monkeypatch.setattr(line_dedup, "_joined", lambda docs, *rest: joined.append(docs.columns) or join(docs, *rest))
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    assert any(r.n_removed for r in line_dedup.decisions(frame(spark, corpus())).collect())
+    assert {"line-met", "line-pairs"} <= set(new) and not any(new.values())
+    assert all("text" not in columns for columns in joined) and spark.conf.get(setting) == before

@@ -15,6 +15,9 @@ word or a large family of like lines can make. Lines for which the stream has no
 with earlier ones, and which those it has shown do not remove, are then joined with all lines of
 their words. So no match is lost.
 
+The rows of prefixes are met in ``ROUNDS`` turns, each over its own share of the words by their hash,
+and a turn's shuffle files go once its pairs are written. So the disk holds one share at a time.
+
 Defined cases: null and empty texts have one line without words, which stays; lines of fewer words
 than ``min_words`` always stay; null ids come first, equal or null ids order by their line numbers, and
 each text loses its own lines (of equal ids, equal texts the same ones); empty tables give empty results; other columns are left as they are.
@@ -22,22 +25,29 @@ each text loses its own lines (of equal ids, equal texts the same ones); empty t
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.scratch import keep, share, shared, unused
+from tideline.llm.scratch import drop, keep, kept, share, shared, shuffles_removed, unused
 from tideline.llm.text import LOWER, Chunk, chunks, mix
 
 SIMILARITY, MIN_WORDS = 75, 5
 BUCKETS = 1 << 21
+BLOCK = 1 << 13  # counters of a row, while they are summed
 NEAR, GIVEN = 4_096, 12
 #: Sets of more than LONG words have 256 bits, the others 128 (and two empty columns). The halves
 #: of the longer bitmap, xored, are the shorter one, so any two sets can be compared.
 LONG, BITS = 100, ("b0", "b1", "b2", "b3")
 BROADCAST_ROWS = 100_000
+ROUNDS = 4
+#: A word of a prefix and its place in one number: 48 bits of the word's hash, then the place. Later
+#: places than these bits hold count as the last they hold, which only weakens the position bound.
+PLACE = (1 << 16) - 1
 _U = np.uint64
 
 
@@ -55,19 +65,40 @@ def _bucket_counts(batches):
             first = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else b
             total[b[first]] += np.diff(np.append(first, len(b)))
     some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"bucket": some, "n": total[some]})
+    block, first = np.unique(some // BLOCK, return_index=True)
+    border = np.append(first, len(some)).astype(np.int32)
+    listed = lambda x: pa.ListArray.from_arrays(border, pa.array(x.astype(np.int32)))
+    yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), listed(some % BLOCK), listed(np.minimum(total[some], 2**31 - 1))], ["block", "bucket", "n"])
+
+
+def _block_rarity(counts: pa.Table) -> pa.Table:
+    flat = lambda name: counts[name].combine_chunks().flatten().to_numpy()
+    n = np.bincount(flat("bucket"), flat("n"), BLOCK)
+    rare = np.minimum(255, np.ceil(8 * np.log2(np.maximum(n, 1)))).astype(np.uint8)
+    return pa.table({"block": counts["block"][:1], "rare": pa.array([rare.tobytes()])})
 
 
 def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """A byte for each hashed counter: 0 for one occurrence, then 16 steps for each doubling.
-    At most BUCKETS rows come to the driver, whatever the corpus."""
-    counts = (
-        docs.select(text_col).mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    )
-    out = np.zeros(BUCKETS, np.uint8)
-    n = counts["n"].to_numpy().astype(float)
-    out[counts["bucket"].to_numpy()] = np.minimum(255, np.ceil(8 * np.log2(np.maximum(n, 1))))
-    return out
+    These bytes are all that comes to the driver, whatever the corpus."""
+    with shuffles_removed(docs.sparkSession):
+        counts = docs.select(text_col).mapInArrow(_bucket_counts, "block int, bucket array<int>, n array<int>")
+        blocks = counts.groupBy("block").applyInArrow(_block_rarity, "block int, rare binary").toArrow()
+    out = np.zeros((BUCKETS // BLOCK, BLOCK), np.uint8)
+    for block, rare in zip(blocks["block"].to_pylist(), blocks["rare"].to_pylist()):
+        out[block] = np.frombuffer(rare, np.uint8)
+    return out.reshape(-1)
+
+
+def _by_line(line: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """The order by line, then by name (56 bits)."""
+    if len(line) and line[-1] < 1 << 17:  # one sort of the line and the upper bits of the name
+        both = (line.astype(_U) << _U(47)) | (name >> _U(9))
+        order = np.argsort(both)
+        both, sorted_ = both[order], name[order]
+        if not ((both[1:] == both[:-1]) & (sorted_[1:] != sorted_[:-1])).any():
+            return order
+    return np.lexsort((name, line))
 
 
 class LineSets:
@@ -86,7 +117,7 @@ class LineSets:
         weight = rare[(word >> _U(40)).astype(np.int64) & (BUCKETS - 1)].astype(_U)
         # rarity, then 48 bits of the word's hash: one number that orders and names a word
         name = (weight << _U(48)) | (word & _U((1 << 48) - 1))
-        order = np.lexsort((name, line))
+        order = _by_line(line, name)
         line, name = line[order], name[order]
         new = np.append(True, (line[1:] != line[:-1]) | (name[1:] != name[:-1])) if len(line) else np.zeros(0, bool)
         self.line, self.name = line[new], name[new]
@@ -103,6 +134,11 @@ class LineSets:
             self.bits = [self.key] * 4
 
 
+def _turns() -> list[str]:
+    """Columns of a line's prefix words, one for each round."""
+    return [f"words{k}" for k in range(ROUNDS)]
+
+
 def _lines(batches, rare, min_words: int, similarity: int):
     rare = shared(rare)
     for batch in batches:
@@ -118,14 +154,18 @@ def _lines(batches, rare, min_words: int, similarity: int):
             lead = np.zeros(len(s.key), bool)
             lead[order] = np.append(True, s.key[order][1:] != s.key[order][:-1])[: len(order)]
             use &= np.repeat(lead, s.n)
-            border = np.searchsorted(s.line[use], np.arange(len(s.key) + 1)).astype(np.int32)
-            listed = lambda x, t: pa.ListArray.from_arrays(border, pa.array(x[use], t))
+            entry, line = (s.name[use] << _U(16)) | np.minimum(s.position[use], PLACE).astype(_U), s.line[use]
+            turn, words = (s.name[use] % _U(ROUNDS)).astype(np.int64), []
+            for k in range(ROUNDS):
+                own = turn == k
+                border = np.searchsorted(line[own], np.arange(len(s.key) + 1)).astype(np.int32)
+                words.append(pa.ListArray.from_arrays(border, pa.array(entry[own].view(np.int64))))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(lo + s.row)), batch.column(2).take(pa.array(lo + s.row)), pa.array(s.number.astype(np.int32)), pa.array(s.key.view(np.int64)), pa.array(s.n.astype(np.int32)),
-                    *(pa.array(b.view(np.int64)) for b in s.bits), listed(s.name.view(np.int64), pa.int64()), listed(s.position.astype(np.int16), pa.int16()),
+                    *(pa.array(b.view(np.int64)) for b in s.bits), *words,
                 ],
-                ["id", "doc", "line", "key", "n", *BITS, "words", "places"],
+                ["id", "doc", "line", "key", "n", *BITS, *_turns()],
             )
 
 
@@ -159,9 +199,10 @@ def _streamed_pairs(batches, similarity: int):
     """
     held, held_word = [np.zeros(0, np.int64)] * 7, None
     for batch in batches:
-        word, *own = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
-        if not len(word):
+        entry, key, size, *bits = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+        if not len(entry):
             continue
+        word, own = entry >> 16, [key, (size << 32) | (entry & PLACE), *bits]
         if held_word != word[0]:
             held = [c[:0] for c in held]
         # A class of equal lines has a row from each chunk that holds one; its first row counts.
@@ -251,20 +292,25 @@ def _similar(batches, similarity: int):
 WANTED_BITS = 1 << 22
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, rare, text_col: str, min_words: int, similarity: int) -> DataFrame:
+def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, rare, text_col: str, min_words: int, similarity: int) -> DataFrame:
     """Pairs whose full sets are similar. The sets are read again from the texts, past a bitmap of
-    fixed size that holds all wanted classes."""
+    fixed size that holds all wanted classes; where these are few, from texts that hold a first line."""
     spark = docs.sparkSession
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     bits = keys.select(F.col("key").bitwiseAND(F.lit(WANTED_BITS - 1)).cast("int").alias("bit")).distinct().toArrow()
     wanted = np.zeros(WANTED_BITS, bool)
     wanted[bits["bit"].to_numpy()] = True
     sent = share(spark, wanted)
+    texts = docs.select(text_col)
+    if keys.count() <= BROADCAST_ROWS:
+        doc = unused([text_col], "_doc")
+        homes = classes.join(F.broadcast(keys), "key", "left_semi").select(F.col("first.doc").alias(doc)).distinct()
+        texts = texts.withColumn(doc, F.xxhash64(text_col)).join(F.broadcast(homes), doc, "left_semi").select(text_col)
     sets = (
-        docs.select(text_col).mapInArrow(lambda x: _wanted_sets(x, rare, sent, min_words), "key long, items array<long>")
+        texts.mapInArrow(lambda x: _wanted_sets(x, rare, sent, min_words), "key long, items array<long>")
         .join(keys, "key", "left_semi").dropDuplicates(["key"])
     )
-    sets = keep(sets, "line-sets")
+    sets = keep(sets, "line-sets", tidy=True)
     return (
         pairs.join(sets.select(F.col("key").alias("a"), F.col("items").alias("x")), "a")
         .join(sets.select(F.col("key").alias("b"), F.col("items").alias("y")), "b")
@@ -285,14 +331,24 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     lines = keep(
         docs.select(id_col, text_col, F.xxhash64(text_col).alias("doc")).mapInArrow(
             lambda b: _lines(b, rare, min_words, similarity),
-            f"id {kind}, doc long, line int, key long, n int, b0 long, b1 long, b2 long, b3 long, words array<long>, places array<smallint>",
-        ), "lines",
+            f"id {kind}, doc long, line int, key long, n int, {', '.join(f'{b} long' for b in BITS)}, {', '.join(f'{w} array<long>' for w in _turns())}",
+        ), "lines", tidy=True,
     )
-    prefix = lines.where(F.size("words") > 0).select("key", "n", *BITS, "id", "line", F.explode(F.arrays_zip("words", "places")).alias("e"))
-    prefix = prefix.select(F.col("e.words").alias("word"), "key", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("e.places")).alias("packed"), *BITS, "id", "line")
-    streamed = prefix.repartition(F.col("word")).sortWithinPartitions("word", "id", "line", "key").select("word", "key", "packed", *BITS)
-    pairs = keep(streamed.mapInArrow(lambda b: _streamed_pairs(b, similarity), "a long, b long").distinct(), "line-pairs")
-    classes = lines.groupBy("key").agg(F.min(F.struct("id", "line", "doc")).alias("first"), F.count("*").alias("size"))
+    classes = keep(lines.groupBy("key").agg(F.min(F.struct("id", "line", "doc")).alias("first"), F.count("*").alias("size")), "line-classes", tidy=True)
+
+    def prefix(words) -> DataFrame:
+        """A row for each of these words of each line: the word with its place, line number and size in one."""
+        return lines.where(F.size(words) > 0).select(
+            "id", "key", F.shiftleft(F.col("line").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("numbers"), *BITS, F.explode(words).alias("entry")
+        )
+
+    word, line, size = F.shiftright("entry", 16), F.shiftright("numbers", 32), F.col("numbers").bitwiseAND(F.lit((1 << 32) - 1))
+    met = []
+    for turn in _turns():
+        streamed = prefix(F.col(turn)).repartition(word).sortWithinPartitions(word, "id", line, "key").select("entry", "key", size, *BITS)
+        met.append(keep(streamed.mapInArrow(lambda b: _streamed_pairs(b, similarity), "a long, b long"), "line-met", tidy=True))
+    pairs = keep(reduce(DataFrame.union, met).distinct(), "line-pairs", tidy=True)
+    drop(spark, kept[-1 - ROUNDS : -1])
 
     def later(found: DataFrame) -> DataFrame:
         """Of each similar pair, the class whose first line comes later; a has the smaller key."""
@@ -302,24 +358,24 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
             .select(F.when(F.struct("fa.id", "fa.line", "a") < F.struct("fb.id", "fb.line", "b"), F.col("b")).otherwise(F.col("a")).alias("key")).distinct()
         )
 
-    gone = keep(later(_verify(docs, pairs.where("b is not null"), rare, text_col, min_words, similarity)), "line-gone")
-    open_ = keep(pairs.where("b is null").select(F.col("a").alias("key")).join(gone, "key", "left_anti"), "line-open")
+    gone = keep(later(_verify(docs, classes, pairs.where("b is not null"), rare, text_col, min_words, similarity)), "line-gone", tidy=True)
+    open_ = keep(pairs.where("b is null").select(F.col("a").alias("key")).join(gone, "key", "left_anti"), "line-open", tidy=True)
     if not open_.isEmpty():
-        mine = prefix.join(_small(open_), "key", "left_semi").dropDuplicates(["word", "key"]).select("word", F.col("key").alias("a"), F.col("packed").alias("pa"), *(F.col(b).alias(f"{b}_a") for b in BITS))
-        others = prefix.dropDuplicates(["word", "key"]).select("word", F.col("key").alias("b"), F.col("packed").alias("pb"), *(F.col(b).alias(f"{b}_b") for b in BITS))
-        na, nb = F.shiftright("pa", 32), F.shiftright("pb", 32)
-        qa, qb = F.col("pa").bitwiseAND(F.lit(0xFFFFFFFF)), F.col("pb").bitwiseAND(F.lit(0xFFFFFFFF))
-        both = na + nb
+        every = prefix(F.concat(*_turns())).select(word.alias("word"), "key", size.alias("n"), F.col("entry").bitwiseAND(F.lit(PLACE)).alias("place"), *BITS)
+        of = lambda rows, x: rows.dropDuplicates(["word", "key"]).select("word", F.col("key").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "place", *BITS)))
+        mine = _small(keep(of(every.join(_small(open_), "key", "left_semi"), "a"), "line-open-words", tidy=True))
+        others = of(every.join(mine.select("word"), "word", "left_semi"), "b")
+        both = F.col("n_a") + F.col("n_b")
         x = [F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b")) for b in BITS]
         folded = F.bit_count(x[0].bitwiseXOR(x[2])) + F.bit_count(x[1].bitwiseXOR(x[3]))
-        differ = F.when(F.least(na, nb) <= LONG, folded).otherwise(sum(map(F.bit_count, x[1:]), F.bit_count(x[0])))
+        differ = F.when(F.least("n_a", "n_b") <= LONG, folded).otherwise(sum(map(F.bit_count, x[1:]), F.bit_count(x[0])))
         enough = lambda overlap: (100 + similarity) * overlap >= similarity * both
-        rest = others.join(_small(mine), "word").where(
-            (F.col("a") != F.col("b")) & (100 * F.least(na, nb) >= similarity * F.greatest(na, nb))
-            & enough(F.least(na - qa, nb - qb)) & (2 * similarity * both <= (100 + similarity) * (both - differ))
+        rest = others.join(mine, "word").where(
+            (F.col("a") != F.col("b")) & (100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
+            & enough(F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))) & (2 * similarity * both <= (100 + similarity) * (both - differ))
         ).select("a", "b").distinct()
-        more = later(_verify(docs, keep(rest, "line-pairs"), rare, text_col, min_words, similarity))
-        gone = keep(gone.union(more).distinct(), "line-gone")
+        more = later(_verify(docs, classes, keep(rest, "line-pairs", tidy=True), rare, text_col, min_words, similarity))
+        gone = keep(gone.union(more).distinct(), "line-gone", tidy=True)
     bad = classes.join(gone.withColumn("gone", F.lit(True)), "key", "left").where("size > 1 or gone")
     return (
         lines.select("id", "doc", "line", "key").join(bad, "key")
@@ -328,17 +384,19 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     )
 
 
-def _joined(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    """``docs`` with the list of their lines that go, null where none does, and that column's name."""
+def _joined(docs: DataFrame, gone: DataFrame, id_col: str, doc_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with the list of their lines that go, null where none does, and that column's name.
+    ``doc_col`` hashes a document's text."""
     id_, doc, removed = (unused(docs.columns, name) for name in ("_id", "_doc", "_removed"))
     lists = gone.distinct().groupBy(F.col(id_col).alias(id_), F.col("_doc").alias(doc)).agg(F.array_sort(F.collect_list("line")).alias(removed))
-    return docs.join(lists, docs[id_col].eqNullSafe(lists[id_]) & (F.xxhash64(docs[text_col]) == lists[doc]), "left"), removed
+    return docs.join(lists, docs[id_col].eqNullSafe(lists[id_]) & (docs[doc_col] == lists[doc]), "left"), removed
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document: id, n_removed and removed (sorted line numbers)."""
     gone = removals(docs, id_col, text_col, similarity, min_words)
-    rows, removed = _joined(docs.select(id_col, text_col), gone, id_col, text_col)
+    hash_ = unused([id_col], "_hash")  # texts themselves are not shuffled
+    rows, removed = _joined(docs.select(id_col, F.xxhash64(text_col).alias(hash_)), gone, id_col, hash_)
     return rows.select(id_col, F.coalesce(F.size(removed), F.lit(0)).alias("n_removed"), F.coalesce(removed, F.array().cast("array<int>")).alias("removed"))
 
 
@@ -346,6 +404,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``docs`` with the removed lines cut from the texts; the other columns are as they were."""
     gone = removals(docs, id_col, text_col, similarity, min_words)
     lines = F.split(F.col(text_col), "\n", -1)
-    rows, removed = _joined(docs, gone, id_col, text_col)
+    hash_ = unused(docs.columns, "_hash")
+    rows, removed = _joined(docs.withColumn(hash_, F.xxhash64(text_col)), gone, id_col, hash_)
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(removed, i)), "\n")
     return rows.withColumn(text_col, F.when(F.col(removed).isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)
