@@ -128,7 +128,15 @@ class LineSets:
             self.key = np.add.reduceat(mix(self.name), self.first[:-1]) if len(self.name) else np.zeros(0, _U)
             bit = mix(self.name) & np.where(np.repeat(self.n, self.n) > LONG, _U(255), _U(127))
             one = _U(1) << (bit & _U(63))
-            self.bits = [np.bitwise_xor.reduceat(np.where(bit >> _U(6) == _U(k), one, _U(0)), self.first[:-1]) for k in range(4)]
+            part, long_, self.bits = bit >> _U(6), self.n > LONG, []
+            of_long = np.repeat(long_, self.n)
+            for k in range(4):  # only words of longer lines have the upper half
+                out = np.zeros(len(use), _U)
+                lines_, words = (slice(None), slice(None)) if k < 2 else (long_, of_long)
+                if k < 2 or long_.any():
+                    first = np.cumsum(self.n[lines_]) - self.n[lines_]
+                    out[lines_] = np.bitwise_xor.reduceat(np.where(part[words] == _U(k), one[words], _U(0)), first)
+                self.bits.append(out)
         else:
             self.key = np.zeros(0, _U)
             self.bits = [self.key] * 4
@@ -258,20 +266,31 @@ def _streamed_pairs(batches, similarity: int):
         )
 
 
+def _cut(chunk: Chunk, start: np.ndarray, end: np.ndarray) -> Chunk:
+    """A chunk whose rows are these stretches of bytes."""
+    size = end - start
+    off = np.concatenate(([0], np.cumsum(size)))
+    return Chunk(chunk.raw[np.repeat(start - off[:-1], size) + np.arange(off[-1])], off)
+
+
+#: Factor of a line's number in its place in the bitmap of wanted lines.
+STRIDE = 40_503
+
+
 def _wanted_sets(batches, rare, wanted, min_words: int):
     rare, wanted = shared(rare), shared(wanted)
-    last = _U(len(wanted) - 1)
     for batch in batches:
-        for _, _, chunk in chunks(batch.column(0)):
-            s = LineSets(chunk, rare, min_words)
-            hit = wanted[(s.key & last).astype(np.int64)] if len(s.key) else np.zeros(0, bool)
+        for lo, hi, chunk in chunks(batch.column(0)):
+            lines, doc = chunk.lines(), batch.column(1).slice(lo, hi - lo).to_numpy()
+            number = np.arange(len(lines)) - lines.first[lines.row]
+            hit = wanted[(doc[lines.row] ^ number * STRIDE) & (len(wanted) - 1)]
+            s = LineSets(_cut(chunk, lines.start[hit], lines.end[hit]), rare, min_words)
             _, first = np.unique(s.key, return_index=True)
             lead = np.zeros(len(s.key), bool)
             lead[first] = True
-            hit &= lead
-            use = np.repeat(hit, s.n)
-            border = np.concatenate(([0], np.cumsum(s.n[hit]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(s.key[hit].view(np.int64)), pa.ListArray.from_arrays(border, pa.array(np.ascontiguousarray(s.name[use]).view(np.int64)))], ["key", "items"])
+            border = np.concatenate(([0], np.cumsum(s.n[lead]))).astype(np.int32)
+            items = pa.array(np.ascontiguousarray(s.name[np.repeat(lead, s.n)]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(s.key[lead].view(np.int64)), pa.ListArray.from_arrays(border, items)], ["key", "items"])
 
 
 def _similar(batches, similarity: int):
@@ -294,18 +313,21 @@ WANTED_BITS = 1 << 22
 
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, rare, text_col: str, min_words: int, similarity: int) -> DataFrame:
     """Pairs whose full sets are similar. The sets are read again from the texts, past a bitmap of
-    fixed size that holds all wanted classes; where these are few, from texts that hold a first line."""
-    spark = docs.sparkSession
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    bits = keys.select(F.col("key").bitwiseAND(F.lit(WANTED_BITS - 1)).cast("int").alias("bit")).distinct().toArrow()
+    fixed size that holds the first lines of all wanted classes; where these are few, from the texts
+    of those lines."""
+    spark, doc = docs.sparkSession, unused([text_col], "_doc")
+    keys = keep(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "line-keys", tidy=True)
+    few = keys.count() <= BROADCAST_ROWS
+    firsts = keep(classes.join(F.broadcast(keys) if few else keys, "key", "left_semi").select(F.col("first.doc").alias(doc), "first.line"), "line-firsts", tidy=True)
+    with shuffles_removed(spark):
+        place = F.col(doc).bitwiseXOR(F.col("line").cast("long") * STRIDE).bitwiseAND(F.lit(WANTED_BITS - 1))
+        bits = firsts.select(place.cast("int").alias("bit")).distinct().toArrow()
     wanted = np.zeros(WANTED_BITS, bool)
     wanted[bits["bit"].to_numpy()] = True
     sent = share(spark, wanted)
-    texts = docs.select(text_col)
-    if keys.count() <= BROADCAST_ROWS:
-        doc = unused([text_col], "_doc")
-        homes = classes.join(F.broadcast(keys), "key", "left_semi").select(F.col("first.doc").alias(doc)).distinct()
-        texts = texts.withColumn(doc, F.xxhash64(text_col)).join(F.broadcast(homes), doc, "left_semi").select(text_col)
+    texts = docs.select(text_col, F.xxhash64(text_col).alias(doc))
+    if few:
+        texts = texts.join(F.broadcast(firsts.select(doc).distinct()), doc, "left_semi").select(text_col, doc)
     sets = (
         texts.mapInArrow(lambda x: _wanted_sets(x, rare, sent, min_words), "key long, items array<long>")
         .join(keys, "key", "left_semi").dropDuplicates(["key"])
@@ -336,16 +358,22 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     )
     classes = keep(lines.groupBy("key").agg(F.min(F.struct("id", "line", "doc")).alias("first"), F.count("*").alias("size")), "line-classes", tidy=True)
 
-    def prefix(words) -> DataFrame:
+    def prefix(words, lines: DataFrame = lines) -> DataFrame:
         """A row for each of these words of each line: the word with its place, line number and size in one."""
         return lines.where(F.size(words) > 0).select(
             "id", "key", F.shiftleft(F.col("line").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("numbers"), *BITS, F.explode(words).alias("entry")
         )
 
+    # The sort's first number holds the word and how far an id lies between the least and the largest,
+    # so that most rows of a word need no look at the other columns; null and other ids count as 0.
+    least, most = lines.agg(F.min("id"), F.max("id")).first() if kind in ("tinyint", "smallint", "int", "bigint") else (None, None)
+    far = F.lit(0).cast("long")
+    if most is not None:
+        far = F.coalesce(F.floor((F.col("id").cast("double") - float(least)) / max(1.0, float(most) - float(least)) * PLACE), far)
     word, line, size = F.shiftright("entry", 16), F.shiftright("numbers", 32), F.col("numbers").bitwiseAND(F.lit((1 << 32) - 1))
     met = []
     for turn in _turns():
-        streamed = prefix(F.col(turn)).repartition(word).sortWithinPartitions(word, "id", line, "key").select("entry", "key", size, *BITS)
+        streamed = prefix(F.col(turn)).repartition(word).sortWithinPartitions(F.shiftleft(word, 16).bitwiseOR(far), "id", line, "key").select("entry", "key", size, *BITS)
         met.append(keep(streamed.mapInArrow(lambda b: _streamed_pairs(b, similarity), "a long, b long"), "line-met", tidy=True))
     pairs = keep(reduce(DataFrame.union, met).distinct(), "line-pairs", tidy=True)
     drop(spark, kept[-1 - ROUNDS : -1])
@@ -361,10 +389,10 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     gone = keep(later(_verify(docs, classes, pairs.where("b is not null"), rare, text_col, min_words, similarity)), "line-gone", tidy=True)
     open_ = keep(pairs.where("b is null").select(F.col("a").alias("key")).join(gone, "key", "left_anti"), "line-open", tidy=True)
     if not open_.isEmpty():
-        every = prefix(F.concat(*_turns())).select(word.alias("word"), "key", size.alias("n"), F.col("entry").bitwiseAND(F.lit(PLACE)).alias("place"), *BITS)
+        every = lambda *of: prefix(F.concat(*_turns()), *of).select(word.alias("word"), "key", size.alias("n"), F.col("entry").bitwiseAND(F.lit(PLACE)).alias("place"), *BITS)
         of = lambda rows, x: rows.dropDuplicates(["word", "key"]).select("word", F.col("key").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "place", *BITS)))
-        mine = _small(keep(of(every.join(_small(open_), "key", "left_semi"), "a"), "line-open-words", tidy=True))
-        others = of(every.join(mine.select("word"), "word", "left_semi"), "b")
+        mine = _small(keep(of(every(lines.join(_small(open_), "key", "left_semi")), "a"), "line-open-words", tidy=True))
+        others = of(every().join(mine.select("word"), "word", "left_semi"), "b")
         both = F.col("n_a") + F.col("n_b")
         x = [F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b")) for b in BITS]
         folded = F.bit_count(x[0].bitwiseXOR(x[2])) + F.bit_count(x[1].bitwiseXOR(x[3]))
@@ -388,7 +416,7 @@ def _joined(docs: DataFrame, gone: DataFrame, id_col: str, doc_col: str) -> tupl
     """``docs`` with the list of their lines that go, null where none does, and that column's name.
     ``doc_col`` hashes a document's text."""
     id_, doc, removed = (unused(docs.columns, name) for name in ("_id", "_doc", "_removed"))
-    lists = gone.distinct().groupBy(F.col(id_col).alias(id_), F.col("_doc").alias(doc)).agg(F.array_sort(F.collect_list("line")).alias(removed))
+    lists = gone.groupBy(F.col(id_col).alias(id_), F.col("_doc").alias(doc)).agg(F.array_sort(F.collect_set("line")).alias(removed))
     return docs.join(lists, docs[id_col].eqNullSafe(lists[id_]) & (docs[doc_col] == lists[doc]), "left"), removed
 
 
