@@ -146,3 +146,49 @@ def test_lines_leave_no_shuffle_of_their_prefixes_and_shuffle_no_text(spark, mon
     assert any(r.n_removed for r in line_dedup.decisions(frame(spark, corpus())).collect())
     assert {"line-met", "line-pairs"} <= set(new) and not any(new.values())
     assert all("text" not in columns for columns in joined) and spark.conf.get(setting) == before
+
+
+@pytest.mark.parametrize("held, bucket", [(1 << 19, 1 << 17), (40, 1 << 17), (40, 50)])
+def test_lines_met_by_bytes_of_buckets(spark, monkeypatch, held, bucket):
+    """Prefix rows are not made as rows of Spark; a bucket that is full lets rows of frequent words go."""
+    monkeypatch.setattr(line_dedup, "HELD", held, raising=False)
+    monkeypatch.setattr(line_dedup, "BUCKET", bucket, raising=False)
+    monkeypatch.setattr(line_dedup, "GATHERED", 64, raising=False)
+    monkeypatch.setattr(line_dedup, "NEAR", 3)
+    monkeypatch.setattr(line_dedup, "GIVEN", 2)
+    plans, keep = {}, line_dedup.keep
+    monkeypatch.setattr(line_dedup, "keep", lambda df, name, **how: plans.setdefault(name, []).append(df._jdf.queryExecution().toString()) or keep(df, name, **how))
+    rows = [r for r in corpus(5) if len(r[1] or "") < 4000]
+    rng, common = random.Random(8), [f"c{i}" for i in range(9)]
+    for i in range(60):  # families of lines of the same few words, later ids stored first
+        rows.append((1000 - i, "\n".join(" ".join(rng.sample(common, rng.randint(5, 9))) for _ in range(4)), "s"))
+    want = brute_lines(rows)
+    got = {r.doc_id: r.removed for r in line_dedup.decisions(frame(spark, rows)).collect()}
+    assert got == {i: want.get(i, []) for i, _, _ in rows}
+    assert plans["line-met"] and not any("Generate" in plan for plan in plans["line-met"])
+
+
+def test_bucket_marks_all_that_it_lets_go(monkeypatch):
+    """Whatever the order rows come in, of any two classes of a word the pair is given or the later one marked."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(line_dedup, "HELD", 30)
+    monkeypatch.setattr(line_dedup, "NEAR", 4)
+    monkeypatch.setattr(line_dedup, "GIVEN", 2)
+    rng = random.Random(1)
+    for _ in range(50):
+        classes = {key: rng.randint(0, 50) for key in range(1, 41)}  # key: id of its first line
+        lines = [(i, key) for key, i in classes.items()] + [(classes[k] + rng.randint(0, 9), k) for k in rng.choices(list(classes), k=30)]
+        rng.shuffle(lines)
+        ids, keys = (pa.array([x[k] for x in lines], pa.int64()) for k in (0, 1))
+        rows = np.zeros((len(lines), line_dedup.ROW), np.uint64)
+        rows[:, 0], rows[:, 1], rows[:, 2] = 7 << 16, keys.to_numpy(), 10
+        border = list(range(0, len(lines), 7)) + [len(lines)]
+        listed = pa.ListArray.from_arrays(pa.array(border, pa.int32()), ids)
+        batch = pa.RecordBatch.from_arrays([pa.array([3] * (len(border) - 1), pa.int32()), listed, line_dedup._bytes(rows, line_dedup.ROW * np.array(border))], ["bucket", "ids", "rows"])
+        out = [x for b in line_dedup._met_pairs([batch], 75) for x in b.to_pylist()]
+        pairs, marked = {(x["a"], x["b"]) for x in out}, {x["a"] for x in out if x["b"] is None}
+        for a in classes:
+            for b in range(a + 1, 41):
+                assert (a, b) in pairs or max((classes[a], 0, a), (classes[b], 0, b))[2] in marked

@@ -9,14 +9,18 @@ Equal sets are one class: all but its first line go. Between classes: words are
 prefix, and lines that share one of them are compared by length, by position and by a
 parity bitmap of 128 or 256 bits, all of which are exact bounds. What passes is verified on the full sets.
 
-Lines that share a prefix word are met in a stream in the lines' order, each with the first ``NEAR``,
+Lines that share a prefix word are met in the lines' order, each with the first ``NEAR``,
 and each gives the first ``GIVEN`` pairs that pass the filters; this bounds what a very frequent
-word or a large family of like lines can make. Lines for which the stream has not shown all pairs
+word or a large family of like lines can make. Lines for which this has not shown all pairs
 with earlier ones, and which those it has shown do not remove, are then joined with all lines of
 their words. So no match is lost.
 
-The rows of prefixes are met in ``ROUNDS`` turns, each over its own share of the words by their hash,
-and a turn's shuffle files go once its pairs are written. So the disk holds one share at a time.
+Words are dealt by their hash to buckets of about ``BUCKET`` prefix rows each, as many as the corpus needs.
+A row of the shuffle holds many prefix rows of one bucket, as bytes. Where a bucket has more than ``HELD``
+rows because of frequent words, all but the first ``NEAR`` of each such word are met and let go.
+
+Buckets are met in ``ROUNDS`` turns, each over its own share of the words, and a turn's shuffle files go
+once its pairs are written. So the disk holds one share at a time.
 
 Defined cases: null and empty texts have one line without words, which stays; lines of fewer words
 than ``min_words`` always stay; null ids come first, equal or null ids order by their line numbers, and
@@ -44,7 +48,12 @@ NEAR, GIVEN = 4_096, 12
 #: of the longer bitmap, xored, are the shorter one, so any two sets can be compared.
 LONG, BITS = 100, ("b0", "b1", "b2", "b3")
 BROADCAST_ROWS = 100_000
-ROUNDS = 4
+ROUNDS = 2
+BUCKET, HELD = 1 << 17, 1 << 19
+GATHERED = 1 << 18  # prefix rows that are dealt to buckets at once
+#: Numbers of a line before its prefix words: its size and its bitmap. Numbers of a prefix row: word
+#: and place, key, line number and size in one, bitmap.
+HEAD, ROW = 5, 7
 #: A word of a prefix and its place in one number: 48 bits of the word's hash, then the place. Later
 #: places than these bits hold count as the last they hold, which only weakens the position bound.
 PLACE = (1 << 16) - 1
@@ -142,11 +151,6 @@ class LineSets:
             self.bits = [self.key] * 4
 
 
-def _turns() -> list[str]:
-    """Columns of a line's prefix words, one for each round."""
-    return [f"words{k}" for k in range(ROUNDS)]
-
-
 def _lines(batches, rare, min_words: int, similarity: int):
     rare = shared(rare)
     for batch in batches:
@@ -162,21 +166,94 @@ def _lines(batches, rare, min_words: int, similarity: int):
             lead = np.zeros(len(s.key), bool)
             lead[order] = np.append(True, s.key[order][1:] != s.key[order][:-1])[: len(order)]
             use &= np.repeat(lead, s.n)
-            entry, line = (s.name[use] << _U(16)) | np.minimum(s.position[use], PLACE).astype(_U), s.line[use]
-            turn, words = (s.name[use] % _U(ROUNDS)).astype(np.int64), []
-            for k in range(ROUNDS):
-                own = turn == k
-                border = np.searchsorted(line[own], np.arange(len(s.key) + 1)).astype(np.int32)
-                words.append(pa.ListArray.from_arrays(border, pa.array(entry[own].view(np.int64))))
+            entry, count = (s.name[use] << _U(16)) | np.minimum(s.position[use], PLACE).astype(_U), np.bincount(s.line[use], minlength=len(s.key))
+            some = np.flatnonzero(count)
+            size = np.where(count, HEAD + count, 0)
+            off = np.concatenate(([0], np.cumsum(size)))
+            words = np.empty(off[-1], _U)
+            for k, x in enumerate((s.n.astype(_U), *s.bits)):
+                words[off[some] + k] = x[some]
+            words[np.repeat(off[some] + HEAD - (np.cumsum(count[some]) - count[some]), count[some]) + np.arange(len(entry))] = entry
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(lo + s.row)), batch.column(2).take(pa.array(lo + s.row)), pa.array(s.number.astype(np.int32)), pa.array(s.key.view(np.int64)), pa.array(s.n.astype(np.int32)),
-                    *(pa.array(b.view(np.int64)) for b in s.bits), *words,
+                    batch.column(0).take(pa.array(lo + s.row)), batch.column(2).take(pa.array(lo + s.row)), pa.array(s.number.astype(np.int32)), pa.array(s.key.view(np.int64)),
+                    pa.array(count.astype(np.int32)), _bytes(words, off),
                 ],
-                ["id", "doc", "line", "key", "n", *BITS, *_turns()],
+                ["id", "doc", "line", "key", "prefix", "words"],
             )
 
 
+def _bytes(numbers: np.ndarray, border: np.ndarray) -> pa.Array:
+    """Numbers of 64 bits as one binary value from each border to the next."""
+    off = (8 * border).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(numbers))])
+
+
+def _numbers(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of such binary values, and their borders."""
+    values = values.cast(pa.large_binary())
+    _, off, data = values.buffers()
+    off = np.frombuffer(off, np.int64)[values.offset : values.offset + len(values) + 1]
+    raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw.view(_U), (off - off[0]) // 8
+
+
+def _prefix_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lines (id, key, line, words): a matrix of what each line's prefix rows have in common, and of
+    each prefix row its line and its word with its place."""
+    flat, off = _numbers(batch.column(3))
+    head, count = off[:-1], np.maximum(np.diff(off) - HEAD, 0)
+    common = np.zeros((batch.num_rows, ROW - 1), _U)
+    some = np.flatnonzero(count)
+    common[:, 0] = batch.column(1).to_numpy().view(_U)
+    common[some, 1] = (batch.column(2).to_numpy()[some].astype(_U) << _U(32)) | flat[head[some]]
+    for k in range(1, HEAD):
+        common[some, 1 + k] = flat[head[some] + k]
+    at = np.repeat(head + HEAD - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    return common, np.repeat(np.arange(batch.num_rows), count), flat[at]
+
+
+def _dealt(batches, turn: int, rounds: int, buckets: int):
+    """Prefix rows of this turn's words: their ids and numbers, a row for each bucket of some lines."""
+
+    def deal(parts):
+        ids, rows = pa.concat_arrays([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+        bucket = ((rows[:, 0] >> _U(16)) // _U(rounds) % _U(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        border = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+        listed = pa.ListArray.from_arrays(border.astype(np.int32), ids.take(pa.array(order)))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[border[:-1]]), listed, _bytes(rows[order], ROW * border)], ["bucket", "ids", "rows"])
+
+    parts, held = [], 0
+    for batch in batches:
+        common, line, entry = _prefix_rows(batch)
+        own = np.flatnonzero((entry >> _U(16)) % _U(rounds) == turn)
+        if not len(own):
+            continue
+        parts.append((batch.column(0).take(pa.array(line[own])), np.concatenate((entry[own, None], common[line[own]]), axis=1)))
+        held += len(own)
+        if held >= GATHERED:
+            yield deal(parts)
+            parts, held = [], 0
+    if parts:
+        yield deal(parts)
+
+
+def _words_of(batches, wanted=None):
+    """(word, key, n, place, bitmap) of every prefix row whose word the bitmap of words may hold."""
+    wanted = None if wanted is None else shared(wanted)
+    for batch in batches:
+        common, line, entry = _prefix_rows(batch)
+        if wanted is not None:
+            hit = wanted[((entry >> _U(16)) & _U(len(wanted) - 1)).astype(np.int64)]
+            line, entry = line[hit], entry[hit]
+        rows = common[line].view(np.int64)
+        n, place = (rows[:, 1] & 0xFFFFFFFF).astype(np.int32), (entry & _U(PLACE)).astype(np.int32)
+        columns = [(entry >> _U(16)).view(np.int64), rows[:, 0], n, place, *(rows[:, k] for k in range(2, ROW - 1))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["word", "key", "n", "place", *BITS])
+
+
 def _passing(i, j, key, n, left, bits, similarity: int) -> np.ndarray:
     """Which pairs of rows (i, j) pass the position, length and bitmap filters: exact upper bounds
     of the overlap against the least overlap of similar sets.
@@ -198,72 +275,110 @@ def _passing(i, j, key, n, left, bits, similarity: int) -> np.ndarray:
     return at[(100 + similarity) * (both - differ) >= 2 * similarity * both]
 
 
-def _streamed_pairs(batches, similarity: int):
-    """Candidate pairs (a, b) of class keys from rows sorted by word; (a, null) where the stream has
-    not shown all pairs of class a with earlier ones.
-
-    Each row meets the first NEAR rows of its word before it. Of the pairs that pass the filters it
-    gives the first GIVEN. The state is at most NEAR rows.
-    """
-    held, held_word = [np.zeros(0, np.int64)] * 7, None
-    for batch in batches:
-        entry, key, size, *bits = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
-        if not len(entry):
-            continue
-        word, own = entry >> 16, [key, (size << 32) | (entry & PLACE), *bits]
-        if held_word != word[0]:
-            held = [c[:0] for c in held]
-        # A class of equal lines has a row from each chunk that holds one; its first row counts.
-        order = np.lexsort((own[0], word))
-        again = (word[order][1:] == word[order][:-1]) & (own[0][order][1:] == own[0][order][:-1])
-        use = np.ones(len(word), bool)
-        use[order[1:][again]] = False
-        if len(held[0]):
-            use &= (word != word[0]) | ~np.isin(own[0], held[0])
-        if not use.any():
-            continue
-        word, own = word[use], [c[use] for c in own]
-        if held_word != word[0]:
-            held = [c[:0] for c in held]
-        old = len(held[0])
-        cols = [np.concatenate((h, c)) for h, c in zip(held[:6], own)]
-        rank_held = held[6]
+class _Bucket:
+    """Prefix rows of a bucket that are yet to be met."""
+
+    def __init__(self, similarity: int):
+        self.similarity, self.parts, self.limit = similarity, [], HELD
+
+    def add(self, ids: pa.Array, rows: np.ndarray) -> None:
+        self.parts.append((ids, rows, np.zeros(len(rows), bool)))
+
+    def full(self) -> bool:
+        return sum(len(rows) for _, rows, _ in self.parts) >= self.limit
+
+    def _sorted(self):
+        """Rows by word, those met before first, then in the lines' order. A class of equal lines has a
+        row from each chunk that holds one; its first row counts."""
+        ids, rows, met = pa.concat_arrays([x for x, _, _ in self.parts]), *(np.concatenate(x) for x in list(zip(*self.parts))[1:])
+        word, key = rows[:, 0] >> _U(16), np.ascontiguousarray(rows[:, 1]).view(np.int64)
+        rank = pc.rank(ids, null_placement="at_start", tiebreaker="dense").to_numpy().astype(_U)
+        place = np.where(met, _U(0), (rank << _U(32)) | (rows[:, 2] >> _U(32)))
+        order = np.lexsort((place, word))
+        w, p, k = word[order], place[order], key[order]
+        if ((w[1:] == w[:-1]) & (p[1:] == p[:-1]) & (k[1:] != k[:-1])).any():
+            order = np.lexsort((key, place, word))
+            w, k = word[order], key[order]
+        name = mix(w + _U(_ODD) * k.view(_U))
+        twin = np.argsort(name, kind="stable")
+        again = (name[twin][1:] == name[twin][:-1]) & (w[twin][1:] == w[twin][:-1]) & (k[twin][1:] == k[twin][:-1])
+        use = np.ones(len(w), bool)
+        use[twin[1:][again]] = False
+        order = order[use]
+        return w[use], ids, rows, met, order
+
+    def meet(self, last: bool) -> pa.RecordBatch:
+        """Candidate pairs (a, b) of class keys; (a, null) where not all pairs of class a with earlier ones
+        are shown. Each row meets the first NEAR rows of its word before it. Of the pairs that pass
+        the filters it gives the first GIVEN.
+
+        Unless these are the ``last`` rows of the bucket, only words of more than NEAR rows are met, and
+        NEAR rows of each are held for those to come, which meet these alone. Then rows may come
+        later that precede these, and both classes of a pair that is not given are marked.
+        """
+        word, ids, rows, met, order = self._sorted()
         start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
         group = np.diff(np.append(start, len(word)))
-        begin = np.repeat(start + old, group)
-        rank = np.arange(len(word)) + old - begin
-        if old:
-            first = slice(0, group[0])
-            begin[first] = 0
-            rank[first] = int(rank_held[-1]) + 1 + np.arange(group[0])
-        n = (cols[1] >> 32).astype(np.int32)
-        left = n - (cols[1] & 0xFFFFFFFF).astype(np.int32)
-        bits = [c.view(_U) for c in cols[2:6]]
-        partners = np.minimum(rank, NEAR)
+        size, first = np.repeat(group, group), np.repeat(start, group)
+        rank = np.arange(len(word)) - first
+        some = np.arange(len(word)) if last else np.flatnonzero(size > NEAR)
+        begun = met[order][first]  # rows of this word have been let go
+        own = rows[order]
+        cols = [np.ascontiguousarray(own[:, k]) for k in range(1, ROW)]
+        key, n = cols[0].view(np.int64), (cols[1] & _U(0xFFFFFFFF)).astype(np.int32)
+        left, bits = n - (own[:, 0] & _U(PLACE)).astype(np.int32), cols[2:]
+        partners = np.where(met[order], 0, np.minimum(rank, NEAR))[some]
         border = np.concatenate(([0], np.cumsum(partners)))
-        cut = np.flatnonzero(rank > NEAR)
-        found, partial, lo = [], [cols[0][old + cut]], 0
-        while lo < len(word):
+        unshown = (rank > NEAR if last else rank >= NEAR) | begun  # rows let go do not meet each other
+        partial = [key[some[~met[order[some]] & unshown[some]]]]
+        found, lo = [], 0
+        while lo < len(some):
             hi = max(lo + 1, int(np.searchsorted(border, border[lo] + 2_000_000, "right")) - 1)
-            i = np.repeat(np.arange(lo, hi), partners[lo:hi])
-            j = begin[i] + np.arange(border[lo], border[hi]) - border[i]
-            i += old
-            good = _passing(i, j, cols[0], n, left, bits, similarity)
+            at = np.repeat(np.arange(lo, hi), partners[lo:hi])
+            i = some[at]
+            j = first[i] + np.arange(border[lo], border[hi]) - border[at]
+            good = _passing(i, j, key, n, left, bits, self.similarity)
             i, j = i[good], j[good]
             at = np.arange(len(i)) - np.searchsorted(i, i)
-            partial.append(cols[0][i[at == GIVEN]])
-            found.append((cols[0][i[at < GIVEN]], cols[0][j[at < GIVEN]]))
+            given = at < GIVEN
+            partial += [key[i[at == GIVEN]], key[j[~given & (begun[j] | (not last))]]]
+            found.append((key[i[given]], key[j[given]]))
             lo = hi
-        last = int(begin[-1])
-        stop = min(len(cols[0]), last + NEAR)
-        ranks = np.concatenate((rank_held, rank))
-        held, held_word = [c[last:stop].copy() for c in cols] + [ranks[-1:]], word[-1]
-        x, y = (np.concatenate(c) for c in zip(*found))
-        pair = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1)
-        rest = np.unique(np.concatenate(partial))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate((pair[0], rest))), pa.array(np.concatenate((pair[1], rest)), mask=np.arange(pair.shape[1] + len(rest)) >= pair.shape[1])], ["a", "b"]
-        )
+        if not last:
+            stay = order[(size <= NEAR) | (rank < NEAR)]
+            hot = (size > NEAR)[(size <= NEAR) | (rank < NEAR)]
+            self.parts = [(ids.take(pa.array(stay)), rows[stay], hot | met[stay])]
+            self.limit = max(HELD, 2 * len(stay))
+        x, y = (np.concatenate(c) for c in zip(*found)) if found else [np.zeros(0, np.int64)] * 2
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[: len(x)]
+        x, y, rest = x[new], y[new], np.unique(np.concatenate(partial))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate((x, rest))), pa.array(np.concatenate((y, rest)), mask=np.arange(len(x) + len(rest)) >= len(x))], ["a", "b"])
+
+
+_ODD = 0x9FB21C651E98DF25
+
+
+def _met_pairs(batches, similarity: int):
+    """Pairs of the rows of each bucket; rows come sorted by bucket."""
+    held, bucket = None, None
+    for batch in batches:
+        of, ids = batch.column(0).to_numpy(), batch.column(1)
+        flat, off = _numbers(batch.column(2))
+        values, border, off = ids.values, ids.offsets.to_numpy(), off // ROW
+        rows = flat.reshape(-1, ROW)
+        for i in range(len(of)):
+            if bucket != of[i]:
+                if held:
+                    yield held.meet(True)
+                held, bucket = _Bucket(similarity), of[i]
+            held.add(values.slice(border[i], border[i + 1] - border[i]), rows[off[i] : off[i + 1]])
+            if held.full():
+                yield held.meet(False)
+    if held:
+        yield held.meet(True)
 
 
 def _cut(chunk: Chunk, start: np.ndarray, end: np.ndarray) -> Chunk:
@@ -311,6 +426,15 @@ def _similar(batches, similarity: int):
 WANTED_BITS = 1 << 22
 
 
+def _bitmap(rows: DataFrame, number) -> np.ndarray:
+    """A bitmap of fixed size that holds this number of every row, by its lowest bits."""
+    with shuffles_removed(rows.sparkSession):
+        bits = rows.select(number.bitwiseAND(F.lit(WANTED_BITS - 1)).cast("int").alias("bit")).distinct().toArrow()
+    out = np.zeros(WANTED_BITS, bool)
+    out[bits["bit"].to_numpy()] = True
+    return out
+
+
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, rare, text_col: str, min_words: int, similarity: int) -> DataFrame:
     """Pairs whose full sets are similar. The sets are read again from the texts, past a bitmap of
     fixed size that holds the first lines of all wanted classes; where these are few, from the texts
@@ -319,12 +443,7 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, rare, text_co
     keys = keep(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "line-keys", tidy=True)
     few = keys.count() <= BROADCAST_ROWS
     firsts = keep(classes.join(F.broadcast(keys) if few else keys, "key", "left_semi").select(F.col("first.doc").alias(doc), "first.line"), "line-firsts", tidy=True)
-    with shuffles_removed(spark):
-        place = F.col(doc).bitwiseXOR(F.col("line").cast("long") * STRIDE).bitwiseAND(F.lit(WANTED_BITS - 1))
-        bits = firsts.select(place.cast("int").alias("bit")).distinct().toArrow()
-    wanted = np.zeros(WANTED_BITS, bool)
-    wanted[bits["bit"].to_numpy()] = True
-    sent = share(spark, wanted)
+    sent = share(spark, _bitmap(firsts, F.col(doc).bitwiseXOR(F.col("line").cast("long") * STRIDE)))
     texts = docs.select(text_col, F.xxhash64(text_col).alias(doc))
     if few:
         texts = texts.join(F.broadcast(firsts.select(doc).distinct()), doc, "left_semi").select(text_col, doc)
@@ -353,28 +472,18 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     lines = keep(
         docs.select(id_col, text_col, F.xxhash64(text_col).alias("doc")).mapInArrow(
             lambda b: _lines(b, rare, min_words, similarity),
-            f"id {kind}, doc long, line int, key long, n int, {', '.join(f'{b} long' for b in BITS)}, {', '.join(f'{w} array<long>' for w in _turns())}",
+            f"id {kind}, doc long, line int, key long, prefix int, words binary",
         ), "lines", tidy=True,
     )
     classes = keep(lines.groupBy("key").agg(F.min(F.struct("id", "line", "doc")).alias("first"), F.count("*").alias("size")), "line-classes", tidy=True)
 
-    def prefix(words, lines: DataFrame = lines) -> DataFrame:
-        """A row for each of these words of each line: the word with its place, line number and size in one."""
-        return lines.where(F.size(words) > 0).select(
-            "id", "key", F.shiftleft(F.col("line").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("numbers"), *BITS, F.explode(words).alias("entry")
-        )
-
-    # The sort's first number holds the word and how far an id lies between the least and the largest,
-    # so that most rows of a word need no look at the other columns; null and other ids count as 0.
-    least, most = lines.agg(F.min("id"), F.max("id")).first() if kind in ("tinyint", "smallint", "int", "bigint") else (None, None)
-    far = F.lit(0).cast("long")
-    if most is not None:
-        far = F.coalesce(F.floor((F.col("id").cast("double") - float(least)) / max(1.0, float(most) - float(least)) * PLACE), far)
-    word, line, size = F.shiftright("entry", 16), F.shiftright("numbers", 32), F.col("numbers").bitwiseAND(F.lit((1 << 32) - 1))
-    met = []
-    for turn in _turns():
-        streamed = prefix(F.col(turn)).repartition(word).sortWithinPartitions(F.shiftleft(word, 16).bitwiseOR(far), "id", line, "key").select("entry", "key", size, *BITS)
-        met.append(keep(streamed.mapInArrow(lambda b: _streamed_pairs(b, similarity), "a long, b long"), "line-met", tidy=True))
+    prefix = lines.where("prefix > 0").select("id", "key", "line", "words")
+    buckets = -(-(lines.agg(F.sum("prefix")).first()[0] or 1) // (BUCKET * ROUNDS))
+    met, rounds = [], ROUNDS
+    for turn in range(rounds):
+        dealt = prefix.mapInArrow(lambda b, turn=turn: _dealt(b, turn, rounds, buckets), f"bucket int, ids array<{kind}>, rows binary")
+        sorted_ = dealt.repartition("bucket").sortWithinPartitions("bucket")
+        met.append(keep(sorted_.mapInArrow(lambda b: _met_pairs(b, similarity), "a long, b long"), "line-met", tidy=True))
     pairs = keep(reduce(DataFrame.union, met).distinct(), "line-pairs", tidy=True)
     drop(spark, kept[-1 - ROUNDS : -1])
 
@@ -389,10 +498,11 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     gone = keep(later(_verify(docs, classes, pairs.where("b is not null"), rare, text_col, min_words, similarity)), "line-gone", tidy=True)
     open_ = keep(pairs.where("b is null").select(F.col("a").alias("key")).join(gone, "key", "left_anti"), "line-open", tidy=True)
     if not open_.isEmpty():
-        every = lambda *of: prefix(F.concat(*_turns()), *of).select(word.alias("word"), "key", size.alias("n"), F.col("entry").bitwiseAND(F.lit(PLACE)).alias("place"), *BITS)
+        row = f"word long, key long, n int, place int, {', '.join(f'{b} long' for b in BITS)}"
         of = lambda rows, x: rows.dropDuplicates(["word", "key"]).select("word", F.col("key").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "place", *BITS)))
-        mine = _small(keep(of(every(lines.join(_small(open_), "key", "left_semi")), "a"), "line-open-words", tidy=True))
-        others = of(every().join(mine.select("word"), "word", "left_semi"), "b")
+        mine = _small(keep(of(prefix.join(_small(open_), "key", "left_semi").select("id", "key", "line", "words").mapInArrow(_words_of, row), "a"), "line-open-words", tidy=True))
+        sent = share(spark, _bitmap(mine.select("word"), F.col("word")))
+        others = of(prefix.mapInArrow(lambda b: _words_of(b, sent), row).join(mine.select("word"), "word", "left_semi"), "b")
         both = F.col("n_a") + F.col("n_b")
         x = [F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b")) for b in BITS]
         folded = F.bit_count(x[0].bitwiseXOR(x[2])) + F.bit_count(x[1].bitwiseXOR(x[3]))
