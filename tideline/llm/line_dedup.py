@@ -49,7 +49,9 @@ NEAR, GIVEN = 4_096, 12
 LONG, BITS = 100, ("b0", "b1", "b2", "b3")
 BROADCAST_ROWS = 100_000
 ROUNDS = 2
-BUCKET, HELD = 1 << 17, 1 << 19
+BUCKET, HELD = 1 << 15, 1 << 18
+LARGE = 1_024  # words of more rows are met row by row, others by windows of length
+PAIRS = 1_000_000  # pairs that are compared at once
 GATHERED = 1 << 18  # prefix rows that are dealt to buckets at once
 #: Numbers of a line before its prefix words: its size and its bitmap. Numbers of a prefix row: word
 #: and place, key, line number and size in one, bitmap.
@@ -217,26 +219,29 @@ def _dealt(batches, turn: int, rounds: int, buckets: int):
     """Prefix rows of this turn's words: their ids and numbers, a row for each bucket of some lines."""
 
     def deal(parts):
-        ids, rows = pa.concat_arrays([x for x, _ in parts]), np.concatenate([x for _, x in parts])
-        bucket = ((rows[:, 0] >> _U(16)) // _U(rounds) % _U(buckets)).astype(np.int32)
+        ids, common, line, entry = parts
+        ids, common, entry = pa.concat_arrays(ids), np.concatenate(common), np.concatenate(entry)
+        line = np.concatenate(line)
+        bucket = ((entry >> _U(16)) // _U(rounds) % _U(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int32)
         order = np.argsort(bucket, kind="stable")
-        bucket = bucket[order]
+        bucket, line = bucket[order], line[order]
         border = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-        listed = pa.ListArray.from_arrays(border.astype(np.int32), ids.take(pa.array(order)))
-        return pa.RecordBatch.from_arrays([pa.array(bucket[border[:-1]]), listed, _bytes(rows[order], ROW * border)], ["bucket", "ids", "rows"])
+        rows = np.empty((len(order), ROW), _U)
+        rows[:, 0], rows[:, 1:] = entry[order], common[line]
+        listed = pa.ListArray.from_arrays(border.astype(np.int32), ids.take(pa.array(line)))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[border[:-1]].astype(np.int32)), listed, _bytes(rows, ROW * border)], ["bucket", "ids", "rows"])
 
-    parts, held = [], 0
+    parts, lines, held = ([], [], [], []), 0, 0
     for batch in batches:
         common, line, entry = _prefix_rows(batch)
         own = np.flatnonzero((entry >> _U(16)) % _U(rounds) == turn)
-        if not len(own):
-            continue
-        parts.append((batch.column(0).take(pa.array(line[own])), np.concatenate((entry[own, None], common[line[own]]), axis=1)))
-        held += len(own)
+        for to, x in zip(parts, (batch.column(0), common, line[own] + lines, entry[own])):
+            to.append(x)
+        lines, held = lines + len(common), held + len(own)
         if held >= GATHERED:
             yield deal(parts)
-            parts, held = [], 0
-    if parts:
+            parts, lines, held = ([], [], [], []), 0, 0
+    if held:
         yield deal(parts)
 
 
@@ -275,6 +280,28 @@ def _passing(i, j, key, n, left, bits, similarity: int) -> np.ndarray:
     return at[(100 + similarity) * (both - differ) >= 2 * similarity * both]
 
 
+def _windows(rows, first, n, left, similarity: int):
+    """Pairs (i, j) of rows of one word whose lengths may be similar, j the shorter or as long, some twice,
+    in blocks of whole words. ``first``: where a row's word begins. The position bound leaves
+    as j only rows whose own length allows the least overlap."""
+    j = rows[(100 + similarity) * left[rows].astype(np.int64) >= 2 * similarity * n[rows].astype(np.int64)]
+    by = (first[j] << 32) | n[j]
+    order = np.argsort(by)
+    j, by = j[order], by[order]
+    word, least = first[rows] << 32, -(-similarity * n[rows].astype(np.int64) // 100)
+    lo = np.searchsorted(by, word | least)
+    count = np.searchsorted(by, word | n[rows], "right") - lo
+    border = np.concatenate(([0], np.cumsum(count)))
+    new = np.append(np.flatnonzero(np.append(True, first[rows][1:] != first[rows][:-1])), len(rows)) if len(rows) else np.zeros(1, np.int64)
+    a = 0
+    while a < len(new) - 1:
+        b = max(a + 1, int(np.searchsorted(border[new], border[new[a]] + PAIRS, "right")) - 1)
+        x, y = new[a], new[b]
+        at = np.repeat(np.arange(x, y), count[x:y])
+        yield rows[at], j[lo[at] + np.arange(border[x], border[y]) - border[at]]
+        a = b
+
+
 class _Bucket:
     """Prefix rows of a bucket that are yet to be met."""
 
@@ -321,8 +348,10 @@ class _Bucket:
         group = np.diff(np.append(start, len(word)))
         size, first = np.repeat(group, group), np.repeat(start, group)
         rank = np.arange(len(word)) - first
-        some = np.arange(len(word)) if last else np.flatnonzero(size > NEAR)
+        large = min(LARGE, NEAR)
+        some = np.flatnonzero(size > (large if last else NEAR))
         begun = met[order][first]  # rows of this word have been let go
+        some = np.union1d(some, np.flatnonzero(begun)) if last else some
         own = rows[order]
         cols = [np.ascontiguousarray(own[:, k]) for k in range(1, ROW)]
         key, n = cols[0].view(np.int64), (cols[1] & _U(0xFFFFFFFF)).astype(np.int32)
@@ -332,18 +361,28 @@ class _Bucket:
         unshown = (rank > NEAR if last else rank >= NEAR) | begun  # rows let go do not meet each other
         partial = [key[some[~met[order[some]] & unshown[some]]]]
         found, lo = [], 0
+
+        def give(i, j):
+            at = np.arange(len(i)) - np.searchsorted(i, i)
+            given = at < GIVEN
+            partial.extend((key[i[at == GIVEN]], key[j[~given & (begun[j] | (not last))]]))
+            found.append((key[i[given]], key[j[given]]))
+
         while lo < len(some):
-            hi = max(lo + 1, int(np.searchsorted(border, border[lo] + 2_000_000, "right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(border, border[lo] + PAIRS, "right")) - 1)
             at = np.repeat(np.arange(lo, hi), partners[lo:hi])
             i = some[at]
             j = first[i] + np.arange(border[lo], border[hi]) - border[at]
             good = _passing(i, j, key, n, left, bits, self.similarity)
-            i, j = i[good], j[good]
-            at = np.arange(len(i)) - np.searchsorted(i, i)
-            given = at < GIVEN
-            partial += [key[i[at == GIVEN]], key[j[~given & (begun[j] | (not last))]]]
-            found.append((key[i[given]], key[j[given]]))
+            give(i[good], j[good])
             lo = hi
+        if last:
+            rest = (size <= large) & (size > 1) & ~begun
+            for i, j in _windows(np.flatnonzero(rest), first, n, left, self.similarity):
+                good = _passing(i, j, key, n, left, bits, self.similarity)
+                i, j = i[good], j[good]
+                later = np.unique((np.maximum(i, j) << 32) | np.minimum(i, j))
+                give(later >> 32, later & 0xFFFFFFFF)
         if not last:
             stay = order[(size <= NEAR) | (rank < NEAR)]
             hot = (size > NEAR)[(size <= NEAR) | (rank < NEAR)]
