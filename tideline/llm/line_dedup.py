@@ -38,10 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.scratch import drop, keep, kept, share, shared, shuffles_removed, unused
-from tideline.llm.text import LOWER, Chunk, chunks, mix
+from tideline.llm.text import Chunk, chunks, mix
 
 SIMILARITY, MIN_WORDS = 75, 5
 BUCKETS = 1 << 21
+COUNTED = 1 << 18  # bytes of texts whose words are counted at once
 BLOCK = 1 << 13  # counters of a row, while they are summed
 NEAR, GIVEN = 4_096, 12
 #: Sets of more than LONG words have 256 bits, the others 128 (and two empty columns). The halves
@@ -63,14 +64,14 @@ _U = np.uint64
 
 
 def _words(chunk: Chunk):
-    spans, raw = chunk.words(), LOWER[chunk.raw]
-    return spans, Chunk.span_hash(chunk.prefix_hash(raw), spans.start, spans.end)
+    spans = chunk.words()
+    return spans, Chunk.span_hash(chunk.prefix_hash(chunk.raw, lower=True), spans.start, spans.end)
 
 
 def _bucket_counts(batches):
     total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        for _, _, chunk in chunks(batch.column(0)):
+        for _, _, chunk in chunks(batch.column(0), COUNTED):
             _, h = _words(chunk)
             b = np.sort((h >> _U(40)).astype(np.int64) & (BUCKETS - 1))
             first = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else b
@@ -136,8 +137,9 @@ class LineSets:
         self.n = np.diff(self.first)
         self.position = np.arange(len(self.line)) - np.repeat(self.first[:-1], self.n)
         if len(use):
-            self.key = np.add.reduceat(mix(self.name), self.first[:-1]) if len(self.name) else np.zeros(0, _U)
-            bit = mix(self.name) & np.where(np.repeat(self.n, self.n) > LONG, _U(255), _U(127))
+            mixed = mix(self.name)
+            self.key = np.add.reduceat(mixed, self.first[:-1]) if len(self.name) else np.zeros(0, _U)
+            bit = mixed & np.where(np.repeat(self.n, self.n) > LONG, _U(255), _U(127))
             one = _U(1) << (bit & _U(63))
             part, long_, self.bits = bit >> _U(6), self.n > LONG, []
             of_long = np.repeat(long_, self.n)
@@ -176,10 +178,14 @@ def _lines(batches, rare, min_words: int, similarity: int):
             for k, x in enumerate((s.n.astype(_U), *s.bits)):
                 words[off[some] + k] = x[some]
             words[np.repeat(off[some] + HEAD - (np.cumsum(count[some]) - count[some]), count[some]) + np.arange(len(entry))] = entry
+            # First a row for each document, as line -1.
+            docs = np.arange(hi - lo)
+            row, none = pa.array(lo + np.concatenate((docs, s.row))), np.zeros(len(docs), np.int64)
+            joined = lambda a, b, kind: pa.array(np.concatenate((a, b)).astype(kind))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(lo + s.row)), batch.column(2).take(pa.array(lo + s.row)), pa.array(s.number.astype(np.int32)), pa.array(s.key.view(np.int64)),
-                    pa.array(count.astype(np.int32)), _bytes(words, off),
+                    batch.column(0).take(row), batch.column(2).take(row), joined(none - 1, s.number, np.int32), joined(none, s.key.view(np.int64), np.int64),
+                    joined(none, count, np.int32), _bytes(words, np.concatenate((none, off))),
                 ],
                 ["id", "doc", "line", "key", "prefix", "words"],
             )
@@ -200,6 +206,17 @@ def _numbers(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw.view(_U), (off - off[0]) // 8
 
 
+def _pieces(batches):
+    """Lines (id, key, line, words) in slices of about GATHERED numbers, one line at least."""
+    for batch in batches:
+        _, off = _numbers(batch.column(3))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + GATHERED, "right")) - 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def _prefix_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of lines (id, key, line, words): a matrix of what each line's prefix rows have in common, and of
     each prefix row its line and its word with its place."""
@@ -232,7 +249,7 @@ def _dealt(batches, turn: int, rounds: int, buckets: int):
         return pa.RecordBatch.from_arrays([pa.array(bucket[border[:-1]].astype(np.int32)), listed, _bytes(rows, ROW * border)], ["bucket", "ids", "rows"])
 
     parts, lines, held = ([], [], [], []), 0, 0
-    for batch in batches:
+    for batch in _pieces(batches):
         common, line, entry = _prefix_rows(batch)
         own = np.flatnonzero((entry >> _U(16)) % _U(rounds) == turn)
         for to, x in zip(parts, (batch.column(0), common, line[own] + lines, entry[own])):
@@ -248,7 +265,7 @@ def _dealt(batches, turn: int, rounds: int, buckets: int):
 def _words_of(batches, wanted=None):
     """(word, key, n, place, bitmap) of every prefix row whose word the bitmap of words may hold."""
     wanted = None if wanted is None else shared(wanted)
-    for batch in batches:
+    for batch in _pieces(batches):
         common, line, entry = _prefix_rows(batch)
         if wanted is not None:
             hit = wanted[((entry >> _U(16)) & _U(len(wanted) - 1)).astype(np.int64)]
@@ -503,17 +520,18 @@ def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(id, _doc, line) of every line that goes: _doc hashes its text, as ids may be null or repeated;
-    line numbers count from 0."""
+    line numbers count from 0. Then (id, _doc) of every row of ``docs``."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     rare = share(spark, rarity(docs, text_col))
-    lines = keep(
+    rows = keep(
         docs.select(id_col, text_col, F.xxhash64(text_col).alias("doc")).mapInArrow(
             lambda b: _lines(b, rare, min_words, similarity),
             f"id {kind}, doc long, line int, key long, prefix int, words binary",
         ), "lines", tidy=True,
     )
+    lines, documents = rows.where("line >= 0"), rows.where("line < 0").select(F.col("id").alias(id_col), F.col("doc").alias("_doc"))
     classes = keep(lines.groupBy("key").agg(F.min(F.struct("id", "line", "doc")).alias("first"), F.count("*").alias("size")), "line-classes", tidy=True)
 
     prefix = lines.where("prefix > 0").select("id", "key", "line", "words")
@@ -554,11 +572,12 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         more = later(_verify(docs, classes, keep(rest, "line-pairs", tidy=True), rare, text_col, min_words, similarity))
         gone = keep(gone.union(more).distinct(), "line-gone", tidy=True)
     bad = classes.join(gone.withColumn("gone", F.lit(True)), "key", "left").where("size > 1 or gone")
-    return (
+    gone_lines = (
         lines.select("id", "doc", "line", "key").join(bad, "key")
         .where(F.col("gone").isNotNull() | (F.struct("id", "line", "doc") != F.col("first")))
         .select(F.col("id").alias(id_col), F.col("doc").alias("_doc"), "line")
     )
+    return gone_lines, documents
 
 
 def _joined(docs: DataFrame, gone: DataFrame, id_col: str, doc_col: str) -> tuple[DataFrame, str]:
@@ -571,15 +590,15 @@ def _joined(docs: DataFrame, gone: DataFrame, id_col: str, doc_col: str) -> tupl
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document: id, n_removed and removed (sorted line numbers)."""
-    gone = removals(docs, id_col, text_col, similarity, min_words)
+    gone, documents = removals(docs, id_col, text_col, similarity, min_words)
     hash_ = unused([id_col], "_hash")  # texts themselves are not shuffled
-    rows, removed = _joined(docs.select(id_col, F.xxhash64(text_col).alias(hash_)), gone, id_col, hash_)
+    rows, removed = _joined(documents.toDF(id_col, hash_), gone, id_col, hash_)
     return rows.select(id_col, F.coalesce(F.size(removed), F.lit(0)).alias("n_removed"), F.coalesce(removed, F.array().cast("array<int>")).alias("removed"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the removed lines cut from the texts; the other columns are as they were."""
-    gone = removals(docs, id_col, text_col, similarity, min_words)
+    gone, _ = removals(docs, id_col, text_col, similarity, min_words)
     lines = F.split(F.col(text_col), "\n", -1)
     hash_ = unused(docs.columns, "_hash")
     rows, removed = _joined(docs.withColumn(hash_, F.xxhash64(text_col)), gone, id_col, hash_)
